@@ -13,6 +13,7 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plateworks import fixed
 from plateworks.functions.arrays import compact, flag, strings
@@ -38,17 +39,17 @@ _BEFORE = rf"(?:^|[^{WORD_CHAR}])"
 _AFTER = rf"(?:$|[^{WORD_CHAR}])"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _nfkc_items(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else [None if x is None else unicodedata.normalize("NFKC", x) for x in v])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _casefold(values: pd.Series) -> pd.Series:
     return values.map(lambda v: v.casefold(), na_action="ignore")
 
@@ -250,7 +251,7 @@ _LATIN = "".join(chr(c) for c in range(0xC0, 0x180)
 _LATIN_BASE = "".join(unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode() for c in _LATIN)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _ascii_fold(values: pd.Series) -> pd.Series:
     return values.map(lambda v: unicodedata.normalize("NFKD", v).encode("ascii", "ignore").decode("ascii"), na_action="ignore")
 
