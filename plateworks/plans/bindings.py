@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plateworks import fixed
 from plateworks.functions import documents as doc
+from plateworks.session import materialize
 
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
                  "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -337,13 +338,17 @@ def sql_with(body: str) -> str:
     add(body)
     if not ordered:
         return body
-    ctes = ", ".join(f"{name} AS ({known[name]})" for name in ordered)
+    ctes = ", ".join(f"{name} AS MATERIALIZED ({known[name]})" for name in ordered)
     stripped = body.lstrip()
     if stripped.upper().startswith("WITH "):
         return f"WITH {ctes}, {stripped[5:]}"
     return f"WITH {ctes} {stripped}"
 
 
+_STORED = {"b_events": ("stage",), "b_catalog": ()}
+_TABLES: dict[tuple[str, str, str], DataFrame] = {}
+
+
 class Tables:
     """Driver tables and binding views of one data folder as DataFrames."""
 
@@ -354,6 +359,16 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def view(self, name: str) -> DataFrame:
+        """A binding view; the log and the catalogue are written once per application and folder, the log
+        partitioned by stage, because a catalogue keeps them as tables that every report reads."""
+        if name not in _STORED:
+            return self._compose(name)
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _TABLES:
+            _TABLES[key] = materialize(self._compose(name), name, _STORED[name])
+        return _TABLES[key]
+
+    def _compose(self, name: str) -> DataFrame:
         body = _render(VIEWS[name].replace("{STR}", "STRING"), "spark").replace("VARCHAR_T", "STRING")
         # name every input relation as a parameter so Spark binds DataFrames without global temp views
         inputs = {t: self.table(t) for t in DRIVER_TABLES if re.search(rf"(FROM|JOIN)\s+{t}\b", body)}

@@ -31,7 +31,7 @@ def shared_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Writes an intermediate table to the shared folder and reads it back.
 
     Used where several reports share one result and filter on it: lineage ends here, lost executors
@@ -39,5 +39,5 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_checkpoint_dir(spark)}/plateworks/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
