@@ -59,7 +59,14 @@ def sorted_distinct(items: Column) -> Column:
     return F.array_sort(F.array_distinct(items))
 
 
+def let(value: Column, body) -> Column:
+    """Evaluates ``value`` once and hands it to ``body``: inside lambdas an expression would be evaluated per item."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def first_of_each(items: Column, key) -> Column:
     """Structs whose key is seen for the first time, order kept."""
-    keys = F.transform(items, key)
-    return F.filter(items, lambda x, i: F.array_position(keys, key(x)) == (i + 1))
+    def pick(xs: Column) -> Column:
+        return let(F.struct(xs.alias("xs"), F.transform(xs, key).alias("keys")),
+                   lambda s: F.filter(s["xs"], lambda x, i: F.array_position(s["keys"], key(x)) == (i + 1)))
+    return let(items, pick)

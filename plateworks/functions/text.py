@@ -1,7 +1,7 @@
 """Text expressions: normalisation, folding, term containment, tokens, claims, file-name slugs.
 
-Everything runs as built-in expressions. The only Python is NFKC / full case folding for strings
-that hold characters outside ``_NFKC_STABLE``; all other strings never leave the JVM.
+Text columns are made NFKC-stable once, on entry (``stabilize``); only strings that hold characters
+outside ``_NFKC_STABLE`` are sent to Python for it. After that every rule is a built-in expression.
 """
 
 from __future__ import annotations
@@ -11,12 +11,12 @@ import unicodedata
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plateworks import fixed
-from plateworks.functions.arrays import compact, flag, strings
+from plateworks.functions.arrays import compact, flag, let, strings
 
 # Characters NFKC maps to themselves and that cannot start or join a composition: ASCII, Latin-1
 # and Latin Extended-A letters without compatibility forms, Cyrillic, common typography.
@@ -31,8 +31,10 @@ _QUOTES_SINGLE = "‘’‚‛′"
 _QUOTES_DOUBLE = "“”„‟″«»"
 _DASHES = "‐‑‒–—―−"
 _INVISIBLE = "­​‌‍⁠﻿"
-_FROM = _QUOTES_SINGLE + _QUOTES_DOUBLE + _DASHES + _INVISIBLE
-_TO = "'" * len(_QUOTES_SINGLE) + '"' * len(_QUOTES_DOUBLE) + "-" * len(_DASHES)
+_WIDE_SEPARATORS = "\uff0c\ufe50\uff1b\ufe54"
+_HELD_SEPARATORS = "\ue000\ue000\ue001\ue001"  # private-use stand-ins, turned into , and ; after the split
+_FROM = _QUOTES_SINGLE + _QUOTES_DOUBLE + _DASHES + "\ue000\ue001" + _INVISIBLE
+_TO = "'" * len(_QUOTES_SINGLE) + '"' * len(_QUOTES_DOUBLE) + "-" * len(_DASHES) + ",;"
 
 WORD_CHAR = r"\p{L}\p{N}_"
 _BEFORE = rf"(?:^|[^{WORD_CHAR}])"
@@ -49,54 +51,56 @@ def _nfkc_items(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else [None if x is None else unicodedata.normalize("NFKC", x) for x in v])
 
 
-@F.pandas_udf(T.StringType())
-def _casefold(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: v.casefold(), na_action="ignore")
-
-
 def _unstable(text: Column) -> Column:
     return text.rlike(_UNSTABLE)
 
 
-def nfkc(text: Column) -> Column:
-    """NFKC; only strings with unstable characters are sent to Python (as non-null input)."""
-    return F.when(_unstable(text), _nfkc(F.when(_unstable(text), text))).otherwise(text)
+def stabilize(df: DataFrame, *names: str, keywords: tuple[str, ...] = ()) -> DataFrame:
+    """NFKC of the named string and string-array columns; stable values (nearly all) stay in the JVM.
 
-
-def nfkc_items(items: Column) -> Column:
-    """NFKC of every string of an array; arrays without unstable characters stay in the JVM."""
-    some = F.exists(items, lambda x: _unstable(x))
-    return F.when(some, _nfkc_items(F.when(some, items))).otherwise(items)
+    Raw keyword columns keep wide commas and semicolons apart from plain ones, because keywords are split
+    before they are normalised.
+    """
+    stable = {}
+    for name in (*names, *keywords):
+        value = F.col(name)
+        if isinstance(df.schema[name].dataType, T.ArrayType):
+            if name in keywords:
+                value = F.transform(value, lambda x: F.translate(x, _WIDE_SEPARATORS, _HELD_SEPARATORS))
+            some = F.exists(value, _unstable)
+            stable[name] = F.when(some, _nfkc_items(F.when(some, value))).otherwise(value)
+        else:
+            stable[name] = F.when(_unstable(value), _nfkc(F.when(_unstable(value), value))).otherwise(value)
+    return df.withColumns(stable)
 
 
 def tidy(text: Column) -> Column:
-    """The part of normalisation after NFKC: typography, control characters, white space."""
+    """Normalisation after NFKC: typography, control characters, white space."""
     text = F.translate(text, _FROM, _TO)
     text = F.regexp_replace(text, r"\p{Cc}", " ")
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
 def normalize_text(text: Column) -> Column:
-    return tidy(nfkc(text))
+    return tidy(text)
 
 
 def normalize_items(items: Column) -> Column:
-    return F.transform(nfkc_items(items), tidy)
+    return F.transform(items, tidy)
 
 
 def fold_stable(text: Column) -> Column:
-    """Case folding of already normalised text: for stable characters only sharp s differs from lower()."""
-    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    """Case folding of normalised text: lower case, with sharp s and the final sigma folded."""
+    return F.translate(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), "ς", "σ")
 
 
 def fold(text: Column) -> Column:
     """Normalised and case-folded text."""
-    normal = normalize_text(text)
-    return F.when(_unstable(normal), _casefold(F.when(_unstable(normal), normal))).otherwise(fold_stable(normal))
+    return fold_stable(tidy(text))
 
 
 def fold_items(items: Column) -> Column:
-    return F.transform(normalize_items(items), fold_stable)
+    return F.transform(items, fold)
 
 
 def normalize_title(text: Column) -> Column:
@@ -136,9 +140,18 @@ def quoted(term: Column) -> Column:
     return F.regexp_replace(term, rf"([^{WORD_CHAR} ])", r"\\$1")
 
 
+def pattern_of(term: Column) -> Column:
+    return F.concat(F.lit(_BEFORE), quoted(term), F.lit(_AFTER))
+
+
+def patterns_of(terms: Column) -> Column:
+    """Patterns of an array of terms, empty ones left out."""
+    return F.transform(F.filter(terms, lambda t: t != ""), pattern_of)
+
+
 def contains_term(text: Column, term: Column) -> Column:
     """Whole-word presence of a term that is itself a column; an empty term is never present."""
-    return (F.length(term) > 0) & F.rlike(text, F.concat(F.lit(_BEFORE), quoted(term), F.lit(_AFTER)))
+    return (F.length(term) > 0) & F.rlike(text, pattern_of(term))
 
 
 def without_phrases(text: Column, phrases: Iterable[str]) -> Column:
@@ -165,7 +178,7 @@ def tokens(text: Column) -> Column:
 
 def grounded(token_list: Column, corpus: Column) -> Column:
     """Non-empty token list wholly inside the corpus."""
-    return (F.size(token_list) > 0) & F.forall(token_list, lambda t: F.array_contains(corpus, t))
+    return (F.size(token_list) > 0) & (F.size(F.array_except(token_list, corpus)) == 0)
 
 
 _WORD = r"[A-Za-z0-9][A-Za-z0-9'\-]*"
@@ -181,29 +194,30 @@ def is_title_case(text: Column) -> Column:
 
 def text_claims(text: Column, field: str, corpus: Column, proper_nouns: Column) -> Column:
     """Ungrounded numbers and proper nouns of a text: array<struct<term, field, reason>>."""
-    sentences = F.split(text, r"(?<=[.!?])\s+")
-
-    def of_sentence(sentence: Column) -> Column:
-        words = F.regexp_extract_all(sentence, F.lit(_WORD), F.lit(0))
+    bound = F.struct(F.split(text, r"(?<=[.!?])\s+").alias("sentences"), corpus.alias("corpus"), proper_nouns.alias("nouns"))
 
+    def find(s: Column) -> Column:
         def of_word(raw: Column, i: Column) -> Column:
             word = F.btrim(F.regexp_replace(raw, "'s$", ""), F.lit("'-"))
-            acronym = word.rlike(r"^\p{Lu}{2,}$")
+            # the cheap shape test comes first: only numbers and capitalised words are looked up in the corpus
             reason = F.when(word.rlike("[0-9]"), "NUMBER").when(
-                proper_nouns & (((i > 0) & word.rlike(r"^\p{Lu}")) | acronym), "PROPER_NOUN")
-            reason = F.when((F.length(word) > 0) & ~grounded(tokens_stable(word), corpus), reason)
+                s["nouns"] & (((i > 0) & word.rlike("^[A-Z]")) | word.rlike("^[A-Z]{2,}$")), "PROPER_NOUN")
             return F.struct(word.alias("term"), F.lit(field).alias("field"), reason.alias("reason"))
 
-        return F.filter(F.transform(words, of_word), lambda c: c["reason"].isNotNull())
+        def of_sentence(sentence: Column) -> Column:
+            words = F.transform(F.regexp_extract_all(sentence, F.lit(_WORD), F.lit(0)), of_word)
+            return F.filter(words, lambda c: c["reason"].isNotNull() & ~grounded(tokens_stable(c["term"]), s["corpus"]))
 
-    return F.flatten(F.transform(sentences, of_sentence))
+        return F.flatten(F.transform(s["sentences"], of_sentence))
+
+    return let(bound, find)
 
 
 # --- keywords --------------------------------------------------------------------------------
 
 def keyword_parts(raw: Column) -> Column:
     """Raw keywords split on commas and semicolons, normalised, original form kept beside the clean one."""
-    parts = nfkc_items(F.flatten(F.transform(raw, lambda x: F.split(x, "[,;]"))))
+    parts = F.flatten(F.transform(raw, lambda x: F.split(x, "[,;]")))
 
     def clean(part: Column) -> Column:
         original = tidy(part)
@@ -215,17 +229,18 @@ def keyword_parts(raw: Column) -> Column:
 
 def sort_keywords(parts: Column, brands: Column) -> Column:
     """Adds the reason a keyword is dropped for (null = kept), first occurrence wins."""
-    names = F.transform(parts, lambda p: p["keyword"])
-
-    def judge(part: Column, i: Column) -> Column:
-        keyword = part["keyword"]
-        reason = (F.when(keyword == "", "EMPTY")
-                  .when(F.exists(brands, lambda b: contains_term(keyword, b)), "BRAND")
-                  .when(keyword.isin(*fixed.KEYWORD_STOPWORDS), "STOPWORD")
-                  .when(F.array_position(names, keyword) < i + 1, "DUPLICATE"))
-        return F.struct(F.when(keyword == "", part["original"]).otherwise(keyword).alias("keyword"), reason.alias("reason"))
-
-    return F.transform(parts, judge)
+    def judged(s: Column) -> Column:
+        def judge(part: Column, i: Column) -> Column:
+            keyword = part["keyword"]
+            reason = (F.when(keyword == "", "EMPTY")
+                      .when(F.exists(s["brands"], lambda b: F.rlike(keyword, b)), "BRAND")
+                      .when(keyword.isin(*fixed.KEYWORD_STOPWORDS), "STOPWORD")
+                      .when(F.array_position(s["names"], keyword) < i + 1, "DUPLICATE"))
+            return F.struct(F.when(keyword == "", part["original"]).otherwise(keyword).alias("keyword"), reason.alias("reason"))
+        return F.transform(s["parts"], judge)
+
+    return let(parts, lambda ps: let(
+        F.struct(ps.alias("parts"), F.transform(ps, lambda p: p["keyword"]).alias("names"), patterns_of(brands).alias("brands")), judged))
 
 
 def kept_keywords(judged: Column) -> Column:

@@ -15,13 +15,13 @@ def main() -> int:
     queries, oracles = load()
     names = [q for q in queries if not sys.argv[1:] or any(q.startswith(p) for p in sys.argv[1:])]
     spark = local_session("8")
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     con, bad = duck(folder), 0
     for name in names:
         try:
             ok, note = compare(spark, con, name, queries, oracles, folder)
         except Exception as exc:  # report and go on with the other queries
-            ok, note = False, f"{name}: {type(exc).__name__}: {str(exc)[:700]}"
+            ok, note = False, f"{name}: {type(exc).__name__}: {str(exc)[:350]}"
         bad += not ok
         print("ok  " if ok else "FAIL", note, flush=True)
     print(f"{len(names) - bad} of {len(names)} agree")
