@@ -185,7 +185,9 @@ def event_rows(rows: DataFrame) -> DataFrame:
     """Event payloads of derived documents with their gate result, in writing order per asset."""
     drafted = F.to_json(F.struct("completeness", F.size("errors").alias("errors"), F.size("f_keywords").alias("keywords"), F.size("warnings").alias("warnings")))
     gated = F.to_json(F.struct("decision", F.transform("gate_reasons", lambda r: F.substring_index(r, ":", 1)).alias("reasons")))
-    events = F.array(F.struct(F.lit(1).alias("step"), F.lit("DRAFTED").alias("status"), drafted.alias("message")), F.struct(F.lit(2), F.lit("GATED"), gated))
+    def entry(step: int, status: str, message: Column) -> Column:
+        return F.struct(F.lit(step).alias("step"), F.lit(status).alias("status"), message.alias("message"))
+    events = F.array(entry(1, "DRAFTED", drafted), entry(2, "GATED", gated))
     return rows.select("asset_id", F.lit("METADATA").alias("stage"), F.inline(events))
 
 

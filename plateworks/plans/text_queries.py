@@ -58,15 +58,20 @@ def txt_remove_phrases(t: Tables):
 
 # keywords: raw lines split, cleaned and judged
 sql_view("b_brands", f"SELECT asset_id, list_filter(list_transform(list_concat(brands, logos), lambda b: lower({st.norm('b')})), lambda b: b <> '') AS brand_terms FROM b_vision")
-sql_view("b_keywords", f"""
+def _keywords_sql(raw: str) -> str:
+    return f"""
 SELECT asset_id, list_filter(judged, lambda k: k.reason IS NULL) AS kept_items, list_transform(list_filter(judged, lambda k: k.reason IS NULL), lambda k: k.keyword) AS keywords, list_filter(judged, lambda k: k.reason IS NOT NULL) AS dropped FROM (
 SELECT asset_id, list_transform(parts, lambda p, i: {{'keyword': CASE WHEN p.keyword = '' THEN p.original ELSE p.keyword END, 'reason': CASE WHEN p.keyword = '' THEN 'EMPTY'
   WHEN len(list_filter(brand_terms, lambda b: {st.contains('p.keyword', 'b')})) > 0 THEN 'BRAND' WHEN p.keyword IN ('photo', 'image', 'picture', 'stock', 'stock photo') THEN 'STOPWORD'
   WHEN list_position(names, p.keyword) < i THEN 'DUPLICATE' END}}) AS judged FROM (
  SELECT *, list_transform(parts, lambda p: p.keyword) AS names FROM (
- SELECT v.asset_id, brand_terms, list_transform(flatten(list_transform(text_visible, lambda x: regexp_split_to_array(x, '[,;]'))),
+ SELECT v.asset_id, brand_terms, list_transform(flatten(list_transform({raw}, lambda x: regexp_split_to_array(x, '[,;]'))),
    lambda p: {{'keyword': {st.norm("regexp_replace(lower(" + st.norm('p') + "), '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g')")}, 'original': {st.norm('p')}}}) AS parts
- FROM b_vision v JOIN b_brands USING (asset_id))))""")
+ FROM b_vision v JOIN b_brands USING (asset_id))))"""
+
+
+sql_view("b_keywords", _keywords_sql("text_visible"))
+sql_view("b_new_keywords", _keywords_sql("string_split(subject, ' ')"))
 
 
 @query("txt_keyword_normalize", "SELECT asset_id, array_to_string(keywords, '|') AS keywords, array_to_string(list_transform(dropped, lambda d: d.reason || ':' || d.keyword), '|') AS dropped FROM b_keywords")
@@ -192,15 +197,17 @@ def txt_filename_check(t: Tables):
 # --- keyword sets ----------------------------------------------------------------------------
 
 @query("set_keyword_union", f"""
-SELECT v.asset_id, array_to_string(list_concat(k.keywords, list_filter(words, lambda x: NOT list_contains(list_transform(k.keywords, lambda p: lower({st.norm('p')})), lower({st.norm('x')})))), '|') AS keywords
-FROM b_keywords k JOIN (SELECT asset_id, string_split(text, ' ') AS words FROM b_vision) v USING (asset_id)""")
+WITH w AS MATERIALIZED (SELECT v.asset_id, k.keywords, list_transform(k.keywords, lambda p: lower({st.norm('p')})) AS present, list_transform(string_split(v.text, ' '), lambda x: {{'raw': x, 'name': lower({st.norm('x')})}}) AS words
+ FROM b_keywords k JOIN b_vision v USING (asset_id))
+SELECT asset_id, array_to_string(list_concat(keywords, list_transform(list_filter(words, lambda x: NOT list_contains(present, x.name)), lambda x: x.raw)), '|') AS keywords FROM w""")
 def set_keyword_union(t: Tables):
     rows = vision(t).select("asset_id", tx.kept_keywords(metadata.clean_keywords(F.col("text_visible"))).alias("kept"), F.split("text", " ").alias("words"))
     return rows.select("asset_id", joined(metadata.merged_keywords(F.col("kept"), F.col("words")), "|").alias("keywords"))
 
 
 @query("set_keyword_edit", f"""
-SELECT asset_id, array_to_string(list_filter(list_concat(text_visible, keywords), lambda x: NOT list_contains(list_transform(list_concat([title], [keywords[1]]), lambda r: lower({st.norm('r')})), lower({st.norm('x')}))), '|') AS keywords FROM b_vision""")
+WITH w AS MATERIALIZED (SELECT asset_id, list_transform([title, keywords[1]], lambda r: lower({st.norm('r')})) AS removed, list_transform(list_concat(text_visible, keywords), lambda x: {{'raw': x, 'name': lower({st.norm('x')})}}) AS words FROM b_vision)
+SELECT asset_id, array_to_string(list_transform(list_filter(words, lambda x: NOT list_contains(removed, x.name)), lambda x: x.raw), '|') AS keywords FROM w""")
 def set_keyword_edit(t: Tables):
     edited = metadata.edited_keywords(F.col("text_visible"), F.lit(None).cast("array<string>"), F.col("keywords"), F.array("title", F.get("keywords", 0)))
     return vision(t).select("asset_id", joined(edited, "|").alias("keywords"))
@@ -284,7 +291,7 @@ def met_rebuild(t: Tables):
 SELECT asset_id, CASE WHEN lang = 'es' THEN 'INVALID_EDIT' WHEN len(applied) = 0 THEN 'NO_CHANGES' ELSE 'EDITED' END AS outcome, array_to_string(applied, ',') AS applied, CASE WHEN lang <> 'es' AND len(applied) > 0 THEN 'draft' ELSE state END AS state_after FROM (
  SELECT f.asset_id, f.lang, f.state, CASE f.lang WHEN 'en' THEN CASE WHEN {st.norm("f.title || '..'")} <> '' AND rtrim(regexp_replace({st.norm("f.title || '..'")}, '\\.+$', '')) <> f_title THEN ['title'] ELSE [] END
   WHEN 'fr' THEN CASE WHEN {st.norm('f.subject')} <> f_description THEN ['description'] ELSE [] END
-  WHEN 'de' THEN CASE WHEN NOT (list_filter(list_distinct(string_split(f.subject, ' ')), lambda x: FALSE) = f_keywords) THEN ['keywords'] ELSE [] END ELSE [] END AS applied FROM b_fields f)""")
+  WHEN 'de' THEN CASE WHEN nk.keywords <> f_keywords THEN ['keywords'] ELSE [] END ELSE [] END AS applied FROM b_fields f JOIN b_new_keywords nk USING (asset_id))""")
 def met_edit(t: Tables):
     lang = F.col("lang")
     rows = fields(t).withColumns({"edited_fields": F.array().cast("array<string>"), "unknown_field": lang == "es", "new_title": F.when(lang == "en", F.concat("title", F.lit(".."))),
