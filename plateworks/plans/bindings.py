@@ -362,16 +362,17 @@ class Tables:
         """A binding view; the log and the catalogue are written once per application and folder, the log
         partitioned by stage, because a catalogue keeps them as tables that every report reads."""
         if name not in _STORED:
-            return self._compose(name)
+            return self.compose(name)
         key = (self.spark.sparkContext.applicationId, self.folder, name)
         if key not in _TABLES:
-            _TABLES[key] = materialize(self._compose(name), name, _STORED[name])
+            _TABLES[key] = materialize(self.compose(name), name, _STORED[name])
         return _TABLES[key]
 
-    def _compose(self, name: str) -> DataFrame:
+    def compose(self, name: str, **given: DataFrame) -> DataFrame:
+        """A view over the driver's tables, some of which may be given (for example as streams)."""
         body = _render(VIEWS[name].replace("{STR}", "STRING"), "spark").replace("VARCHAR_T", "STRING")
         # name every input relation as a parameter so Spark binds DataFrames without global temp views
-        inputs = {t: self.table(t) for t in DRIVER_TABLES if re.search(rf"(FROM|JOIN)\s+{t}\b", body)}
+        inputs = {t: given[t] if t in given else self.table(t) for t in DRIVER_TABLES if re.search(rf"(FROM|JOIN)\s+{t}\b", body)}
         inputs |= {v: self.view(v) for v in VIEWS if v != name and re.search(rf"(FROM|JOIN)\s+{v}\b", body)}
         body = body.replace("{", "{{").replace("}", "}}")
         for table in inputs:
