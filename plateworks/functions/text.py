@@ -6,6 +6,7 @@ outside ``_NFKC_STABLE`` are sent to Python for it. After that every rule is a b
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections.abc import Iterable
@@ -114,26 +115,33 @@ def term_pattern(term: str) -> str:
     return _BEFORE + re.escape(term) + _AFTER
 
 
-def any_pattern(terms: Iterable[str]) -> str:
-    return _BEFORE + "(?:" + "|".join(re.escape(t) for t in terms) + ")" + _AFTER
+def has_term(text: Column, term: str) -> Column:
+    """Whole-word presence of a literal term: a plain substring search rejects most texts before the pattern runs."""
+    return text.contains(term) & text.rlike(term_pattern(term))
+
+
+def _each(text: Column, terms: Iterable[str], test, combine) -> Column:
+    """Combines a test per term over one evaluation of the text."""
+    return let(text, lambda t: functools.reduce(combine, [test(t, term) for term in terms]))
+
+
+def may_hold(text: Column, terms: Iterable[str]) -> Column:
+    """Some term occurs as a substring (necessary for ``has_any``)."""
+    return _each(text, terms, lambda t, term: t.contains(term), lambda a, b: a | b)
 
 
 def has_any(text: Column, terms: Iterable[str]) -> Column:
-    return text.rlike(any_pattern(terms))
+    return _each(text, terms, has_term, lambda a, b: a | b)
 
 
 def found_terms(text: Column, terms: Iterable[str], prefix: str = "") -> Column:
-    """Terms present in the text, in list order; one cheap alternation test guards the per-term tests."""
-    terms = tuple(terms)
-    hits = compact(*[flag(text.rlike(term_pattern(t)), prefix + t) for t in terms])
-    return F.when(has_any(text, terms), hits).otherwise(strings(()))
+    """Terms present in the text, in list order."""
+    return let(text, lambda t: compact(*[flag(has_term(t, term), prefix + term) for term in terms]))
 
 
 def count_terms(text: Column, terms: Iterable[str]) -> Column:
     """How many of the terms are present."""
-    terms = tuple(terms)
-    total = sum((flag(text.rlike(term_pattern(t)), 1).isNotNull().cast("int") for t in terms), F.lit(0))
-    return F.when(has_any(text, terms), total).otherwise(F.lit(0))
+    return F.size(found_terms(text, terms))
 
 
 def quoted(term: Column) -> Column:

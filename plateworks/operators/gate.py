@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,34 +17,49 @@ CODE = rf"(?:^|[^{_W}]){fixed.CODE_PATTERN}(?:$|[^{_W}])"
 LEGAL_CLAIM = rf"(?i)(?<![{_W}])(?:" + "|".join(fixed.LEGAL_CLAIM_PATTERNS) + rf")(?![{_W}])"
 
 
+# literal starts of the legal wording: a text without any of them cannot match
+_CLAIM_STEMS = tuple(re.match(r"[a-z ]+", p).group(0).strip() for p in fixed.LEGAL_CLAIM_PATTERNS)
+_DOTTED = [f for f in fixed.LEGAL_FORMS if f.endswith(".")]
+_PLAIN_FORMS = [f for f in fixed.LEGAL_FORMS if not f.endswith(".")]
+# a token equal to a legal form, or to one followed by dots
+LEGAL_FORM = (rf"(?:^|[^{_W}.])(?:(?:" + "|".join(re.escape(f) for f in _PLAIN_FORMS) + r")\.*|" + "|".join(re.escape(f) for f in _DOTTED) + rf")(?:$|[^{_W}.])")
+FIRST_IS_MARK = rf"^[^{_W}.]*\.*(?:" + "|".join(fixed.CONFORMITY_MARKS) + rf")\.*(?:$|[^{_W}.])"
+
+
 def name_rule(text: Column, folded: Column) -> Column:
-    """PROPER_NAME for several Title Case words, MIXED_CASE_NAME for a long mixed-case word, else null."""
+    """PROPER_NAME for several Title Case words, MIXED_CASE_NAME for a long mixed-case word, else null.
+
+    Words are taken apart only where the text can match at all: no word starting in lower case, or a capital
+    inside a word.
+    """
     words = F.regexp_extract_all(text, F.lit(r"\p{L}+(?:-\p{L}+)*"), F.lit(0))
+    maybe_proper, maybe_mixed = ~text.rlike(r"(?:^|[^\p{L}-])\p{Ll}"), text.rlike(r"[\p{L}-]\p{Lu}")
+    proper = maybe_proper & (F.size(words) >= 2) & F.forall(words, lambda w: w.rlike(fixed.TITLE_WORD_PATTERN))
+    mixed = maybe_mixed & F.exists(words, lambda w: (F.length(w) >= 5) & w.rlike(r"\p{Ll}") & w.rlike(r"^.+\p{Lu}"))
     plain = ~text.rlike(r"\p{Nd}") & ~tx.has_any(folded, fixed.WARNING_WORDS)
-    proper = (F.size(words) >= 2) & F.forall(words, lambda w: w.rlike(fixed.TITLE_WORD_PATTERN))
-    mixed = F.exists(words, lambda w: (F.length(w) >= 5) & w.rlike(r"\p{Ll}") & w.rlike(r"^.+\p{Lu}"))
-    return F.when(plain & proper, "PROPER_NAME").when(plain & mixed, "MIXED_CASE_NAME")
+    return F.when(maybe_proper | maybe_mixed, F.when(plain, F.when(proper, "PROPER_NAME").when(mixed, "MIXED_CASE_NAME")))
 
 
 def text_rule(text: Column, folded: Column, brands: Column) -> Column:
     """Rule of one normalised visible text, first match wins; ``brands`` are patterns of folded names.
 
-    Most texts are plain prose, so the token rules run only behind a cheap test of the whole text.
+    Most texts are plain prose, so every costly rule stands behind a test that prose fails early.
     """
     tokens = F.transform(F.regexp_extract_all(text, F.lit(rf"[{_W}.]+"), F.lit(0)), lambda t: F.lower(t))
-    forms, marks = strings(fixed.LEGAL_FORMS), strings(fixed.CONFORMITY_MARKS)
-    maybe_form = F.lower(text).rlike("(?:" + "|".join(f.replace(".", r"\.") for f in fixed.LEGAL_FORMS) + ")")
-    form = F.arrays_overlap(tokens, forms) | F.arrays_overlap(F.transform(tokens, lambda t: F.rtrim(t, F.lit("."))), forms)
+    marks = strings(fixed.CONFORMITY_MARKS)
+    lower = F.lower(text)
+    digits = text.rlike(r"\p{Nd}")
     phone = F.regexp_replace(F.regexp_extract(text, fixed.PHONE_PATTERN, 0), "[^0-9]", "")
+    name = name_rule(text, folded)
     return first_match([
         (F.exists(brands, lambda b: F.rlike(folded, b)), "BRAND"),
-        (maybe_form & form, "LEGAL_FORM"),
+        (lower.rlike(LEGAL_FORM), "LEGAL_FORM"),
         (text.rlike("[" + "".join(fixed.LEGAL_SYMBOLS) + "]"), "LEGAL_SYMBOL"),
         (tx.has_any(folded, fixed.LEGAL_WORDS), "LEGAL_WORD"),
-        (text.rlike(URL) | text.rlike(fixed.EMAIL_PATTERN) | (F.length(phone) >= 10), "CONTACT"),
-        (name_rule(text, folded).isNotNull(), name_rule(text, folded)),
-        ((F.size(tokens) > 0) & F.forall(tokens, lambda t: F.array_contains(marks, F.btrim(t, F.lit(".")))), "CONFORMITY_MARK"),
-        (text.rlike(r"\p{Nd}"), "DIGITS"), (text.rlike(CODE), "CODE"), (tx.has_any(folded, fixed.WARNING_WORDS), "WARNING_WORD")], "DEFAULT")
+        (((text.contains(".") | lower.contains("http")) & text.rlike(URL)) | (text.contains("@") & text.rlike(fixed.EMAIL_PATTERN)) | (digits & (F.length(phone) >= 10)), "CONTACT"),
+        (name.isNotNull(), name),
+        (lower.rlike(FIRST_IS_MARK) & (F.size(tokens) > 0) & F.forall(tokens, lambda t: F.array_contains(marks, F.btrim(t, F.lit(".")))), "CONFORMITY_MARK"),
+        (digits, "DIGITS"), (text.contains("-") & text.rlike(CODE), "CODE"), (tx.has_any(folded, fixed.WARNING_WORDS), "WARNING_WORD")], "DEFAULT")
 
 
 def category(rule: Column) -> Column:
@@ -86,7 +103,8 @@ def with_people(rows: DataFrame) -> DataFrame:
 def legal_claims() -> Column:
     """``field: match`` of every legal wording in title, description and keywords."""
     def found(text: Column, field: str) -> Column:
-        return F.transform(F.regexp_extract_all(text, F.lit(LEGAL_CLAIM), F.lit(0)), lambda m: F.concat(F.lit(f"{field}: "), m))
+        maybe = tx.may_hold(F.lower(text), _CLAIM_STEMS)
+        return F.when(maybe, F.transform(F.regexp_extract_all(text, F.lit(LEGAL_CLAIM), F.lit(0)), lambda m: F.concat(F.lit(f"{field}: "), m))).otherwise(empty_strings())
     return F.concat(found(F.col("f_title"), "title"), found(F.col("f_description"), "description"),
                     F.flatten(F.transform("f_keywords", lambda k: found(k, "keywords"))))
 

@@ -60,7 +60,8 @@ def category_scores() -> Column:
     Keywords are narrowed to the few that hold any category term before terms are counted one by one.
     """
     main = tx.fold(F.concat_ws(" . ", "subject", "title", "technical_subjects", "categories"))
-    hits = F.filter(F.transform("f_keywords", tx.fold), lambda k: tx.has_any(k, _ALL_TERMS))
+    folded = F.transform("f_keywords", tx.fold)
+    hits = F.when(tx.may_hold(tx.fold(F.concat_ws(" . ", "f_keywords")), _ALL_TERMS), F.filter(folded, lambda k: tx.may_hold(k, _ALL_TERMS))).otherwise(empty_strings())
 
     def scored(s: Column) -> Column:
         groups = []

@@ -346,6 +346,7 @@ def sql_with(body: str) -> str:
 
 
 _STORED = {"b_events": ("stage",), "b_catalog": ()}
+_TEXT_TABLES = ("documents", "conversations", "pages")
 _TABLES: dict[tuple[str, str, str], DataFrame] = {}
 
 
@@ -356,7 +357,13 @@ class Tables:
         self.spark, self.folder = spark, folder
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """A driver table. The text tables are single files of one row group: only where such a scan leaves
+        cores idle are its rows spread over them; a large table with many splits is read as it lies."""
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        if name in _TEXT_TABLES and df.rdd.getNumPartitions() * 2 <= cores:
+            return df.repartition(cores)
+        return df
 
     def view(self, name: str) -> DataFrame:
         """A binding view; the log and the catalogue are written once per application and folder, the log

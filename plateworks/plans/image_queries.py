@@ -130,7 +130,7 @@ WITH sz AS (SELECT asset_id, max(x) + 1 AS w, max(y) + 1 AS h FROM b_px GROUP BY
 c AS (SELECT p.asset_id, s.side, CASE WHEN s.side IN ('top', 'bottom') THEN x ELSE y END AS pos, CASE s.side WHEN 'top' THEN y WHEN 'bottom' THEN h - 1 - y WHEN 'left' THEN x ELSE w - 1 - x END AS line, CASE WHEN s.side IN ('top', 'bottom') THEN CAST(floor(h * 0.03) AS BIGINT) ELSE CAST(floor(w * 0.03) AS BIGINT) END AS lim, v
  FROM b_px p JOIN sz USING (asset_id), (VALUES ('top'), ('bottom'), ('left'), ('right')) s(side)),
 e AS (SELECT * FROM c WHERE lim >= 1 AND line < lim + 10),
-r AS (SELECT asset_id, side, pos, lim, coalesce(min(line) FILTER (WHERE v > 25 AND line < lim), lim) AS r, list(v ORDER BY line) AS vs FROM e GROUP BY ALL),
+r AS (SELECT asset_id, side, pos, lim, coalesce(min(line) FILTER (WHERE v > 25 AND line < lim), max(lim)) AS r, list(v ORDER BY line) AS vs FROM e GROUP BY asset_id, side, pos, lim),
 m AS (SELECT *, list_avg(vs[1:greatest(least(r, 8), 1)]) AS outer_mean, r + 2 AS lo, least(r + 10, len(vs)) AS hi FROM r),
 b AS (SELECT *, coalesce(r >= 1 AND r < lim AND hi > lo AND outer_mean <= 25 AND list_avg(vs[lo + 1:hi]) - outer_mean >= 20, FALSE) AS banded FROM m),
 wd AS (SELECT asset_id, side, CAST(floor(median(r) FILTER (WHERE banded)) AS BIGINT) AS width FROM b GROUP BY asset_id, side),
