@@ -183,7 +183,7 @@ def evaluate(prepared: DataFrame) -> DataFrame:
         results[profile["platform"]] = F.struct(
             F.lit(profile["platform"]).alias("platform"), F.lit(profile["version"]).alias("profile"), F.when(allowed, checks).otherwise(not_ready).alias("checks"), categories.alias("categories"),
             file_operations(profile).alias("operations"), platform_text(profile).alias("text"))
-    rows = rows.withColumn("result", F.explode(F.array(*results.values())))
+    rows = rows.withColumn("result", F.explode_outer(F.array(*results.values())))
     blocked = F.exists("result.checks", lambda c: c["level"] == BLOCKER)
     status = first_match([(~allowed, "not_evaluated"), (blocked, "blocked")], "ready")
     return rows.select("asset_id", "result.platform", "result.profile", status.alias("status"), "result.checks",

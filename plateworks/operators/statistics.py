@@ -13,7 +13,7 @@ from plateworks.operators import log
 def frequencies(rows: DataFrame, **dimensions: Column) -> DataFrame:
     """(dimension, key, n) of several columns from one pass: rows are unpivoted and counted together."""
     entries = F.array(*[F.struct(F.lit(name).alias("dimension"), value.cast("string").alias("key")) for name, value in dimensions.items()])
-    return rows.select(F.inline(entries)).groupBy("dimension", "key").agg(F.count("*").alias("n"))
+    return rows.select(F.inline_outer(entries)).groupBy("dimension", "key").agg(F.count("*").alias("n"))
 
 
 def code_frequencies(rows: DataFrame, **arrays: Column) -> DataFrame:

@@ -46,7 +46,8 @@ def _branded(t: Tables):
 
 @query("rdy_brands", "SELECT asset_id, term, source, prominence FROM b_brand_list")
 def rdy_brands(t: Tables):
-    return _branded(t).select("asset_id", F.inline("brand_list"))
+    # the outer form keeps Spark from testing the list once more below the projection that computes it
+    return _branded(t).select("asset_id", F.inline_outer("brand_list")).filter(F.col("term").isNotNull())
 
 
 @query("win_brand_first", "SELECT asset_id, count(*) AS brands, count(*) FILTER (WHERE source NOT IN ('brand', 'logo')) AS from_text FROM b_brand_list GROUP BY asset_id")
@@ -80,12 +81,12 @@ def _scored(t: Tables):
 
 @query("rdy_category_score", "SELECT asset_id, grp AS category_group, score FROM b_categories")
 def rdy_category_score(t: Tables):
-    return _scored(t).select("asset_id", F.explode("scores").alias("s")).select("asset_id", F.col("s.group").alias("category_group"), F.col("s.score").cast("bigint").alias("score"))
+    return _scored(t).select("asset_id", F.explode_outer("scores").alias("s")).filter("s IS NOT NULL").select("asset_id", F.col("s.group").alias("category_group"), F.col("s.score").cast("bigint").alias("score"))
 
 
 @query("win_category_rank", "SELECT asset_id, rank, grp AS category_group FROM b_categories")
 def win_category_rank(t: Tables):
-    return _scored(t).select("asset_id", F.posexplode("scores").alias("pos", "s")).select("asset_id", (F.col("pos") + 1).cast("bigint").alias("rank"), F.col("s.group").alias("category_group"))
+    return _scored(t).select("asset_id", F.posexplode_outer("scores").alias("pos", "s")).filter("s IS NOT NULL").select("asset_id", (F.col("pos") + 1).cast("bigint").alias("rank"), F.col("s.group").alias("category_group"))
 
 
 def _cat_names(i: int) -> str:
@@ -96,9 +97,9 @@ sql_view("b_category_map", f"""
 SELECT asset_id, max({_cat_names(1)}) FILTER (WHERE rank = 1) AS adobe, array_to_string(list({_cat_names(2)} ORDER BY rank) FILTER (WHERE rank = 1 OR (rank = 2 AND score >= 2 AND score >= best * 0.25)), ',') AS shutterstock FROM b_categories GROUP BY asset_id""")
 
 
-@query("rdy_category_map", "SELECT * FROM b_category_map")
+@query("rdy_category_map", "SELECT f.asset_id, coalesce(m.adobe, '') AS adobe, coalesce(m.shutterstock, '') AS shutterstock FROM b_fields f LEFT JOIN b_category_map m USING (asset_id)")
 def rdy_category_map(t: Tables):
-    rows = _scored(t).filter(F.size("scores") > 0)
+    rows = _scored(t)
     return rows.select("asset_id", joined(readiness.map_categories(ADOBE, F.col("scores"))).alias("adobe"), joined(readiness.map_categories(SHUTTERSTOCK, F.col("scores"))).alias("shutterstock"))
 
 
@@ -204,7 +205,7 @@ def pub_refuse(t: Tables):
  ELSE {_J}(readiness_evaluated_text, '$.platforms.{p}.status') END AS status FROM b_inputs""" for p in fixed.PLATFORMS))
 def rdy_current(t: Tables):
     rows = t.b_catalog.join(log.latest_slots(t.b_events, ("readiness_evaluated",), ("readiness_evaluated",)), "asset_id", "left")
-    return rows.select("asset_id", F.inline(F.array(*[F.struct(F.lit(p).alias("platform"), readiness.current_status(F.col("readiness_evaluated"), F.col("fp_readiness"), p).alias("status")) for p in fixed.PLATFORMS])))
+    return rows.select("asset_id", F.inline_outer(F.array(*[F.struct(F.lit(p).alias("platform"), readiness.current_status(F.col("readiness_evaluated"), F.col("fp_readiness"), p).alias("status")) for p in fixed.PLATFORMS])))
 
 
 @query("rdy_facts", f"""
@@ -260,7 +261,7 @@ def exp_snapshot_checks(t: Tables):
     def result(p):
         refusal, warnings = exporting.snapshot_checks(p, F.col(f"f_{p['text_field']}"), F.col("f_keywords"))
         return F.struct(F.lit(p["platform"]).alias("platform"), refusal.alias("refusal"), joined(warnings).alias("warnings"))
-    return fields(t).select("asset_id", F.inline(F.array(*[result(p) for p in fixed.EXPORT_PROFILES])))
+    return fields(t).select("asset_id", F.inline_outer(F.array(*[result(p) for p in fixed.EXPORT_PROFILES])))
 
 
 def _refusal_sql(p: str) -> str:
@@ -270,7 +271,7 @@ def _refusal_sql(p: str) -> str:
 
 @query("exp_input_checks", " UNION ALL ".join(f"SELECT asset_id, '{p}' AS platform, {_refusal_sql(p)} AS refusal FROM b_state_verified" for p in fixed.PLATFORMS))
 def exp_input_checks(t: Tables):
-    return state_table(t, verify=True).select("asset_id", F.inline(F.array(*[F.struct(F.lit(p).alias("platform"), exporting.input_refusal(p).alias("refusal")) for p in fixed.PLATFORMS])))
+    return state_table(t, verify=True).select("asset_id", F.inline_outer(F.array(*[F.struct(F.lit(p).alias("platform"), exporting.input_refusal(p).alias("refusal")) for p in fixed.PLATFORMS])))
 
 
 @query("exp_fit_size", """
@@ -282,7 +283,7 @@ def exp_fit_size(t: Tables):
 
 @query("exp_status", " UNION ALL ".join(f"""SELECT asset_id, '{p}' AS platform, {p}_file_status AS status, {p}_file_reason AS reason, CASE WHEN export_failed_{p}_id IS NOT NULL AND (export_{p}_id IS NULL OR export_failed_{p}_id > export_{p}_id) THEN {_J}(export_failed_{p}_text, '$.code') END AS last_failure FROM b_state0""" for p in fixed.PLATFORMS))
 def exp_status(t: Tables):
-    return state_table(t).select("asset_id", F.inline(F.array(*[F.struct(F.lit(p).alias("platform"), F.col(f"{p}_file.status").alias("status"), F.col(f"{p}_file.reason").alias("reason"), exporting.last_failure(p).alias("last_failure")) for p in fixed.PLATFORMS])))
+    return state_table(t).select("asset_id", F.inline_outer(F.array(*[F.struct(F.lit(p).alias("platform"), F.col(f"{p}_file.status").alias("status"), F.col(f"{p}_file.reason").alias("reason"), exporting.last_failure(p).alias("last_failure")) for p in fixed.PLATFORMS])))
 
 
 def _pending(t: Tables):

@@ -349,7 +349,7 @@ SELECT *, CASE WHEN rule IN ('CONFORMITY_MARK', 'DIGITS', 'CODE', 'WARNING_WORD'
 
 @query("gate_text_item", "SELECT asset_id, pos, line, category, rule FROM b_items")
 def gate_text_item(t: Tables):
-    return vision(t).select("asset_id", F.posexplode(gate.text_items()).alias("pos", "item")).select(
+    return vision(t).select("asset_id", F.posexplode_outer(gate.text_items()).alias("pos", "item")).select(
         "asset_id", (F.col("pos") + 1).cast("bigint").alias("pos"), F.col("item.text").alias("line"), "item.category", "item.rule")
 
 
@@ -463,7 +463,7 @@ def gate_privacy_strip(t: Tables):
 @query("agg_brand_watch", "SELECT i.asset_id, i.line FROM b_items i JOIN b_vision v USING (asset_id) WHERE category = 'descriptive' AND len(v.brands) = 0 AND len(v.logos) = 0 AND regexp_matches(line, '^\\p{Lu}{2,}$')")
 def agg_brand_watch(t: Tables):
     plain = vision(t).filter((F.size("brands") == 0) & (F.size("logos") == 0))
-    items = plain.select("asset_id", F.explode(gate.text_items()).alias("item"))
+    items = plain.select("asset_id", F.explode_outer(gate.text_items()).alias("item"))
     return items.filter((F.col("item.category") == "descriptive") & F.col("item.text").rlike(r"^\p{Lu}{2,}$")).select("asset_id", F.col("item.text").alias("line"))
 
 
