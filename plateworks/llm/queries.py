@@ -1,0 +1,47 @@
+"""The operators applied to whole driver tables, with their SQL counterparts where SQL can express them."""
+
+from __future__ import annotations
+
+import public_tokenizers
+
+from plateworks.llm import bpe, rule_ledger, sharding
+from plateworks.llm.storage import table
+
+RANKS = "byte_bpe_50k.tiktoken"
+
+
+def op2_rule_ledger(spark, sf_dir):
+    return rule_ledger.verdicts(table(spark, sf_dir, "documents"))
+
+
+def op7_byte_bpe(spark, sf_dir):
+    ranks, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.digests(bpe.decode(bpe.encode(docs, ranks, pattern).drop("text"), ranks, pattern))
+
+
+def op10_external_shuffle(spark, sf_dir):
+    return sharding.assignments(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_rule_ledger, op7_byte_bpe, op10_external_shuffle)}
+
+ORACLES = {
+    "op2_rule_ledger": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws,
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
+g AS (SELECT r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS s FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+c AS (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS n FROM g),
+p AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM c WHERE n > 1) GROUP BY r),
+m AS (SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+        len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(p.n, 0) AS n_repeat_words, len(ls) AS n_lines,
+        len(list_filter(ws, lambda x: x = '|')) AS bars, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS up, length(regexp_replace(t, '[^a-z]', '', 'g')) AS low
+      FROM w LEFT JOIN p USING (r)),
+b AS (SELECT *, (n_words < {rule_ledger.FEW_WORDS})::INT + 2 * (100 * n_repeat_words > {rule_ledger.REPEAT_PERCENT} * n_words)::INT
+        + 4 * (100 * n_symbols > {rule_ledger.SYMBOLS_PER_100_WORDS} * n_words)::INT + 8 * (100 * n_dup_lines > {rule_ledger.DUP_LINE_PERCENT} * n_lines)::INT
+        + 16 * (word_chars < {rule_ledger.MEAN_WORD_LOW} * n_words OR word_chars > {rule_ledger.MEAN_WORD_HIGH} * n_words)::INT
+        + 32 * (100 * bars > {rule_ledger.BAR_WORD_PERCENT} * n_words)::INT + 64 * (100 * up > {rule_ledger.SHOUT_PERCENT} * (up + low))::INT AS bits FROM m)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+  n_repeat_words::BIGINT AS n_repeat_words, bits & 3 <> 0 AS base_failed, bits = 0 AS kept, bits::BIGINT AS failed_bits FROM b""",
+}
