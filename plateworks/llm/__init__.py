@@ -7,12 +7,12 @@ from __future__ import annotations
 
 
 def queries():
-    from plateworks.llm.queries import QUERIES
+    from plateworks.llm.registered import QUERIES
 
     return dict(QUERIES)
 
 
 def oracle_sql():
-    from plateworks.llm.queries import ORACLES
+    from plateworks.llm.registered import ORACLES
 
     return dict(ORACLES)
