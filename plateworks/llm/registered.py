@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from plateworks.llm import bpe, rule_ledger, sharding
+from plateworks.llm import bpe, patience_lines, rule_ledger, sharding, simhash
 from plateworks.llm.storage import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -14,6 +14,14 @@ def op2_rule_ledger(spark, sf_dir):
     return rule_ledger.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op3_simhash(spark, sf_dir):
+    return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
+
+
+def op4_patience_lines(spark, sf_dir):
+    return patience_lines.digest(patience_lines.deduplicated(table(spark, sf_dir, "documents")))
+
+
 def op7_byte_bpe(spark, sf_dir):
     ranks, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -24,7 +32,7 @@ def op10_external_shuffle(spark, sf_dir):
     return sharding.assignments(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_rule_ledger, op7_byte_bpe, op10_external_shuffle)}
+QUERIES = {f.__name__: f for f in (op2_rule_ledger, op3_simhash, op4_patience_lines, op7_byte_bpe, op10_external_shuffle)}
 
 ORACLES = {
     "op2_rule_ledger": f"""
