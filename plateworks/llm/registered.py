@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from plateworks.llm import bpe, patience_lines, rule_ledger, sharding, simhash
+from plateworks.llm import bpe, fm_substring, patience_lines, rule_ledger, sharding, simhash, suffix_induced
 from plateworks.llm.storage import table
 
 RANKS = "byte_bpe_50k.tiktoken"
 
 
+def op1_fm_substring(spark, sf_dir):
+    return fm_substring.digest(fm_substring.deduplicated(table(spark, sf_dir, "documents")))
+
+
 def op2_rule_ledger(spark, sf_dir):
     return rule_ledger.verdicts(table(spark, sf_dir, "documents"))
 
@@ -28,11 +32,15 @@ def op7_byte_bpe(spark, sf_dir):
     return bpe.digests(bpe.decode(bpe.encode(docs, ranks, pattern).drop("text"), ranks, pattern))
 
 
+def op9_induced_sorting(spark, sf_dir):
+    return suffix_induced.digest(suffix_induced.deduplicated(table(spark, sf_dir, "documents")))
+
+
 def op10_external_shuffle(spark, sf_dir):
     return sharding.assignments(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_rule_ledger, op3_simhash, op4_patience_lines, op7_byte_bpe, op10_external_shuffle)}
+QUERIES = {f.__name__: f for f in (op1_fm_substring, op2_rule_ledger, op3_simhash, op4_patience_lines, op7_byte_bpe, op9_induced_sorting, op10_external_shuffle)}
 
 ORACLES = {
     "op2_rule_ledger": f"""
