@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from plateworks.llm import bpe, fm_substring, patience_lines, rule_ledger, sharding, simhash, suffix_induced
-from plateworks.llm.storage import table
+from plateworks.llm import bpe, fm_substring, latent_decontam, patience_lines, rule_ledger, sharding, simhash, suffix_induced, token_rollups
+from plateworks.llm.storage import shared_folder, stage, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -26,12 +29,41 @@ def op4_patience_lines(spark, sf_dir):
     return patience_lines.digest(patience_lines.deduplicated(table(spark, sf_dir, "documents")))
 
 
+def op6_token_rollups(spark, sf_dir):
+    """Totals after three batches over all documents: all inserted, by two tokenizer versions; those with repeated lines
+    revised to the counts of their distinct lines; copies of a text with a smaller doc_id deleted. The second is committed twice."""
+    ranks, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+
+    def events(kind, rows):
+        counts = token_rollups.bpe_counts(rows, "byte_bpe_50k@1", ranks, pattern).unionByName(token_rollups.word_counts(rows, "words@1"))
+        return counts.withColumn("kind", F.lit(kind))
+
+    lines = F.split("text", "\n")
+    shorter = docs.where(F.size(F.array_distinct(lines)) < F.size(lines)).withColumn("text", F.array_join(F.array_distinct(lines), "\n"))
+    keyed = docs.select("doc_id", "source", "lang", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), "text").alias("h2"))
+    first = keyed.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"))
+    copies = keyed.join(first, ["h1", "h2"]).where("doc_id > first").select("doc_id", "source", "lang")
+    versions = F.explode(F.array(F.lit("byte_bpe_50k@1"), F.lit("words@1")))
+    gone = copies.select(F.lit("delete").alias("kind"), "doc_id", "source", "lang", versions.alias("version"), F.lit(0).cast("long").alias("tokens"))
+    rollup = token_rollups.Rollup(spark, f"{shared_folder(spark)}/llm/rollup-{uuid.uuid4().hex}")
+    rollup.commit(1, events("insert", docs))
+    revised = stage(events("revise", shorter), "revised")
+    rollup.commit(2, revised)
+    rollup.commit(2, revised)
+    return rollup.commit(3, gone)
+
+
 def op7_byte_bpe(spark, sf_dir):
     ranks, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.digests(bpe.decode(bpe.encode(docs, ranks, pattern).drop("text"), ranks, pattern))
 
 
+def op8_latent_decontam(spark, sf_dir):
+    return latent_decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_induced_sorting(spark, sf_dir):
     return suffix_induced.digest(suffix_induced.deduplicated(table(spark, sf_dir, "documents")))
 
@@ -40,7 +72,7 @@ def op10_external_shuffle(spark, sf_dir):
     return sharding.assignments(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fm_substring, op2_rule_ledger, op3_simhash, op4_patience_lines, op7_byte_bpe, op9_induced_sorting, op10_external_shuffle)}
+QUERIES = {f.__name__: f for f in (op1_fm_substring, op2_rule_ledger, op3_simhash, op4_patience_lines, op6_token_rollups, op7_byte_bpe, op8_latent_decontam, op9_induced_sorting, op10_external_shuffle)}
 
 ORACLES = {
     "op2_rule_ledger": f"""
