@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from plateworks.llm import bpe, fm_substring, latent_decontam, patience_lines, rule_ledger, sharding, simhash, suffix_induced, token_rollups
+from plateworks.llm import bpe, fm_substring, latent_decontam, patience_lines, rule_ledger, sharding, simhash, suffix_induced, token_rollups, toxicity_grammar
 from plateworks.llm.storage import shared_folder, stage, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -29,6 +29,11 @@ def op4_patience_lines(spark, sf_dir):
     return patience_lines.digest(patience_lines.deduplicated(table(spark, sf_dir, "documents")))
 
 
+def op5_toxicity_grammar(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity_grammar.scored(docs, toxicity_grammar.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_token_rollups(spark, sf_dir):
     """Totals after three batches over all documents: all inserted, by two tokenizer versions; those with repeated lines
     revised to the counts of their distinct lines; copies of a text with a smaller doc_id deleted. The second is committed twice."""
@@ -72,7 +77,7 @@ def op10_external_shuffle(spark, sf_dir):
     return sharding.assignments(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fm_substring, op2_rule_ledger, op3_simhash, op4_patience_lines, op6_token_rollups, op7_byte_bpe, op8_latent_decontam, op9_induced_sorting, op10_external_shuffle)}
+QUERIES = {f.__name__: f for f in (op1_fm_substring, op2_rule_ledger, op3_simhash, op4_patience_lines, op5_toxicity_grammar, op6_token_rollups, op7_byte_bpe, op8_latent_decontam, op9_induced_sorting, op10_external_shuffle)}
 
 ORACLES = {
     "op2_rule_ledger": f"""
