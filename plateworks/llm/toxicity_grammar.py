@@ -123,7 +123,7 @@ class Lexicon:
         """Class and weight of a lower-case word."""
         if word in self.words:
             return INSULT, self.words[word]
-        for k in range(SHORTEST, min(LONGEST, len(word)) + 1):
+        for k in range(min(LONGEST, len(word)), SHORTEST - 1, -1):
             if word[:k] in self.stems:
                 return INSULT, self.stems[word[:k]]
         return self.cues.get(word, OTHER), 1.0
@@ -196,7 +196,8 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     share = int(min(1.0, LABELLED / max(known.count(), 1)) * 1_000_000)
     chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")).where(chosen)
-    return texts.join(known.where(chosen), "doc_id").select("text", "toxic").repartition(FIT_PARTS)
+    # a text counts once, however many copies of it are labelled
+    return texts.join(known.where(chosen), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic")).repartition(FIT_PARTS)
 
 
 def _learned(sample: DataFrame) -> Lexicon:
@@ -219,11 +220,7 @@ def _learned(sample: DataFrame) -> Lexicon:
     n = next(((c, t) for _, u, c, t in units if not u), (0, 0))
     weight = {(w, u): math.log((t + 0.5) / (n[1] + 1)) - math.log((c + 0.5) / (n[0] + 1)) for w, u, c, t in units if u}
     good = {k: x for k, x in weight.items() if x >= ODDS}
-    stems: dict[bytes, float] = {}
-    for (_, u), x in sorted(((k, x) for k, x in good.items() if not k[0]), key=lambda kv: (len(kv[0][1]), kv[0][1])):
-        if not any(u[:k] in stems for k in range(SHORTEST, len(u))):
-            stems[u] = x
-    return Lexicon({u: x for (w, u), x in good.items() if w}, stems)
+    return Lexicon({u: x for (w, u), x in good.items() if w}, {u: x for (w, u), x in good.items() if not w})
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
