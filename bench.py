@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from plateworks.plans import load
@@ -19,7 +20,7 @@ BUDGET = float(os.environ.get("BENCH_BUDGET_SEC", "240"))
 
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    spark = local_session(os.environ.get("BENCH_CPUS", "8"), "bench")
+    spark = local_session(os.environ.get("BENCH_CPUS", "8"), "bench", tempfile.mkdtemp(prefix="plateworks-bench-"))
     spark.sparkContext.setLogLevel("ERROR")
     queries, _ = load()
     spark.range(1000).selectExpr("sum(id)").collect()  # start the executors before the clock

@@ -17,8 +17,6 @@ GATE_POLICY_VERSION = "gate-v1.3"
 READINESS_VERSION = "readiness-v2"
 PUBLICATION_POLICY_VERSION = "publication-v1"
 EXPORT_VERSION = "export-v1"
-SCORE_VERSION = "creative-score-v1"
-STATE_VERSION = "asset-state-v1"
 
 # --- files -----------------------------------------------------------------------------------
 SUPPORTED_EXTENSIONS = (".jpg", ".jpeg", ".png", ".tif", ".tiff", ".avif")
@@ -75,17 +73,6 @@ RERUN_NEEDS = {
     "creative_review": ("normalize", "view", "qc", "vision", "metadata", "readiness"),
     "publication": ("normalize", "view", "qc", "vision", "metadata", "readiness"),
 }
-STAGE_WRITES = {
-    "normalize": ("NORMALIZE/EVALUATED", "NORMALIZE/PASSED"),
-    "view": (),
-    "qc": ("assets.qc_result", "QC/PASSED|FAILED"),
-    "enhancement": ("ENHANCEMENT/ASSESSED", "ENHANCEMENT/ADVISED"),
-    "vision": ("assets.ai_result", "AI/PASSED|FAILED"),
-    "metadata": ("METADATA_AI/PASSED|FAILED", "assets.metadata_json", "METADATA/DRAFTED", "METADATA/GATED"),
-    "readiness": ("READINESS/EVALUATED|FAILED",),
-    "creative_review": ("CREATIVE_REVIEW/ADVISED|FAILED",),
-    "publication": ("PUBLICATION/EVALUATED",),
-}
 
 # --- QC thresholds ---------------------------------------------------------------------------
 QC_RULES = {
@@ -186,7 +173,6 @@ LEGAL_CLAIM_PATTERNS = (
     r"trademark(?:ed)?", r"licensed", r"official", r"guaranteed", r"guarantee", r"warranty",
     r"iso\s?\d{3,5}", r"ul listed", r"ce marked", r"meets\b.{0,40}?\bstandards?",
 )
-URL_PATTERN = r"(?i)(https?://|www\.)|\b[\w-]+\.(com|net|org|ru|de|io|рф)\b"
 EMAIL_PATTERN = r"\S+@\S+\.\S+"
 PHONE_PATTERN = r"\+?\d[\d\s()\-]{8,}\d"
 CODE_PATTERN = r"[A-ZА-ЯЁ]{1,4}-[A-ZА-ЯЁ0-9]{1,4}"
@@ -318,6 +304,5 @@ RETRY_MAX_PER_RUN = 5
 DIGEST_PROBLEM_ASSETS = 10
 NOTICE_TITLE_CHARS = 200
 NOTICE_MAX_ITEMS = 200
-ERROR_CHARS = 500
 REDACTED = "[redacted]"
 REDACT_MIN_LENGTH = 3

@@ -92,11 +92,17 @@ def whitelist_audit(inventory: Column, whitelist: Column) -> Column:
     return F.struct(verdict.alias("verdict"), F.array_join(extra, ",").alias("not_allowed"), F.array_join(missing, ",").alias("missing"))
 
 
+def padded(number: Column, digits: int = 3) -> Column:
+    """A number with leading zeros; longer numbers keep all their digits."""
+    text = number.cast("string")
+    return F.lpad(text, F.greatest(F.lit(digits), F.length(text)), "0")
+
+
 def collect(pending: DataFrame, next_batch: DataFrame, day: str) -> DataFrame:
     """Pending rows with outcome collect -> manifest rows of one new batch per platform."""
     numbered = pending.filter(F.col("outcome") == "collect").join(F.broadcast(next_batch), "platform", "left")  # one row per platform
     batch = F.coalesce("next_batch", F.lit(1)).cast("bigint")
-    folder = F.concat(F.lit("publish/"), "platform", F.lit("/"), F.lpad(batch.cast("string"), 3, "0"), F.lit(f"_{day}"))
+    folder = F.concat(F.lit("publish/"), "platform", F.lit("/"), padded(batch), F.lit(f"_{day}"))
     return numbered.select("platform", batch.alias("batch"), folder.alias("folder"), "asset_id", "filename", "text",
                            F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")).cast("bigint").alias("words"), "sha256")
 

@@ -146,28 +146,31 @@ def detail_ratio(lines: DataFrame) -> DataFrame:
 
 
 def tile_variances(lines: DataFrame, tile: int) -> DataFrame:
-    """Laplacian variance of every full tile: (asset_id, tx, ty, v)."""
-    near = with_neighbours(lines)
-    inside = (F.col("y") % tile > 0) & (F.col("y") % tile < tile - 1)
-    lap = near.filter(inside).select("asset_id", F.floor(F.col("y") / tile).alias("ty"), F.size("px").alias("width"), laplacian(near).alias("lap")).filter(F.col("lap").isNotNull())
-    pieces = lap.select("asset_id", "ty", F.explode(F.sequence(F.lit(0), F.floor(F.col("width") / tile).cast("int") - 1)).alias("tx"), "lap")
-    part = F.slice("lap", F.col("tx") * tile + 1, F.lit(tile - 2))
-    values = pieces.select("asset_id", "tx", "ty", moments(part).alias("m"))
-    tiles = values.groupBy("asset_id", "tx", "ty").agg(F.sum("m.n").alias("n"), F.sum("m.s").alias("s"), F.sum("m.q").alias("q"), F.count("*").alias("rows"))
-    return tiles.filter(F.col("rows") == tile - 2).select("asset_id", "tx", "ty", variance(F.col("n"), F.col("s"), F.col("q")).alias("v"))
-
-
-def tile_summary(tiles: DataFrame, tile: int, sharp: float = fixed.SHARP_TILE) -> DataFrame:
+    """Laplacian variance of every full tile: (asset_id, tile, tx, ty, v). A picture smaller than a tile shrinks it to its
+    smaller side; one of less than three pixels has no tile. Moments per tile are taken inside the line."""
+    sizes = lines.groupBy("asset_id").agg(F.least(F.lit(tile), F.max(F.size("px")), F.max("y") + 1).cast("int").alias("tile")).filter("tile >= 3")
+    near = with_neighbours(lines).join(sizes, "asset_id")
+    side, within = F.col("tile"), F.col("y") % F.col("tile")
+    lap = near.filter((within > 0) & (within < side - 1)).select("asset_id", "tile", F.floor(F.col("y") / side).alias("ty"), F.size("px").alias("width"), laplacian(near).alias("lap")).filter(F.col("lap").isNotNull())
+    across = F.sequence(F.lit(0), F.floor(F.col("width") / side).cast("int") - 1)
+    pieces = F.transform(across, lambda tx: F.struct(tx.alias("tx"), moments(F.slice("lap", tx * side + 1, side - 2)).alias("m")))
+    values = lap.select("asset_id", "tile", "ty", F.inline(pieces))
+    tiles = values.groupBy("asset_id", "tile", "tx", "ty").agg(F.sum("m.n").alias("n"), F.sum("m.s").alias("s"), F.sum("m.q").alias("q"), F.count("*").alias("rows"))
+    return tiles.filter((F.col("rows") == side - 2) & (F.col("n") > 0)).select("asset_id", "tile", "tx", "ty", variance(F.col("n"), F.col("s"), F.col("q")).alias("v"))
+
+
+def tile_summary(tiles: DataFrame, sharp: float = fixed.SHARP_TILE) -> DataFrame:
     """Peak (mean of the sharpest tenth, at least three), share of sharp tiles, centre of the sharpest tile.
 
-    Tiles of an image are few (pixels / tile area), so ranking them per image is bounded by the image size.
+    Tiles of an image are few (pixels / tile area), so ranking them per image is bounded by the image size. Values are
+    ranked as rounded, so that the noise of a sum's order doesn't decide between equal tiles.
     """
-    order = Window.partitionBy("asset_id").orderBy(F.desc("v"), F.desc("tx"), F.desc("ty"))
+    order = Window.partitionBy("asset_id").orderBy(F.desc(F.round("v", 6)), F.desc("tx"), F.desc("ty"))
     ranked = tiles.withColumns({"rank": F.row_number().over(order), "count": F.count("*").over(Window.partitionBy("asset_id"))})
     top = F.col("rank") <= F.greatest(F.lit(fixed.PEAK_MIN_TILES), F.floor(F.col("count") * fixed.PEAK_SHARE))
     return ranked.groupBy("asset_id").agg(
         F.avg(F.when(top, F.col("v"))).alias("sharpness_peak"), F.avg(F.when(F.col("v") >= sharp, 1.0).otherwise(0.0)).alias("sharp_tile_ratio"),
-        F.max(F.when(F.col("rank") == 1, F.col("tx") * tile + tile / 2)).alias("sharpest_x"), F.max(F.when(F.col("rank") == 1, F.col("ty") * tile + tile / 2)).alias("sharpest_y"))
+        F.max(F.when(F.col("rank") == 1, F.col("tx") * F.col("tile") + F.col("tile") / 2)).alias("sharpest_x"), F.max(F.when(F.col("rank") == 1, F.col("ty") * F.col("tile") + F.col("tile") / 2)).alias("sharpest_y"))
 
 
 def crops(sizes: DataFrame, crop: int = fixed.CROP) -> DataFrame:

@@ -113,10 +113,16 @@ def append_events(new: DataFrame, events: DataFrame, *order: str) -> DataFrame:
 
 
 def stamp_actor(message: Column, actor: str) -> Column:
-    """Adds (or overrides) the actor of a JSON object; any other text stays as it is."""
+    """Adds (or overrides) the top-level actor of a JSON object; any other text stays as it is.
+
+    Where other objects inside the message name actors too, the object is put together anew from its members.
+    """
     body = F.regexp_replace(message, r"\}\s*$", "")
     empty = body.rlike(r"^\s*\{\s*$")
     added = F.concat(body, F.when(empty, "").otherwise(","), F.lit(f'"actor":"{actor}"}}'))
     overridden = F.regexp_replace(message, r'"actor"\s*:\s*(?:"(?:[^"\\]|\\.)*"|null)', f'"actor":"{actor}"')
-    has = F.col("message").contains('"actor"') & F.try_variant_get(F.try_parse_json(message), "$.actor", "string").isNotNull()
-    return F.when(doc.is_json_object(message), F.when(has, overridden).otherwise(added)).otherwise(message)
+    members = F.map_filter(F.from_json(message, "map<string,variant>"), lambda k, v: k != "actor")
+    rebuilt = F.to_json(F.map_concat(members, F.create_map(F.lit("actor"), F.parse_json(F.lit(f'"{actor}"')))))
+    has = message.contains('"actor"') & F.try_variant_get(F.try_parse_json(message), "$.actor", "string").isNotNull()
+    once = F.regexp_count(message, F.lit(r'"actor"\s*:')) == 1
+    return F.when(doc.is_json_object(message), F.when(has & once, overridden).when(has, rebuilt).otherwise(added)).otherwise(message)

@@ -9,10 +9,6 @@ from plateworks import fixed
 from plateworks.operators import log
 
 
-def _assets_with(events: DataFrame, slot: str) -> DataFrame:
-    return events.filter(log.is_slot(slot)).select("asset_id").distinct()
-
-
 def result_without_event(assets: DataFrame, events: DataFrame) -> DataFrame:
     """(check, asset_id) of results that no event explains."""
     checks = (("INGEST/DONE", F.lit(True), "ingest_done"), ("QC", F.col("qc_result").isNotNull(), "qc"),

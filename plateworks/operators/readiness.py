@@ -253,7 +253,3 @@ def attest(kind: Column, note: Column, known: Column, actual_hash: Column, file_
     return first_match([(~F.coalesce(kind.isin(*fixed.ATTESTATION_KINDS), F.lit(False)), "INVALID_KIND"),
                         ((kind == "release_on_file") & (F.trim(F.coalesce(note, F.lit(""))) == ""), "NOTE_REQUIRED"), (~known, "ASSET_NOT_FOUND"),
                         (~actual_hash.eqNullSafe(file_hash), "SOURCE_INVALID")], "ATTESTED")
-
-
-def count_checks(results: DataFrame) -> DataFrame:
-    return results.select("asset_id", "platform", n(F.col("checks")).alias("checks"))

@@ -6,17 +6,12 @@ run is a fold over at most seven positions, not a loop over assets.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plateworks import fixed
 from plateworks.functions.arrays import first_match, flag, or_empty
 from plateworks.operators.stages import CURRENT, NOT_APPLICABLE, STALE
-from plateworks.session import materialize
-
-Runner = Callable[[str, DataFrame], DataFrame]
 
 
 def metadata_policy() -> Column:
@@ -83,51 +78,6 @@ def plan(rows: DataFrame, start: str | None = None, through: str | None = None)
         "asset_id", "start", F.when(F.col("is_refused"), -1).otherwise(F.col("pos")).alias("pos"), "step.stage", "step.action", "step.why")
 
 
-def replay(events: DataFrame) -> Runner:
-    """Stage runner over stored answers: the newest outcome of a stage per asset (models answer outside Spark)."""
-    names = {"normalize": "NORMALIZE", "view": "VIEW", "qc": "QC", "enhancement": "ENHANCEMENT", "vision": "AI", "metadata": "METADATA", "readiness": "READINESS",
-             "creative_review": "CREATIVE_REVIEW", "publication": "PUBLICATION"}
-    newest = events.groupBy("asset_id", "stage").agg(F.max_by("status", "id").alias("outcome"))
-
-    def run(stage: str, assets: DataFrame) -> DataFrame:
-        answers = newest.filter(F.col("stage") == names[stage]).select("asset_id", "outcome")
-        return assets.join(answers, "asset_id", "left").withColumn("outcome", F.coalesce("outcome", F.lit("DONE")))
-
-    return run
-
-
-def _run_chain(alive: DataFrame, chain: tuple[str, ...], run: Runner) -> DataFrame:
-    """Runs the stages in order, each as one set-based job whose result is written before the next one
-    starts (a lost executor repeats one stage); ``failed_at`` remembers where an asset left the chain."""
-    for name in chain:
-        outcomes = run(name, alive.filter(F.col("failed_at").isNull() & F.array_contains("todo", name)).select("asset_id")).withColumnRenamed("outcome", f"out_{name}")
-        alive = alive.join(outcomes, "asset_id", "left").withColumn(
-            "failed_at", F.when(F.col("failed_at").isNull() & F.col(f"out_{name}").eqNullSafe(F.lit("FAILED")), name).otherwise(F.col("failed_at")))
-        alive = materialize(alive, f"run-{name}")
-    return alive
-
-
-def execute(planned: DataFrame, run: Runner) -> DataFrame:
-    """Runs a plan stage by stage; one summary row per asset for which at least one stage ran."""
-    todo = planned.filter(F.col("action") == "run").groupBy("asset_id", "start").agg(F.collect_set("stage").alias("todo"))  # at most nine stages per asset
-    order = fixed.RERUN_CHAIN["normalize"] + ("creative_review", "publication")
-    done = _run_chain(materialize(todo.withColumn("failed_at", F.lit(None).cast("string")), "plan"), order, run)
-    executed = F.filter(F.array(*[flag(F.col(f"out_{n}").isNotNull(), F.concat(F.lit(f"{n}:"), F.col(f"out_{n}"))) for n in order]), lambda x: x.isNotNull())
-    return done.select("asset_id", "start", F.array_join(executed, ",").alias("executed"), "failed_at",
-                       F.when(F.col("failed_at").isNotNull(), "STOPPED").otherwise("REPROCESSED").alias("outcome")).filter(F.col("executed") != "")
-
-
-def process_batch(assets: DataFrame, run: Runner) -> DataFrame:
-    """First-time processing: an asset leaves the chain at its first failure."""
-    chain = ("normalize", "view", "qc", "vision", "metadata", "readiness")
-    start = assets.withColumn("todo", F.array(*[F.lit(c) for c in chain])).withColumn("failed_at", first_match([
-        (F.col("analyzed"), "already_done"), (F.col("source_status") != "ok", "source")], F.lit(None).cast("string")))
-    done = _run_chain(start, chain, run)
-    outcome = first_match([(F.col("failed_at") == "already_done", "AI_ALREADY_DONE"), (F.col("failed_at") == "source", "SOURCE_INVALID"),
-                           (F.col("failed_at") == "vision", "AI_FAILED"), (F.col("failed_at").isNotNull(), F.concat(F.upper("failed_at"), F.lit("_FAILED")))], "AI_PASSED")
-    return done.select("asset_id", "failed_at", outcome.alias("outcome"))
-
-
 def state_lists(rows: DataFrame, collected: DataFrame) -> DataFrame:
     """Approved items per platform with export status and batch; blocked items with reasons; rejected items."""
     nothing = F.lit(None).cast("string")

@@ -85,13 +85,6 @@ def readiness_statistics(rows: DataFrame) -> DataFrame:
     return rows.select(F.inline(entries)).groupBy("dimension", "key").agg(F.count("*").alias("n"))
 
 
-def zero_filled(counts: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Counts per key with a row for every key of a fixed list."""
-    spark = counts.sparkSession
-    frame = spark.createDataFrame([(k,) for k in keys], "key STRING")
-    return frame.join(counts, "key", "left").select("key", F.coalesce("n", F.lit(0)).alias("n"))
-
-
 def review_queue(rows: DataFrame) -> DataFrame:
     """One row of totals over the catalogue, states and metadata states zero-filled as columns."""
     def count(cond: Column) -> Column:
@@ -205,7 +198,3 @@ def label_medians(scores: DataFrame, labels: DataFrame, *group: str) -> DataFram
         F.count(F.when(F.col("recommendation") == r, 1)).alias(r) for r in ("proceed", "attention", "skip_suggested")])
     return counted.groupBy(*group).agg(F.sum("times").alias("n"), F.expr("percentile(score, 0.5, times)").alias("median_score"),
                                        *[F.sum(r).alias(r) for r in ("proceed", "attention", "skip_suggested")])
-
-
-def newest_notes(rows: DataFrame) -> DataFrame:
-    return rows.select("asset_id", log.effective_decision().alias("decision"))

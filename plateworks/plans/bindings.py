@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from plateworks import fixed
 from plateworks.functions import documents as doc
@@ -20,10 +21,10 @@ DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "
 _DIALECT = {
     "spark": {"SHA": "sha2({0}, 256)", "JSON": "get_json_object({0}, '{1}')", "LINES": "split({0}, '\\n')",
               "WORDS": "split({0}, ' ')", "ITEM": "element_at({0}, {1})", "ARR": "array({0})",
-              "NOARR": "cast(array() as array<string>)", "LPAD": "lpad({0}, {1}, '0')", "LAST": "element_at({0}, -1)"},
+              "NOARR": "cast(array() as array<string>)", "LPAD": "lpad({0}, greatest({1}, length({0})), '0')", "LAST": "element_at({0}, -1)"},
     "duckdb": {"SHA": "sha256({0})", "JSON": "json_extract_string({0}, '{1}')", "LINES": "string_split({0}, chr(10))",
                "WORDS": "string_split({0}, ' ')", "ITEM": "({0})[{1}]", "ARR": "[{0}]",
-               "NOARR": "CAST([] AS VARCHAR[])", "LPAD": "lpad({0}, {1}, '0')", "LAST": "({0})[-1]"},
+               "NOARR": "CAST([] AS VARCHAR[])", "LPAD": "lpad({0}, CAST(greatest({1}, length({0})) AS INT), '0')", "LAST": "({0})[-1]"},
 }
 
 
@@ -346,8 +347,7 @@ def sql_with(body: str) -> str:
 
 
 _STORED = {"b_events": ("stage",), "b_catalog": ()}
-_TEXT_TABLES = ("documents", "conversations", "pages")
-_TABLES: dict[tuple[str, str, str], DataFrame] = {}
+_TABLES: dict[tuple, DataFrame] = {}
 
 
 class Tables:
@@ -357,20 +357,24 @@ class Tables:
         self.spark, self.folder = spark, folder
 
     def table(self, name: str) -> DataFrame:
-        """A driver table. The text tables are single files of one row group: only where such a scan leaves
-        cores idle are its rows spread over them; a large table with many splits is read as it lies."""
-        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        cores = self.spark.sparkContext.defaultParallelism
-        if name in _TEXT_TABLES and df.rdd.getNumPartitions() * 2 <= cores:
-            return df.repartition(cores)
-        return df
+        """A driver table, read as it lies."""
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+
+    def version(self, name: str) -> tuple:
+        """Newest change and size of the files below a view; another value means that a stored copy is stale."""
+        body = VIEWS.get(name)
+        if body is None:
+            found = self.table(name).select("_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_size").distinct()
+            return tuple(found.agg(F.max("file_modification_time"), F.sum("file_size"), F.count("file_path")).first())
+        below = [n for n in (*DRIVER_TABLES, *VIEWS) if n != name and re.search(rf"(FROM|JOIN)\s+{n}\b", body)]
+        return tuple(self.version(n) for n in below)
 
     def view(self, name: str) -> DataFrame:
-        """A binding view; the log and the catalogue are written once per application and folder, the log
-        partitioned by stage, because a catalogue keeps them as tables that every report reads."""
+        """A binding view; the log and the catalogue are written once per application, folder and version of its files, the
+        log partitioned by stage, because a catalogue keeps them as tables that every report reads."""
         if name not in _STORED:
             return self.compose(name)
-        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        key = (self.spark.sparkContext.applicationId, self.folder, name, self.version(name))
         if key not in _TABLES:
             _TABLES[key] = materialize(self.compose(name), name, _STORED[name])
         return _TABLES[key]

@@ -92,23 +92,23 @@ def img_detail_ratio(t: Tables):
 
 
 sql_view("b_tiles", f"""
-SELECT asset_id, x // {TILE} AS tx, y // {TILE} AS ty, var_pop(4 * v - l - r - u - d) AS v FROM ({_near('b_px')}) WHERE x % {TILE} BETWEEN 1 AND {TILE - 2} AND y % {TILE} BETWEEN 1 AND {TILE - 2}
-GROUP BY ALL HAVING count(4 * v - l - r - u - d) = {(TILE - 2) ** 2}""")
-sql_view("b_tile_rank", "SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY v DESC, tx DESC, ty DESC) AS rank, count(*) OVER (PARTITION BY asset_id) AS n FROM b_tiles")
+SELECT asset_id, tile, x // tile AS tx, y // tile AS ty, var_pop(4 * v - l - r - u - d) AS v FROM ({_near('b_px')}) JOIN (SELECT asset_id, least({TILE}, max(x) + 1, max(y) + 1) AS tile FROM b_px GROUP BY asset_id) USING (asset_id)
+WHERE x % tile BETWEEN 1 AND tile - 2 AND y % tile BETWEEN 1 AND tile - 2 GROUP BY ALL HAVING count(4 * v - l - r - u - d) = (tile - 2) * (tile - 2)""")
+sql_view("b_tile_rank", "SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY round(v, 6) DESC, tx DESC, ty DESC) AS rank, count(*) OVER (PARTITION BY asset_id) AS n FROM b_tiles")
 
 
 @query("img_tile_sharpness", f"""
-SELECT asset_id, round(avg(v) FILTER (WHERE rank <= greatest(3, floor(n * 0.1))), 3) AS sharpness_peak, round(avg(CAST(v >= {SHARP} AS INT)), 6) AS sharp_tile_ratio, max(tx * {TILE} + {TILE / 2}::DOUBLE) FILTER (WHERE rank = 1) AS sharpest_x, max(ty * {TILE} + {TILE / 2}::DOUBLE) FILTER (WHERE rank = 1) AS sharpest_y
+SELECT asset_id, round(avg(v) FILTER (WHERE rank <= greatest(3, floor(n * 0.1))), 3) AS sharpness_peak, round(avg(CAST(v >= {SHARP} AS INT)), 6) AS sharp_tile_ratio, max(tx * tile + tile / 2::DOUBLE) FILTER (WHERE rank = 1) AS sharpest_x, max(ty * tile + tile / 2::DOUBLE) FILTER (WHERE rank = 1) AS sharpest_y
 FROM b_tile_rank GROUP BY asset_id""")
 def img_tile_sharpness(t: Tables):
-    done = images.tile_summary(images.tile_variances(lines(t), TILE), TILE, SHARP)
+    done = images.tile_summary(images.tile_variances(lines(t), TILE), SHARP)
     return done.withColumns({"sharpness_peak": F.round("sharpness_peak", 3), "sharp_tile_ratio": F.round("sharp_tile_ratio", 6)})
 
 
 @query("win_tile_topk", "SELECT asset_id, count(*) AS tiles, count(*) FILTER (WHERE rank <= greatest(3, floor(n * 0.1))) AS counted, round(avg(v) FILTER (WHERE rank <= greatest(3, floor(n * 0.1))), 3) AS peak FROM b_tile_rank GROUP BY asset_id")
 def win_tile_topk(t: Tables):
     tiles = images.tile_variances(lines(t), TILE)
-    done = images.tile_summary(tiles, TILE, SHARP).select("asset_id", F.round("sharpness_peak", 3).alias("peak"))
+    done = images.tile_summary(tiles, SHARP).select("asset_id", F.round("sharpness_peak", 3).alias("peak"))
     counts = tiles.groupBy("asset_id").agg(F.count("*").alias("tiles"))
     return counts.join(done, "asset_id").select("asset_id", "tiles", F.least("tiles", F.greatest(F.lit(3).cast("bigint"), F.floor(F.col("tiles") * fixed.PEAK_SHARE))).alias("counted"), "peak")
 

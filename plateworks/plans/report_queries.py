@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plateworks import fixed
 from plateworks.functions.arrays import joined
 from plateworks.operators import creative, log, paging, ranking, statistics
+from plateworks.operators.exporting import padded
 from plateworks.plans.bindings import Tables, sql_view
 from plateworks.plans.event_queries import enhancement_slots
 from plateworks.plans.registry import query
@@ -130,7 +131,7 @@ def agg_facts_profile(t: Tables):
     return statistics.facts_profile(t.b_facts)
 
 
-_FOLDERS = "SELECT CASE l_returnflag WHEN 'A' THEN 'adobe' ELSE 'shutterstock' END AS platform, CASE WHEN l_linestatus = 'O' THEN '.' ELSE '' END || lpad(CAST(l_suppkey AS VARCHAR), 3, '0') || '_2024-01-0' || l_linenumber || CASE WHEN l_linestatus = 'O' THEN '.tmp' ELSE '' END AS folder FROM b_batches"
+_FOLDERS = "SELECT CASE l_returnflag WHEN 'A' THEN 'adobe' ELSE 'shutterstock' END AS platform, CASE WHEN l_linestatus = 'O' THEN '.' ELSE '' END || lpad(CAST(l_suppkey AS VARCHAR), CAST(greatest(3, length(CAST(l_suppkey AS VARCHAR))) AS INT), '0') || '_2024-01-0' || l_linenumber || CASE WHEN l_linestatus = 'O' THEN '.tmp' ELSE '' END AS folder FROM b_batches"
 
 
 @query("agg_next_batch", f"""
@@ -138,7 +139,7 @@ SELECT platform, coalesce(max(batch), 0) + 1 AS next_batch FROM (SELECT platform
  SELECT platform, CAST(nullif(regexp_extract(regexp_replace(folder, '^\\.|\\.tmp$', '', 'g'), '^(\\d{{3,}})_\\d{{4}}-\\d{{2}}-\\d{{2}}$', 1), '') AS BIGINT) FROM ({_FOLDERS.replace('b_batches', '(SELECT *, batch AS l_linenumber FROM b_batches)')})) GROUP BY platform""")
 def agg_next_batch(t: Tables):
     open_ = F.col("l_linestatus") == "O"
-    folder = F.concat(F.when(open_, ".").otherwise(""), F.lpad(F.col("l_suppkey").cast("string"), 3, "0"), F.lit("_2024-01-0"), F.col("batch").cast("string"), F.when(open_, ".tmp").otherwise(""))
+    folder = F.concat(F.when(open_, ".").otherwise(""), padded(F.col("l_suppkey")), F.lit("_2024-01-0"), F.col("batch").cast("string"), F.when(open_, ".tmp").otherwise(""))
     return statistics.next_batch(log.collected(t.b_events), t.b_batches.select("platform", folder.alias("folder")))
 
 

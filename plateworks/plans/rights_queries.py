@@ -296,7 +296,7 @@ def _next(t: Tables):
 
 
 @query("exp_collect", f"""
-SELECT platform, batch, 'publish/' || platform || '/' || lpad(CAST(batch AS VARCHAR), 3, '0') || '_2024-03-01' AS folder, asset_id, filename, text, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS words, sha256
+SELECT platform, batch, 'publish/' || platform || '/' || lpad(CAST(batch AS VARCHAR), CAST(greatest(3, length(CAST(batch AS VARCHAR))) AS INT), '0') || '_2024-03-01' AS folder, asset_id, filename, text, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS words, sha256
 FROM (SELECT p.*, coalesce(n.batch, 1) AS batch FROM b_pending p LEFT JOIN (SELECT platform, max(batch) + 1 AS batch FROM b_collected GROUP BY platform) n USING (platform) WHERE outcome = 'collect')""")
 def exp_collect(t: Tables):
     return exporting.collect(_pending(t), _next(t), "2024-03-01")

@@ -144,11 +144,11 @@ def jsn_parse_or_text(t: Tables):
 
 
 @query("jsn_strip_key", """
-SELECT id, array_to_string(list_sort(list_filter(json_keys(CASE WHEN json_valid(message) THEN message END), lambda k: k <> 'actor')), ',') AS members FROM b_events WHERE json_valid(message)""")
+SELECT id, array_to_string(list_sort(list_filter(json_keys(CASE WHEN json_valid(message) THEN message END), lambda k: k <> 'actor')), ',') AS members FROM b_events""")
 def jsn_strip_key(t: Tables):
-    rows = t.b_events.filter(doc.is_json_object(F.col("message")))
     kept = F.map_filter(F.from_json("message", "map<string,string>"), lambda k, v: k != "actor")
-    return rows.select("id", joined(F.array_sort(F.map_keys(kept))).alias("members"))
+    members = joined(F.array_sort(F.map_keys(kept)))
+    return t.b_events.select("id", F.when(doc.is_json_object(F.col("message")), members).alias("members"))
 
 
 @query("jsn_path_filter", f"SELECT id, asset_id, {_J}(message, '$.kind') AS kind, {_J}(message, '$.key') AS key FROM b_events WHERE stage = 'NOTIFY' AND status = 'SENT' AND json_valid(message) AND {_J}(message, '$.kind') = 'retry_exhausted'")

@@ -35,13 +35,13 @@ def derived(t: Tables, verify: bool = False):
     return stages.derive(inputs(t), IDENTITIES, PROMPT, verify)
 
 
-_STATE_TABLES: dict[tuple[str, str, bool], object] = {}
+_STATE_TABLES: dict[tuple, object] = {}
 
 
 def state_table(t: Tables, verify: bool = False):
-    """The derived state as a written table, built once per application and data folder: every report
+    """The derived state as a written table, built once per application, data folder and version of its files: every report
     on states reads it with its filters pushed to the files instead of deriving the catalogue again."""
-    key = (t.spark.sparkContext.applicationId, t.folder, verify)
+    key = (t.spark.sparkContext.applicationId, t.folder, verify, t.version("b_events"), t.version("b_catalog"))
     if key not in _STATE_TABLES:
         rows = stages.pipeline_summary(derived(t, verify))
         _STATE_TABLES[key] = materialize(rows.drop("qc_result", "ai_result", "metadata_json"), "state")
@@ -415,16 +415,3 @@ SELECT asset_id, coalesce(metadata_own_reason, metadata_reason) AS reason, CASE
 def rep_cheapest(t: Tables):
     rows = state_table(t).filter(F.col("metadata_status") != "current")
     return rows.select("asset_id", recompute.metadata_reason().alias("reason"), recompute.cheapest_repair().alias("action"))
-
-
-@query("rep_execute")
-def rep_execute(t: Tables):
-    plan = recompute.plan(state_table(t, verify=True))
-    answers = t.b_events.filter("stage IN ('QC', 'AI', 'READINESS') AND status IN ('PASSED', 'FAILED', 'EVALUATED')")
-    return recompute.execute(plan, recompute.replay(answers))
-
-
-@query("rep_process_batch")
-def rep_process_batch(t: Tables):
-    answers = t.b_events.filter("status IN ('PASSED', 'FAILED', 'EVALUATED', 'DRAFTED', 'ASSESSED')")
-    return recompute.process_batch(state_table(t).select("asset_id", (F.col("vision") == "done").alias("analyzed"), "source_status"), recompute.replay(answers))

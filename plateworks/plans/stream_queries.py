@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from plateworks import fixed
 from plateworks.plans.bindings import Tables
 from plateworks.plans.registry import query
+from plateworks.session import shared_checkpoint_dir
 from plateworks.streaming import jobs
 
 
@@ -15,29 +18,37 @@ def _stream(t: Tables, table: str):
     return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(t.folder)
 
 
+def _folder(t: Tables) -> str:
+    return f"{shared_checkpoint_dir(t.spark)}/plateworks/stream-{uuid.uuid4().hex}"
+
+
 def _events(t: Tables):
     return t.compose("b_events", events=_stream(t, "events"))
 
 
 @query("str_latest_state", "SELECT asset_id, stage, status, max(id) AS event_id FROM b_events GROUP BY ALL")
 def str_latest_state(t: Tables):
-    return jobs.latest_state(_events(t))
+    jobs.latest_state(_events(t), folder := _folder(t)).awaitTermination()
+    return jobs.latest_state_so_far(t.spark, folder)
 
 
 @query("str_retry_counter", "SELECT asset_id, stage, count(*) AS failed, count(*) >= 3 AS exhausted FROM b_events WHERE status = 'FAILED' GROUP BY ALL")
 def str_retry_counter(t: Tables):
-    return jobs.retry_counter(_events(t), fixed.RETRY_MAX_FAILED)
+    jobs.retry_counter(_events(t), folder := _folder(t)).awaitTermination()
+    return jobs.retry_counter_so_far(t.spark, folder, fixed.RETRY_MAX_FAILED)
 
 
 @query("str_notify_dedup", "SELECT DISTINCT asset_id, json_extract_string(message, '$.kind') AS kind, json_extract_string(message, '$.key') AS key FROM b_events WHERE stage = 'NOTIFY' AND status = 'SENT'")
 def str_notify_dedup(t: Tables):
-    return jobs.notify_dedup(_events(t), "3650 days")
+    jobs.notify_dedup(_events(t), folder := _folder(t)).awaitTermination()
+    return jobs.notify_dedup_so_far(t.spark, folder)
 
 
 @query("str_daily_digest", "SELECT CAST(created_at AS DATE) AS day, stage, count(*) AS n FROM b_events GROUP BY ALL")
 def str_daily_digest(t: Tables):
     t.spark.conf.set("spark.sql.session.timeZone", "UTC")  # days of the log are UTC days
-    return jobs.daily_digest(_events(t), "1 day")
+    jobs.daily_digest(_events(t), folder := _folder(t)).awaitTermination()
+    return jobs.daily_digest_so_far(t.spark, folder)
 
 
 @query("str_ingest", """
@@ -46,4 +57,5 @@ firsts AS (SELECT file_hash, min(path) FILTER (WHERE decodable) AS path FROM c W
 SELECT c.path, c.file_hash, CASE WHEN refused IS NOT NULL THEN refused WHEN firsts.path IS NOT NULL THEN 'REGISTERED' WHEN NOT decodable THEN 'UNDECODABLE' ELSE 'DUPLICATE' END AS outcome FROM c LEFT JOIN firsts ON firsts.path = c.path""")
 def str_ingest(t: Tables):
     arrivals = t.compose("b_arrivals", documents=_stream(t, "documents")).withColumn("decodable", F.col("file_size") >= 100)
-    return jobs.ingest_arrivals(arrivals, t.b_registry, (".en", ".de", ".fr")).select("path", "file_hash", "outcome")
+    jobs.ingest_arrivals(arrivals, t.b_registry, (".en", ".de", ".fr"), folder := _folder(t)).awaitTermination()
+    return jobs.arrivals_so_far(t.spark, folder).select("path", "file_hash", "outcome")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: str = "*", name: str = "plateworks") -> SparkSession:
+def local_session(cores: str, name: str, checkpoint_dir: str) -> SparkSession:
+    """``checkpoint_dir``: where intermediate tables go; on a cluster a folder that all executors share."""
     return (SparkSession.builder.master(f"local[{cores}]").appName(name)
             .config("spark.sql.shuffle.partitions", "8")
             .config("spark.driver.memory", "8g")
@@ -16,18 +16,15 @@ def local_session(cores: str = "*", name: str = "plateworks") -> SparkSession:
             .config("spark.ui.showConsoleProgress", "false")
             .config("spark.sql.session.timeZone", "UTC")
             .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+            .config("spark.checkpoint.dir", checkpoint_dir)
             .getOrCreate())
 
 
 def shared_checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for lineage cuts: the cluster's shared setting, or a local one where none is set (tests)."""
+    """The folder that the session names in spark.checkpoint.dir."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="plateworks-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    spark.sparkContext.setCheckpointDir(folder)
+    if not folder:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return folder
 
 

@@ -1,82 +1,101 @@
 """Streaming forms of the log reductions.
 
-Every job writes per micro-batch under ``batch=<id>`` of an output folder, so a repeated batch overwrites itself,
-and reading the output reduces over batches. State is one small row per key in the state store.
+Every job takes a folder that outlives it: ``checkpoint`` below it keeps the progress, ``out/batch=<id>`` what a micro-batch
+wrote, so a job that was stopped goes on where it was, and a repeated batch overwrites itself. Jobs return their query;
+the ``..._so_far`` functions reduce what has been written over the batches.
 """
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from plateworks.operators import ingest
-from plateworks.session import shared_checkpoint_dir
+
+LATEST = "asset_id BIGINT, stage STRING, status STRING, event_id BIGINT"
+RETRIES = "asset_id BIGINT, stage STRING, failed BIGINT"
+NOTICES = "asset_id BIGINT, kind STRING, key STRING"
+DAYS = "day DATE, stage STRING, n BIGINT"
+ARRIVALS = "path STRING, file_hash STRING, asset_id BIGINT, outcome STRING"
 
 
-def _run(stream: DataFrame, mode: str, write, every: str | None) -> str:
-    """Starts the stream; without an interval all available input is processed and the query ends."""
-    root = f"{shared_checkpoint_dir(stream.sparkSession)}/plateworks/stream-{uuid.uuid4().hex}"
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").foreachBatch(
-        lambda rows, batch: write(rows, batch, f"{root}/out/batch={batch}"))
-    query = (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
-    if every is None:
-        query.awaitTermination()
-    return f"{root}/out"
+def _start(stream: DataFrame, mode: str, folder: str, every: str | None, write=None) -> StreamingQuery:
+    """Starts the job; without an interval it ends when all input that is there has been processed."""
+    root = folder.rstrip("/")
 
+    def store(rows: DataFrame, batch: int) -> None:
+        (write(rows, batch) if write else rows).write.mode("overwrite").parquet(f"{root}/out/batch={batch}")
 
-def _store(rows: DataFrame, batch: int, path: str) -> None:
-    rows.write.mode("overwrite").parquet(path)
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").foreachBatch(store)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def _read(stream: DataFrame, path: str, schema: str) -> DataFrame:
-    return stream.sparkSession.read.schema(schema + ", batch BIGINT").parquet(path)
+def _written(spark: SparkSession, folder: str, schema: str, before: int | None = None) -> DataFrame:
+    rows = spark.read.schema(schema + ", batch BIGINT").parquet(f"{folder.rstrip('/')}/out")
+    return rows if before is None else rows.filter(F.col("batch") < before)
 
 
-def latest_state(events: DataFrame, every: str | None = None) -> DataFrame:
+def latest_state(events: DataFrame, folder: str, every: str | None = None) -> StreamingQuery:
     """Newest event id per (asset, stage, status); ids decide, so late and out-of-order input is safe."""
-    newest = events.groupBy("asset_id", "stage", "status").agg(F.max("id").alias("event_id"))
-    path = _run(newest, "update", _store, every)
-    seen = _read(events, path, "asset_id BIGINT, stage STRING, status STRING, event_id BIGINT")
-    return seen.groupBy("asset_id", "stage", "status").agg(F.max("event_id").alias("event_id"))
+    return _start(events.groupBy("asset_id", "stage", "status").agg(F.max("id").alias("event_id")), "update", folder, every)
+
+
+def latest_state_so_far(spark: SparkSession, folder: str) -> DataFrame:
+    return _written(spark, folder, LATEST).groupBy("asset_id", "stage", "status").agg(F.max("event_id").alias("event_id"))
 
 
-def retry_counter(events: DataFrame, limit: int, every: str | None = None) -> DataFrame:
-    """Failures per (asset, stage) and whether retries are exhausted."""
-    counts = events.filter(F.col("status") == "FAILED").groupBy("asset_id", "stage").agg(F.count("*").alias("failed"))
-    path = _run(counts, "update", _store, every)
-    seen = _read(events, path, "asset_id BIGINT, stage STRING, failed BIGINT").groupBy("asset_id", "stage").agg(F.max("failed").alias("failed"))
+def retry_counter(events: DataFrame, folder: str, every: str | None = None) -> StreamingQuery:
+    """Failures per (asset, stage)."""
+    return _start(events.filter(F.col("status") == "FAILED").groupBy("asset_id", "stage").agg(F.count("*").alias("failed")), "update", folder, every)
+
+
+def retry_counter_so_far(spark: SparkSession, folder: str, limit: int) -> DataFrame:
+    seen = _written(spark, folder, RETRIES).groupBy("asset_id", "stage").agg(F.max("failed").alias("failed"))
     return seen.withColumn("exhausted", F.col("failed") >= limit)
 
 
-def notify_dedup(events: DataFrame, horizon: str, every: str | None = None) -> DataFrame:
-    """Each (asset, kind, key) once; state is kept for the horizon only."""
+def notify_dedup(events: DataFrame, folder: str, every: str | None = None) -> StreamingQuery:
+    """Each (asset, kind, key) once, however late it comes again: a batch is held against all keys written before."""
     sent = events.filter((F.col("stage") == "NOTIFY") & (F.col("status") == "SENT")).select(
-        "asset_id", F.get_json_object("message", "$.kind").alias("kind"), F.get_json_object("message", "$.key").alias("key"), F.col("created_at").cast("timestamp").alias("ts"))
-    once = sent.withWatermark("ts", horizon).dropDuplicatesWithinWatermark(["asset_id", "kind", "key"]).drop("ts")
-    path = _run(once, "append", _store, every)
-    return _read(events, path, "asset_id BIGINT, kind STRING, key STRING").drop("batch")
+        "asset_id", F.get_json_object("message", "$.kind").alias("kind"), F.get_json_object("message", "$.key").alias("key"))
 
+    def fresh(rows: DataFrame, batch: int) -> DataFrame:
+        rows = rows.distinct()
+        if batch == 0:
+            return rows
+        known = _written(rows.sparkSession, folder, NOTICES, batch).alias("k")
+        same = F.expr("n.asset_id <=> k.asset_id AND n.kind <=> k.kind AND n.key <=> k.key")
+        return rows.alias("n").join(known, same, "left_anti")
 
-def daily_digest(events: DataFrame, delay: str, every: str | None = None) -> DataFrame:
-    """Events per day and stage over tumbling event-time windows."""
-    timed = events.withColumn("ts", F.col("created_at").cast("timestamp")).withWatermark("ts", delay)
-    days = timed.groupBy(F.window("ts", "1 day"), "stage").agg(F.count("*").alias("n")).select(F.to_date("window.start").alias("day"), "stage", "n")
-    path = _run(days, "update", _store, every)
-    return _read(events, path, "day DATE, stage STRING, n BIGINT").groupBy("day", "stage").agg(F.max("n").alias("n"))
+    return _start(sent, "append", folder, every, fresh)
 
 
-def ingest_arrivals(arrivals: DataFrame, registry: DataFrame, extensions, every: str | None = None) -> DataFrame:
-    """Registers arriving files batch by batch; every batch also knows what earlier batches registered."""
-    schema = "path STRING, file_hash STRING, asset_id BIGINT, outcome STRING"
+def notify_dedup_so_far(spark: SparkSession, folder: str) -> DataFrame:
+    return _written(spark, folder, NOTICES).drop("batch")
+
 
-    def write(rows: DataFrame, batch: int, path: str) -> None:
+def daily_digest(events: DataFrame, folder: str, every: str | None = None) -> StreamingQuery:
+    """Events per day and stage. The state is one count per day and stage and has no horizon, so late rows count."""
+    day = F.to_date(F.col("created_at").cast("timestamp"))
+    return _start(events.groupBy(day.alias("day"), "stage").agg(F.count("*").alias("n")), "update", folder, every)
+
+
+def daily_digest_so_far(spark: SparkSession, folder: str) -> DataFrame:
+    return _written(spark, folder, DAYS).groupBy("day", "stage").agg(F.max("n").alias("n"))
+
+
+def ingest_arrivals(arrivals: DataFrame, registry: DataFrame, extensions, folder: str, every: str | None = None) -> StreamingQuery:
+    """Registers arriving files batch by batch; every batch also knows what earlier batches registered."""
+    def register(rows: DataFrame, batch: int) -> DataFrame:
         known = registry.select("id", "file_hash")
-        if batch > 0:
-            root = path.rsplit("/", 1)[0]
-            earlier = rows.sparkSession.read.schema(schema + ", batch BIGINT").parquet(root).filter((F.col("batch") < batch) & F.col("asset_id").isNotNull())
+        if batch > 0:  # ids and hashes only: the other columns of earlier batches are not read
+            earlier = _written(rows.sparkSession, folder, ARRIVALS, batch).filter(F.col("asset_id").isNotNull())
             known = known.unionByName(earlier.select(F.col("asset_id").alias("id"), "file_hash"))
-        _store(ingest.register(rows, known, extensions), batch, path)
+        return ingest.register(rows, known, extensions)
+
+    return _start(arrivals, "append", folder, every, register)
+
 
-    return _read(arrivals, _run(arrivals, "append", write, every), schema).drop("batch")
+def arrivals_so_far(spark: SparkSession, folder: str) -> DataFrame:
+    return _written(spark, folder, ARRIVALS).drop("batch")

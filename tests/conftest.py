@@ -4,8 +4,8 @@ from plateworks.session import local_session
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session("4", "tests")
+def spark(tmp_path_factory):
+    session = local_session("4", "tests", str(tmp_path_factory.mktemp("shared")))
     session.sparkContext.setLogLevel("OFF")
     yield session
     session.stop()

@@ -32,3 +32,21 @@ def test_real_image_metrics(spark, tmp_path):
     assert [(b["side"], b["width"], b["share"]) for b in border] == [("top", 2, 1.0)]
     assert abs(images.extreme_ratio(lines).first()["dark_ratio"] - 2 / 130) < 1e-9
     assert images.sharpness(lines).first()["sharpness"] > 0
+
+
+def test_small_grey_alpha_and_broken_pictures_stay(spark, tmp_path):
+    png(tmp_path / "small.png", 10, 40, lambda x, y: ((x * y * 7) % 200,) * 3)
+    raw = b"".join(b"\0" + bytes((x * 3) % 250 for x in range(12)) for _ in range(9))
+
+    def chunk(kind, data):
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    (tmp_path / "grey.png").write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 12, 9, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b""))
+    (tmp_path / "broken.png").write_bytes(b"\x89PNG\r\n\x1a\nrest")
+    rows = scanlines(spark, str(tmp_path)).withColumn("name", F.element_at(F.split("path", "/"), -1)).cache()
+    found = {(r["name"], r["problem"]): r["n"] for r in rows.groupBy("name", "problem").agg(F.count("*").alias("n")).collect()}
+    assert found == {("small.png", None): 40, ("grey.png", None): 9, ("broken.png", "UNDECODABLE"): 1}
+    assert rows.filter("name = 'grey.png' AND y = 2").first()["px"] == [float((x * 3) % 250) for x in range(12)]
+    lines = rows.filter("problem IS NULL").withColumn("asset_id", F.col("name"))
+    tiles = images.tile_variances(lines, 16)
+    assert {(r["asset_id"], r["tile"], r["n"]) for r in tiles.groupBy("asset_id", "tile").agg(F.count("*").alias("n")).collect()} == {("small.png", 10, 4), ("grey.png", 9, 1)}
+    assert images.tile_summary(tiles).count() == 2

@@ -2,6 +2,7 @@
 
 import os
 import sys
+import tempfile
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -14,7 +15,7 @@ def main() -> int:
     folder = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.01")
     queries, oracles = load()
     names = [q for q in queries if not sys.argv[1:] or any(q.startswith(p) for p in sys.argv[1:])]
-    spark = local_session("8")
+    spark = local_session("8", "check", tempfile.mkdtemp(prefix="plateworks-check-"))
     spark.sparkContext.setLogLevel("OFF")
     con, bad = duck(folder), 0
     for name in names:
