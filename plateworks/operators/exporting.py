@@ -107,6 +107,27 @@ def collect(pending: DataFrame, next_batch: DataFrame, day: str) -> DataFrame:
                            F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")).cast("bigint").alias("words"), "sha256")
 
 
+def collection(pending: DataFrame, next_batch: DataFrame, day: str) -> DataFrame:
+    """What a collection did, per platform: its files with the message of their OUTBOX/COLLECTED event, the skipped with the
+    reason, and NOTHING_TO_COLLECT where no file was due."""
+    taken = collect(pending, next_batch, day)
+    profile = F.create_map(*[F.lit(x) for p in fixed.PLATFORM_PROFILES for x in (p["platform"], p["version"])])[F.col("platform")]
+    message = F.to_json(F.struct("platform", profile.alias("profile"), "batch", "folder", "filename", "sha256"))
+    empty = {c: F.lit(None).cast("string") for c in ("message", "reason")}
+    files = taken.select("platform", F.lit("COLLECTED").alias("outcome"), "asset_id", "batch", "folder", message.alias("message"), empty["reason"].alias("reason"))
+    none = [F.lit(None).cast("bigint").alias("batch"), F.lit(None).cast("string").alias("folder"), empty["message"].alias("message")]
+    skipped = pending.filter(F.col("outcome").startswith("skipped: ")).select("platform", F.lit("SKIPPED").alias("outcome"), "asset_id", *none, F.substring("outcome", 10, 1000).alias("reason"))
+    platforms = pending.sparkSession.createDataFrame([(p,) for p in fixed.PLATFORMS], "platform string")
+    idle = platforms.join(taken.select("platform").distinct(), "platform", "left_anti").select(
+        "platform", F.lit("NOTHING_TO_COLLECT").alias("outcome"), F.lit(None).cast("bigint").alias("asset_id"), *none, empty["reason"].alias("reason"))
+    return files.unionByName(skipped).unionByName(idle)
+
+
+def collected_events(done: DataFrame) -> DataFrame:
+    """The log rows of a collection: asset_id, stage, status, message."""
+    return done.filter(F.col("outcome") == "COLLECTED").select("asset_id", F.lit("OUTBOX").alias("stage"), F.lit("COLLECTED").alias("status"), "message")
+
+
 def collect_all(states: DataFrame, pending: DataFrame, next_batch: DataFrame, day: str) -> DataFrame:
     """Per platform: approved assets without a current file to prepare or refuse, then the new batch."""
     todo = None

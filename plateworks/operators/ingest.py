@@ -60,11 +60,21 @@ def register(arrivals: DataFrame, registry: DataFrame, extensions=fixed.SUPPORTE
     return checked.join(fresh, "path", "left").select("path", "file_hash", "asset_id", outcome.alias("outcome"))
 
 
+SALTS = 16
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, by: str) -> DataFrame:
+    """``rows`` left-joined with ``table`` (one row per ``key``). Only keys that rows hold are joined, and the answer is sent
+    to ``SALTS`` places, so that rows of one key are spread by ``by`` and never meet in one task."""
+    answers = rows.select(key).distinct().join(table, key).withColumn("salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(answers, [key, "salt"], "left").drop("salt")
+
+
 def pending(arrivals: DataFrame, registry: DataFrame) -> DataFrame:
     """Arrivals not registered by path, with the asset that already has the same content."""
     known = registry.select(slashes(F.col("source_path")).alias("path")).distinct()
     same = registry.groupBy("file_hash").agg(F.max("id").alias("duplicate_of"))
-    return arrivals.join(known, "path", "left_anti").join(same, "file_hash", "left")
+    return looked_up(arrivals.join(known, "path", "left_anti"), same, "file_hash", "path")
 
 
 def classify(arrivals: DataFrame, registry: DataFrame) -> DataFrame:
@@ -72,7 +82,7 @@ def classify(arrivals: DataFrame, registry: DataFrame) -> DataFrame:
     by_path = registry.groupBy(F.col("source_path").alias("path")).agg(F.max("id").alias("by_path"))
     by_hash = registry.groupBy("file_hash").agg(F.max("id").alias("by_hash"))
     kind = first_match([(F.col("by_path").isNotNull(), "already_registered"), (F.col("by_hash").isNotNull(), "duplicate_content")], "new")
-    return arrivals.join(by_path, "path", "left").join(by_hash, "file_hash", "left").withColumn("kind", kind)
+    return looked_up(arrivals.join(by_path, "path", "left"), by_hash, "file_hash", "path").withColumn("kind", kind)
 
 
 def path_changes(registry: DataFrame) -> DataFrame:
@@ -102,7 +112,8 @@ def restrict(assets: DataFrame, from_id: int, to_id: int | None = None, ids: Dat
 def user_set(registry: DataFrame, files: DataFrame) -> DataFrame:
     """Assets whose content lies in a folder, and files without an asset (asset_id null)."""
     assets = registry.join(files.select("file_hash").distinct(), "file_hash", "left_semi").select(F.col("id").alias("asset_id"), F.lit(None).cast("string").alias("path"))
-    orphans = files.join(registry.select("file_hash").distinct(), "file_hash", "left_anti").select(F.lit(None).cast("bigint").alias("asset_id"), "path")
+    known = registry.select("file_hash", F.lit(True).alias("known")).distinct()
+    orphans = looked_up(files, known, "file_hash", "path").filter(F.col("known").isNull()).select(F.lit(None).cast("bigint").alias("asset_id"), "path")
     return assets.unionByName(orphans)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plateworks import fixed
 from plateworks.functions import text as tx
 from plateworks.functions.arrays import joined
-from plateworks.operators import creative, exporting, gate, integrity, log, readiness, stages, statistics
+from plateworks.operators import creative, exporting, gate, ingest, integrity, log, readiness, stages, statistics
 from plateworks.plans import sqltext as st
 from plateworks.plans.bindings import Tables, sql_view
 from plateworks.plans.registry import query
@@ -302,6 +302,19 @@ def exp_collect(t: Tables):
     return exporting.collect(_pending(t), _next(t), "2024-03-01")
 
 
+_FOLDER = "'publish/' || platform || '/' || lpad(CAST(batch AS VARCHAR), CAST(greatest(3, length(CAST(batch AS VARCHAR))) AS INT), '0') || '_2024-03-01'"
+_PROFILES = "CASE platform " + " ".join(f"WHEN '{p['platform']}' THEN '{p['version']}'" for p in fixed.PLATFORM_PROFILES) + " END"
+
+
+@query("exp_collect_outcome", f"""
+WITH n AS (SELECT platform, max(batch) + 1 AS batch FROM b_collected GROUP BY platform), c AS (SELECT p.platform, p.asset_id, p.filename, p.sha256, coalesce(n.batch, 1) AS batch FROM b_pending p LEFT JOIN n USING (platform) WHERE outcome = 'collect')
+SELECT platform, 'COLLECTED' AS outcome, asset_id, batch, {_FOLDER} AS folder, '{{"platform":"' || platform || '","profile":"' || {_PROFILES} || '","batch":' || batch || ',"folder":"' || {_FOLDER} || '","filename":"' || filename || '","sha256":"' || sha256 || '"}}' AS message, CAST(NULL AS VARCHAR) AS reason FROM c
+UNION ALL SELECT platform, 'SKIPPED', asset_id, NULL, NULL, NULL, outcome[10:] FROM b_pending WHERE outcome LIKE 'skipped: %'
+UNION ALL SELECT platform, 'NOTHING_TO_COLLECT', NULL, NULL, NULL, NULL, NULL FROM (VALUES {', '.join(f"('{p}')" for p in fixed.PLATFORMS)}) v(platform) WHERE platform NOT IN (SELECT platform FROM c)""")
+def exp_collect_outcome(t: Tables):
+    return exporting.collection(_pending(t), _next(t), "2024-03-01")
+
+
 @query("exp_collect_all")
 def exp_collect_all(t: Tables):
     return exporting.collect_all(state_table(t), _pending(t), _next(t), "2024-03-01")
@@ -362,7 +375,7 @@ def att_attest(t: Tables):
     commands = t.b_events.filter("stage = 'HUMAN'").select(
         "id", "asset_id", F.when(F.col("k") == 92, "other").otherwise(F.get_json_object(message, "$.kind")).alias("kind"), F.when(F.col("value") >= 30, F.get_json_object(message, "$.note")).alias("note"))
     files = t.b_files.select(F.col("path").alias("source_path"), F.col("sha256").alias("actual_hash"))
-    rows = commands.join(t.b_catalog.select("asset_id", "file_hash", "source_path").join(files, "source_path", "left"), "asset_id", "left")
+    rows = ingest.looked_up(commands, t.b_catalog.select("asset_id", "file_hash", "source_path").join(files, "source_path", "left"), "asset_id", "id")
     return rows.select("id", "asset_id", readiness.attest(F.col("kind"), F.col("note"), F.col("file_hash").isNotNull(), F.col("actual_hash"), F.col("file_hash")).alias("outcome"))
 
 

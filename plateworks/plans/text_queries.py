@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plateworks import fixed
 from plateworks.functions import text as tx
 from plateworks.functions.arrays import joined, n
-from plateworks.operators import exporting, gate, metadata, stages
+from plateworks.operators import exporting, gate, ingest, metadata, stages
 from plateworks.plans import sqltext as st
 from plateworks.plans.bindings import Tables, sql_view
 from plateworks.plans.registry import query
@@ -484,5 +484,6 @@ def met_authorize(t: Tables):
     actor = F.create_map(*[F.lit(x) for x in ("QC", "human", "AI", "agent:planner", "NORMALIZE", "workflow:ingest", "READINESS", "workflow:retry", "METADATA", "agent:editor")])[F.col("stage")]
     operation = F.element_at(F.array(*[F.lit(o) for o in _OPS]), (F.floor(F.col("k") / 13) + 1).cast("int"))
     states = t.b_catalog.select("asset_id", F.get_json_object("metadata_json", "$.state").alias("metadata_state"))
-    commands = t.b_events.select("id", "asset_id", F.coalesce(actor, F.lit("Robot!")).alias("actor"), operation.alias("operation"), (F.col("value") < 20).alias("force")).join(states, "asset_id", "left")
+    commands = t.b_events.select("id", "asset_id", F.coalesce(actor, F.lit("Robot!")).alias("actor"), operation.alias("operation"), (F.col("value") < 20).alias("force"))
+    commands = ingest.looked_up(commands, states, "asset_id", "id")
     return metadata.authorize(commands).select("id", "actor", "operation", "verdict")
