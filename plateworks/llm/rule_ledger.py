@@ -92,11 +92,13 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     def count_of(pattern: str) -> Column:
         return F.char_length(F.regexp_replace(whole, pattern, "")).cast("long")
 
-    return df.select(
-        *kept, F.col("__n").cast("long").alias("n_words"), F.char_length(F.array_join(words, "")).cast("long").alias("word_chars"),
+    # an array of one struct, unrolled: conditions on measurements stay above it instead of repeating the expressions below
+    found = F.struct(
+        F.col("__n").cast("long").alias("n_words"), F.char_length(F.array_join(words, "")).cast("long").alias("word_chars"),
         count_of("[^#*$%&|<>]+").alias("n_symbols"), (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
         covered.cast("long").alias("n_repeat_words"), F.size("__lines").cast("long").alias("n_lines"), F.size(F.filter(words, lambda w: w == "|")).cast("long").alias("n_bar_words"),
         count_of("[^A-Z]+").alias("n_upper"), count_of("[^a-z]+").alias("n_lower"))
+    return df.select(*kept, F.inline(F.array(found)))
 
 
 def _failures() -> dict[str, Column]:
