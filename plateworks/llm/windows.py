@@ -8,7 +8,7 @@ hash, where an index over the shard's distinct runs decides.
 
 Skew. Anchor counts are combined before the shuffle; copies of a text are settled by digest and are never cut out; equal
 runs are one string of a shard; shards hold a bounded number of bytes as their number follows the data. An anchor of more
-than ``HOT`` runs doesn't fit that: its windows are settled one by one by 128-bit hashes in grouped joins.
+than ``HOT`` texts doesn't fit that: its windows are settled one by one by 128-bit hashes in grouped joins.
 
 Order. A window is removed if it also starts in a document with a smaller doc_id or, where ``within`` is set, earlier in
 the same document. A null doc_id counts as the largest. Rows of equal doc_id but different text don't remove
@@ -17,6 +17,7 @@ anything from each other; repeated rows of equal doc_id and text have equal resu
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -31,10 +32,10 @@ U = np.uint64
 LAST = (1 << 63) - 1
 #: Symbols of a text that are hashed at once; longer texts go in pieces that overlap by L - 1.
 PIECE = 1 << 20
-#: Runs of one anchor up to which its windows go to a shard.
+#: Texts (twice, where repeats within one count) that hold an anchor, up to which its windows go to a shard.
 HOT = 150_000
-#: Bytes of cut-out runs per shard.
-SHARD_BYTES = 8 << 20
+#: Bytes of cut-out runs per shard: small enough for an index's arrays and lists to stay in a core's cache.
+SHARD_BYTES = 2 << 20
 
 _BASE = int("9E3779B97F4A7C15", 16)
 _powers: dict[int, np.ndarray] = {}
@@ -153,14 +154,14 @@ def _copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _anchored(docs: DataFrame, symbols: Symbols) -> DataFrame:
-    """(hash, doc_id, n): how many runs of each anchor hash a text has."""
+    """(hash, doc_id, n): each anchor hash of a text once; n is 2 where repeats within the text count and it has several runs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes, ids, counts = [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(2)):
                 h, n = np.unique(symbols.runs(symbols.of(text.as_py()))[0], return_counts=True)
                 hashes.append(h.view(np.int64))
-                counts.append(n)
+                counts.append(np.minimum(n, 2 if symbols.within else 1))
                 ids.append(np.full(len(h), doc, np.int64))
             if hashes:
                 yield pa.RecordBatch.from_arrays([np.concatenate(hashes), np.concatenate(ids), np.concatenate(counts).astype(np.int32)], ["hash", "doc_id", "n"])
@@ -170,38 +171,58 @@ def _anchored(docs: DataFrame, symbols: Symbols) -> DataFrame:
 
 def _cut(texts: DataFrame, symbols: Symbols) -> DataFrame:
     """The runs of ``texts`` (doc_id, tag, packed, cold, hot) whose anchors are in ``cold``, and the windows of those in ``hot``."""
-    schema = "hash long, doc_id long, tag long, start long, run binary, w1 long, w2 long"
+    schema = "hash long, doc_id long, tag long, starts array<long>, run binary, w1 long, w2 long"
+    names = ["hash", "doc_id", "tag", "starts", "run", "w1", "w2"]
+
+    def cut(part: list[tuple]) -> pa.RecordBatch:
+        """Runs as strings of the symbols' bytes; (doc, tag, symbols, hashes, first starts, counts, numbers of starts, all starts) of each text."""
+        strings, size = [], []
+        for _, _, s, _, first, counts, _, _ in part:
+            n = counts + symbols.L - 1
+            strings.append(s[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())])
+            size.append(n)
+        flat = np.concatenate(strings)
+        size = np.concatenate(size) * flat.itemsize
+        run = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.py_buffer(flat)])
+        each = [len(x[3]) for x in part]
+        starts = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.concatenate([x[6] for x in part]))].astype(np.int32)), pa.array(np.concatenate([x[7] for x in part])))
+        none = pa.nulls(len(size), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[3] for x in part])), pa.array(np.repeat([x[0] for x in part], each)), pa.array(np.repeat([x[1] for x in part], each)),
+                                           starts, run, none, none], names)
+
+    def distinct(s: np.ndarray, hashes: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple:
+        """Equal runs of a text as one: hashes, first starts, counts, numbers of starts, all starts. The first and the last window hold all of a run."""
+        first = np.array([symbols.windows(s, int(a), 1)[0][0] for a in starts], U) if len(s) > PIECE else symbols.windows(s, 0, len(s) - symbols.L + 1)[0]
+        last = np.array([symbols.windows(s, int(a), 1)[0][0] for a in starts + counts - 1], U) if len(s) > PIECE else first[starts + counts - 1]
+        first = first if len(s) > PIECE else first[starts]
+        _, at, which, n = np.unique(mix(first) ^ mix(last + U(1)) * U(3) ^ counts.astype(U), return_index=True, return_inverse=True, return_counts=True)
+        return hashes[at], starts[at], counts[at], n, starts[np.argsort(which, kind="stable")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
-            size = 0
+            part, size = [], 0
             for doc, tag, blob, cold, hot in zip(*(batch.column(k) for k in range(5))):
                 doc, tag = doc.as_py(), tag.as_py()
                 s = symbols.of(unpack(blob.as_py()))
                 hashes, starts, counts = symbols.runs(s)
                 hashes = hashes.view(np.int64)
-                raw, step = s.tobytes(), s.itemsize
-                for k in np.flatnonzero(np.isin(hashes, np.array(cold.as_py(), np.int64))):
-                    a, b = int(starts[k]), int(starts[k] + counts[k]) + symbols.L - 1
-                    for column, v in zip(out, (int(hashes[k]), doc, tag, a, raw[a * step:b * step], None, None)):
-                        column.append(v)
-                    size += (b - a) * step + 56
-                for k in np.flatnonzero(np.isin(hashes, np.array(hot.as_py(), np.int64))):
-                    w1, w2 = symbols.windows(s, int(starts[k]), int(counts[k]))
-                    for i, (a, b) in enumerate(zip(w1.view(np.int64).tolist(), w2.view(np.int64).tolist())):
-                        for column, v in zip(out, (int(hashes[k]), doc, tag, int(starts[k]) + i, None, a, b)):
-                            column.append(v)
-                    size += 56 * len(w1)
-                if size > 16 << 20:
-                    yield _batch(out)
-                    out, size = [[] for _ in range(7)], 0
-            if out[0]:
-                yield _batch(out)
-
-    def _batch(out: list[list]) -> pa.RecordBatch:
-        kinds = [pa.int64()] * 4 + [pa.binary()] + [pa.int64()] * 2
-        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], ["hash", "doc_id", "tag", "start", "run", "w1", "w2"])
+                mine = np.isin(hashes, cold.values.to_numpy())
+                if mine.any():
+                    part.append((doc, tag, s, *distinct(s, hashes[mine], starts[mine], counts[mine])))
+                    size += int((part[-1][5] + symbols.L - 1).sum()) * s.itemsize
+                if size > 2 << 20:
+                    yield cut(part)
+                    part, size = [], 0
+                mine = np.flatnonzero(np.isin(hashes, hot.values.to_numpy()))
+                if len(mine):
+                    at = np.concatenate([np.arange(a, a + c) for a, c in zip(starts[mine], counts[mine])])
+                    both = [symbols.windows(s, int(a), int(c)) for a, c in zip(starts[mine], counts[mine])] if len(s) > PIECE else None
+                    w1, w2 = (np.concatenate(w) for w in zip(*both)) if both else (w[at] for w in symbols.windows(s, 0, len(s) - symbols.L + 1))
+                    n = len(at)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(hashes[mine], counts[mine])), pa.array(np.full(n, doc)), pa.array(np.full(n, tag)),
+                                                      pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32)), pa.array(at)), pa.nulls(n, pa.binary()), pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64))], names)
+            if part:
+                yield cut(part)
 
     return texts.mapInArrow(run, schema)
 
@@ -218,27 +239,42 @@ def _intervals(at: np.ndarray, owner: np.ndarray, L: int) -> Iterator[tuple[int,
             yield int(owner[a]), int(at[a]), int(at[b - 1]) + L
 
 
-def solve(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, runs: list[bytes], symbols: Symbols, index: Index) -> list[tuple[int, int, int, int]]:
-    """(doc_id, tag, start, end) of what a shard's runs lose."""
-    order = np.lexsort((start, tag, doc))
+def _merged_rows(rows: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """(doc_id, tag, start, end) with overlapping intervals of a text joined."""
+    out: list[tuple[int, int, int, int]] = []
+    for d, t, a, b in sorted(rows):
+        if out and out[-1][:2] == (d, t) and a <= out[-1][3]:
+            out[-1] = (d, t, out[-1][2], max(b, out[-1][3]))
+        else:
+            out.append((d, t, a, b))
+    return out
+
+
+def solve(anchor: np.ndarray, doc: np.ndarray, tag: np.ndarray, starts: list[np.ndarray], runs: list[bytes], symbols: Symbols, index: Index) -> list[tuple[int, int, int, int]]:
+    """(doc_id, tag, start, end) of what a shard's runs lose. ``starts`` holds every place of a run in its text, the first first."""
+    order = np.lexsort(([int(s[0]) for s in starts], tag, doc))
     first: dict[bytes, tuple[int, int, int]] = {}
     strings, lost, before = [], [], None
     step = 8 if symbols.words else 1
     for k in order.tolist():
-        me = (int(doc[k]), int(tag[k]), int(start[k]))
+        me = (int(doc[k]), int(tag[k]), int(starts[k][0]))
         if me == before:
             continue  # a repeated row
         before = me
         seen = first.setdefault(runs[k], me)
+        places, size = starts[k].tolist(), len(runs[k]) // step
         if seen is me or (seen[0] == me[0] and (seen[1] != me[1] or not symbols.within)):
-            strings.append((me, runs[k]))
-        else:
-            lost.append((*me, me[2] + len(runs[k]) // step))
+            strings.append((me, runs[k], anchor[k], places[:1] if symbols.within else places))
+            places = places[1:] if symbols.within else []
+        lost += [(*me[:2], a, a + size) for a in places]
+    # a string alone under its anchor has no equal windows: within a run they would have the anchor at two places
+    alone = Counter(h for _, _, h, _ in strings)
+    strings = [s for s in strings if alone[s[2]] > 1]
     if not strings:
-        return lost
+        return _merged_rows(lost)
     kind = U if symbols.words else np.uint8
-    flat = np.frombuffer(b"".join(r for _, r in strings), kind)
-    lengths = np.array([len(r) // step for _, r in strings], np.int64)
+    flat = np.frombuffer(b"".join(r for _, r, _, _ in strings), kind)
+    lengths = np.array([len(r) // step for _, r, _, _ in strings], np.int64)
     heads = np.cumsum(lengths) - lengths
     counts = lengths - symbols.L + 1
     owner = np.repeat(np.arange(len(strings)), counts)
@@ -256,9 +292,9 @@ def solve(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, runs: list[bytes]
         gone[1:] |= ~new[1:] & (d[1:] == d[:-1]) & (t[1:] == t[:-1])
     chosen = np.sort(by[gone])
     for o, a, b in _intervals(at[chosen] - heads[owner[chosen]], owner[chosen], symbols.L):
-        (me_doc, me_tag, me_start), _ = strings[o]
-        lost.append((me_doc, me_tag, me_start + a, me_start + b))
-    return lost
+        (me_doc, me_tag, _), _, _, places = strings[o]
+        lost += [(me_doc, me_tag, p + a, p + b) for p in places]
+    return _merged_rows(lost)
 
 
 def repeated(docs: DataFrame, symbols: Symbols, index: Index) -> DataFrame:
@@ -276,13 +312,13 @@ def repeated(docs: DataFrame, symbols: Symbols, index: Index) -> DataFrame:
     shards = max(1, -(-total // SHARD_BYTES))
 
     def shard(rows: pa.Table) -> pa.Table:
-        lost = solve(*(rows.column(c).to_numpy() for c in ("doc_id", "tag", "start")), rows.column("run").to_pylist(), symbols, index)
+        lost = solve(*(rows.column(c).to_numpy() for c in ("hash", "doc_id", "tag", "starts")), rows.column("run").to_pylist(), symbols, index)
         columns = list(zip(*lost)) or [[]] * 4
         return pa.table([pa.array(c, pa.int64()) for c in columns], ["doc_id", "tag", "start", "end"])
 
-    lost = (whole.select(F.pmod("hash", F.lit(shards)).alias("shard"), "doc_id", "tag", "start", "run")
+    lost = (whole.select(F.pmod("hash", F.lit(shards)).alias("shard"), "hash", "doc_id", "tag", "starts", "run")
             .groupBy("shard").applyInArrow(shard, "doc_id long, tag long, start long, end long"))
-    single = runs.where("run is null").groupBy("w1", "w2", "doc_id", "tag", "start").agg(F.lit(1).alias("one")).drop("one")
+    single = runs.where("run is null").select("w1", "w2", "doc_id", "tag", F.element_at("starts", 1).alias("start")).distinct()
     firsts = single.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"))
     inside = single.groupBy("w1", "w2", "doc_id", "tag").agg(F.min("start").alias("early"))
     late = F.col("start") > F.col("early") if symbols.within else F.lit(False)

@@ -1,4 +1,5 @@
 import re
+from collections import Counter
 
 from plateworks.llm import rule_ledger
 from tests.llm.fixtures import rows, table
@@ -8,7 +9,8 @@ def brute(text):
     text = text or ""
     w = [x for x in re.split(r"[\x20\x09-\x0D]+", text) if x]
     tri = [tuple(w[i:i + 3]) for i in range(len(w) - 2)]
-    hit = {i + k for i, t in enumerate(tri) if tri.count(t) > 1 for k in range(3)}
+    seen = Counter(tri)
+    hit = {i + k for i, t in enumerate(tri) if seen[t] > 1 for k in range(3)}
     lines = [x for x in text.split("\n") if x.strip(" \t\n\x0b\f\r")]
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(hit)
 
