@@ -17,6 +17,7 @@ def local_session(cores: str, name: str, checkpoint_dir: str) -> SparkSession:
             .config("spark.sql.session.timeZone", "UTC")
             .config("spark.sql.execution.arrow.pyspark.enabled", "true")
             .config("spark.checkpoint.dir", checkpoint_dir)
+            .config("plateworks.text.partitions", "8")
             .getOrCreate())
 
 
