@@ -77,3 +77,16 @@ def test_patience_aligns_moved_and_repeated_lines():
     assert P.patience([5, 1, 2, 5], [7, 1, 2, 8]) == [(1, 1), (2, 2)]
     assert P.patience([], [1]) == []
     assert P.patience([1, 1, 2], [2, 1, 1]) == [(2, 0)]
+
+
+def removed(spark, texts):
+    return {r.doc_id: r.n_removed for r in P.deduplicated(table(spark, [(i, "\n".join(t), "en", "s", 0) for i, t in enumerate(texts)])).collect()}
+
+
+def test_frequent_passage_goes_beside_rarer_shared_lines(spark):
+    passage = [f"frequent passage, line {k}: " + "words " * 21 for k in range(3)]
+    texts = [[*passage, "the first"]]
+    for i in range(80):
+        texts.append([*[f"line {k} that only the pair number {i // 2} shares" for k in range(4)][::1 - i % 2 * 2], *passage, f"own {i}"])
+    got = removed(spark, texts)
+    assert got[0] == 0 and all(got[i] >= 3 for i in range(1, 81))
