@@ -26,7 +26,7 @@ def op3_simhash(spark, sf_dir):
 
 
 def op4_patience_lines(spark, sf_dir):
-    return patience_lines.digest(patience_lines.deduplicated(table(spark, sf_dir, "documents")))
+    return patience_lines.digest(patience_lines.deduplicated(table(spark, sf_dir, "documents"), runs=True))
 
 
 def op5_toxicity_grammar(spark, sf_dir):

@@ -79,8 +79,12 @@ def test_patience_aligns_moved_and_repeated_lines():
     assert P.patience([1, 1, 2], [2, 1, 1]) == [(2, 0)]
 
 
-def removed(spark, texts):
-    return {r.doc_id: r.n_removed for r in P.deduplicated(table(spark, [(i, "\n".join(t), "en", "s", 0) for i, t in enumerate(texts)])).collect()}
+def line(k):
+    return f"shared line number {k} of the common body with some words"
+
+
+def removed(spark, texts, runs=True):
+    return {r.doc_id: r.n_removed for r in P.deduplicated(table(spark, [(i, "\n".join(t), "en", "s", 0) for i, t in enumerate(texts)]), runs=runs).collect()}
 
 
 def test_frequent_passage_goes_beside_rarer_shared_lines(spark):
@@ -88,5 +92,34 @@ def test_frequent_passage_goes_beside_rarer_shared_lines(spark):
     texts = [[*passage, "the first"]]
     for i in range(80):
         texts.append([*[f"line {k} that only the pair number {i // 2} shares" for k in range(4)][::1 - i % 2 * 2], *passage, f"own {i}"])
-    got = removed(spark, texts)
-    assert got[0] == 0 and all(got[i] >= 3 for i in range(1, 81))
+    for runs in (False, True):
+        got = removed(spark, texts, runs)
+        assert got[0] == 0 and all(got[i] >= 3 for i in range(1, 81))
+
+
+def test_block_goes_whose_single_lines_stand_elsewhere_first(spark):
+    texts = [[f"before {k}", line(k), f"after {k}"] for k in range(5)]
+    block = [line(k) for k in range(5)]
+    got = removed(spark, [*texts, ["head of b", *block, "tail of b"], ["head of c", *block, "tail of c"]])
+    assert got == {i: 0 for i in range(6)} | {6: 5}
+
+
+def test_passage_that_stands_twice_in_the_later_text_goes(spark):
+    passage = [line(k) for k in range(6)]
+    got = removed(spark, [["a", *passage, "b"], ["c", *passage, "d", *passage, "e"]])
+    assert got == {0: 0, 1: 12}
+
+
+def test_ordinary_alignment_is_longest(monkeypatch):
+    rnd = random.Random(2)
+    for held in (1 << 28, 1):
+        monkeypatch.setattr(P, "HELD", held)
+        for _ in range(300):
+            a, b = ([rnd.randrange(4) for _ in range(rnd.randrange(14))] for _ in range(2))
+            t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+            for i, x in enumerate(a):
+                for j, y in enumerate(b):
+                    t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+            got = P.common(a, b)
+            assert len(got) == t[-1][-1] and all(a[i] == b[j] for i, j in got)
+            assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:]))
