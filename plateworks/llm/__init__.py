@@ -1,4 +1,4 @@
-"""Operators for preparing training text: deduplication, quality, decontamination, tokens and sharding.
+"""Operators for preparing training data: deduplication, quality, decontamination, tokens, sharding, clustering and conversation prefixes.
 
 ``queries()`` and ``oracle_sql()`` are what the entry module adds to the library's own; nothing else imports this package.
 """

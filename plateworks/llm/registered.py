@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from plateworks.llm import bpe, fm_substring, latent_decontam, patience_lines, rule_ledger, sharding, simhash, suffix_induced, token_rollups, toxicity_grammar
+from plateworks.llm import bpe, fm_substring, heap_clusters, latent_decontam, patience_lines, prefix_trie, pu_quality, rule_ledger, sharding, simhash, suffix_induced, token_rollups, toxicity_grammar
 from plateworks.llm.storage import shared_folder, stage, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -77,7 +77,36 @@ def op10_external_shuffle(spark, sf_dir):
     return sharding.assignments(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fm_substring, op2_rule_ledger, op3_simhash, op4_patience_lines, op5_toxicity_grammar, op6_token_rollups, op7_byte_bpe, op8_latent_decontam, op9_induced_sorting, op10_external_shuffle)}
+def op11_pu_quality(spark, sf_dir):
+    return pu_quality.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_heap_clusters(spark, sf_dir):
+    return heap_clusters.clustered(table(spark, sf_dir, "embeddings"))
+
+
+def op13_prefix_trie(spark, sf_dir):
+    return prefix_trie.trie(prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
+QUERIES = {f.__name__: f for f in (op1_fm_substring, op2_rule_ledger, op3_simhash, op4_patience_lines, op5_toxicity_grammar, op6_token_rollups, op7_byte_bpe, op8_latent_decontam, op9_induced_sorting, op10_external_shuffle, op11_pu_quality, op12_heap_clusters, op13_prefix_trie)}
+
+
+def _centroid_rounds() -> str:
+    """One pair of CTEs per round: the nearest centroid of every vector, then the floors of the means."""
+    steps = [f"""c0 AS (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM (SELECT sha256('{heap_clusters.SEED}' || coalesce(vec_id::VARCHAR, '')) AS h, v FROM e ORDER BY h, v LIMIT {heap_clusters.CLUSTERS}))"""]
+    nearest = """a{0} AS MATERIALIZED (SELECT r, vec_id, v, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT e.r, e.vec_id, e.v, k.c,
+        list_sum(list_transform(list_zip(e.v, k.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM e CROSS JOIN c{0} AS k) GROUP BY r, vec_id, v)"""
+    for n in range(heap_clusters.ROUNDS):
+        steps += [nearest.format(n), f"""m{n} AS MATERIALIZED (SELECT c, list(((s - ((s % n) + n) % n) / n)::BIGINT ORDER BY i) AS v FROM (SELECT c, i, sum(x)::BIGINT AS s, count(*) AS n
+        FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{n}) GROUP BY c, i) GROUP BY c)""",
+                  f"c{n + 1} AS MATERIALIZED (SELECT c{n}.c, coalesce(m{n}.v, c{n}.v) AS v FROM c{n} LEFT JOIN m{n} USING (c))"]
+    return ",\n".join([*steps, nearest.format(heap_clusters.ROUNDS)])
+
+
+#: Unsigned crc32 of the decimal text of column c, bit by bit.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+  lambda s, b: list_reduce([xor(s, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))))"""
 
 ORACLES = {
     "op2_rule_ledger": f"""
@@ -97,4 +126,23 @@ b AS (SELECT *, (n_words < {rule_ledger.FEW_WORDS})::INT + 2 * (100 * n_repeat_w
         + 32 * (100 * bars > {rule_ledger.BAR_WORD_PERCENT} * n_words)::INT + 64 * (100 * up > {rule_ledger.SHOUT_PERCENT} * (up + low))::INT AS bits FROM m)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
   n_repeat_words::BIGINT AS n_repeat_words, bits & 3 <> 0 AS base_failed, bits = 0 AS kept, bits::BIGINT AS failed_bits FROM b""",
+    "op12_heap_clusters": f"""
+WITH e AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor({heap_clusters.SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = {heap_clusters.SIZE} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+{_centroid_rounds()}
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(k.v, ',')) AS centroid_sha256
+FROM a{heap_clusters.ROUNDS} JOIN c{heap_clusters.ROUNDS} AS k USING (c)""",
+    "op13_prefix_trie": f"""
+WITH t AS (SELECT conv_id AS c, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS ts FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT *, ({_CRC} % {prefix_trie.HEADS})::INTEGER AS h FROM t),
+b AS (SELECT h.c, coalesce(list_slice(g.ts, 1, h.h), []) || list_slice(h.ts, h.h + 1, len(h.ts)) AS ts FROM h LEFT JOIN t AS g ON g.c = h.c - h.c % {prefix_trie.GROUP}),
+p AS MATERIALIZED (SELECT c, len(ts) AS n, d, CASE WHEN d > 0 THEN ts[d].text ELSE '' END AS last, sha256(to_json(list_slice(ts, 1, d))::VARCHAR) AS k FROM (SELECT c, ts, unnest(range(0, len(ts) + 1)) AS d FROM b)),
+f AS MATERIALIZED (SELECT k, d, min(c) AS conv_id, count(*) AS n_convs, any_value(len(list_filter(string_split_regex(last, '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))) AS w,
+  sha256(coalesce(string_agg(CASE WHEN n = d THEN c::VARCHAR END, ',' ORDER BY c), '')) AS ends FROM p GROUP BY k, d),
+u AS (SELECT DISTINCT x.k AS k, y.k AS below, x.d AS d, y.d AS depth_below FROM p AS x JOIN p AS y ON x.c = y.c AND y.d >= x.d),
+s AS (SELECT u.k, count(*) FILTER (WHERE depth_below = u.d + 1) AS n_children, sum((f.n_convs - 1) * f.w) AS saved FROM u JOIN f ON f.k = u.below GROUP BY u.k),
+l AS (SELECT u.k, count(*) AS n_leaves FROM u JOIN s ON s.k = u.below WHERE s.n_children = 0 GROUP BY u.k),
+q AS (SELECT DISTINCT y.k AS k, x.k AS above FROM p AS x JOIN p AS y ON x.c = y.c AND y.d = x.d + 1)
+SELECT f.conv_id, f.d::BIGINT AS depth, a.conv_id AS parent_conv_id, f.n_convs::BIGINT AS n_convs, s.n_children::BIGINT AS n_children, l.n_leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, f.ends AS ends_sha256
+FROM f JOIN s USING (k) JOIN l USING (k) LEFT JOIN q USING (k) LEFT JOIN f AS a ON a.k = q.above""",
 }
