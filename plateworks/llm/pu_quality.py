@@ -40,6 +40,7 @@ RIDGE = 1.0  # divided by the number of positives
 STEPS = 30
 CLOSE = 1e-6
 BINS = 2000
+MERGERS = 8
 DELTA = 0.1
 
 _CLASSES = ("space", "newline", "lower", "upper", "digit", "beyond", "stop", "exclaim", "quote", "bracket", "sign", "bar", "other")
@@ -90,19 +91,21 @@ def _rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _summed(table: DataFrame, part, size: int) -> np.ndarray:
-    """Sum over all rows of the vector of ``size`` numbers that ``part(x, positive)`` gives for a batch."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sum over all rows of the vector of ``size`` numbers that ``part(x, positive)`` gives for a batch: one row per task, then per one of ``MERGERS``."""
+    def totals(vectors: Iterator[np.ndarray]) -> pa.RecordBatch:
         total = np.zeros(size)
-        for batch in batches:
-            if batch.num_rows:
-                total += part(*_rows(batch))
-        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["v"])
-
-    sums = table.mapInArrow(run, "v array<double>").select(F.posexplode("v").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
-    out = np.zeros(size)
-    for i, v in sums.collect():
-        out[i] = v
-    return out
+        for v in vectors:
+            total += v
+        return pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield totals(part(*_rows(batch)) for batch in batches if batch.num_rows)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield totals(np.frombuffer(v, float) for batch in batches for v in batch.column(0).to_pylist())
+
+    sums = table.mapInArrow(run, "v binary").repartition(MERGERS).mapInArrow(merge, "v binary").collect()
+    return np.sum([np.frombuffer(r.v, float) for r in sums], axis=0)
 
 
 def _softplus(z: np.ndarray) -> np.ndarray:
