@@ -1,4 +1,4 @@
-"""JSON documents: tolerant decoding, fingerprints, comparison of inputs."""
+"""JSON documents: tolerant decoding, comparison of inputs."""
 
 from __future__ import annotations
 
@@ -30,13 +30,6 @@ def field(text: Column, path: str) -> Column:
     return F.get_json_object(text, path)
 
 
-def fingerprint(**parts: Column) -> Column:
-    """``sha256:`` + SHA-256 of the key-sorted JSON of the inputs; nulls take part."""
-    columns = [parts[name].alias(name) for name in sorted(parts)]
-    document = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
-    return F.concat(F.lit("sha256:"), F.sha2(document, 256))
-
-
 def changed_keys(stored: Column, current: Column) -> Column:
     """Sorted keys of two string maps whose values differ; a missing key differs from a present one."""
     nothing = F.expr("cast(map() as map<string,string>)")
@@ -49,51 +42,5 @@ def digest_of(rules: dict) -> str:
     return hashlib.sha256(json.dumps(rules, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
 
-QC_RULES_DIGEST = digest_of(fixed.QC_RULES)
 NORMALIZER_PARAMS_DIGEST = digest_of({
     "derived": fixed.DERIVED_CONTAINERS, "manifest_version": 2, "pass_through": fixed.PASS_THROUGH_CONTAINERS})
-
-
-def facts_fingerprint(file_hash: Column) -> Column:
-    return fingerprint(source=file_hash, version=F.lit(fixed.FACTS_VERSION))
-
-
-def representation_fingerprint(file_hash: Column) -> Column:
-    return fingerprint(params=F.lit(NORMALIZER_PARAMS_DIGEST), source=file_hash, version=F.lit(fixed.NORMALIZER_VERSION))
-
-
-def view_fingerprint(file_hash: Column) -> Column:
-    return fingerprint(normalizer=representation_fingerprint(file_hash), view=F.lit(fixed.VIEW_VERSION))
-
-
-def qc_fingerprint(view: Column) -> Column:
-    return fingerprint(rules=F.lit(QC_RULES_DIGEST), view=view)
-
-
-def enhancement_fingerprint(file_hash: Column, view: Column) -> Column:
-    return fingerprint(file_hash=file_hash, rules_version=F.lit(fixed.ENHANCEMENT_RULES_VERSION), view=view)
-
-
-def vision_fingerprint(view: Column, provider: Column, model: Column, prompt_version: Column) -> Column:
-    return fingerprint(model=model, prompt_version=prompt_version, provider=provider, view=view)
-
-
-def creative_fingerprint(file_hash: Column, vision_json: Column, prompt_version: Column, view: Column) -> Column:
-    return fingerprint(file_hash=file_hash, prompt_version=prompt_version, view=view, vision=vision_json)
-
-
-def readiness_fingerprint(file_hash: Column, facts_event_id: Column, source_event_id: Column, qc_passed: Column,
-                          state: Column, completeness: Column, fields: Column, vision_event_id: Column,
-                          attestation: Column) -> Column:
-    """Inputs of a readiness result; an attestation takes part only while it is in force."""
-    base = dict(completeness=completeness, facts_event_id=facts_event_id, fields=fields, file_hash=file_hash,
-                profiles=F.lit(",".join(p["version"] for p in fixed.PLATFORM_PROFILES)), qc_passed=qc_passed,
-                source_event_id=source_event_id, state=state, version=F.lit(fixed.READINESS_VERSION),
-                vision_event_id=vision_event_id)
-    return F.when(attestation.isNull(), fingerprint(**base)).otherwise(fingerprint(attestation=attestation, **base))
-
-
-def export_fingerprint(profile_version: Column, readiness: Column, view: Column, text: Column, keywords: Column) -> Column:
-    return fingerprint(export_version=F.lit(fixed.EXPORT_VERSION), keywords=keywords,
-                       normalizer=F.lit(fixed.NORMALIZER_VERSION), profile=profile_version, readiness=readiness,
-                       text=text, view=view)

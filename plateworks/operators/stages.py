@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from plateworks import fixed
 from plateworks.functions import documents as doc
+from plateworks.functions import fingerprints as fp
 from plateworks.functions.arrays import codes, compact, empty_strings, first_match, flag, or_empty, sorted_distinct, strings
 from plateworks.operators import log
 from plateworks.sources import schemas
@@ -23,8 +24,8 @@ STATE_SLOTS = tuple(s for s in log.SLOTS if s not in ("ingest_done", "metadata",
 # --- inputs ----------------------------------------------------------------------------------
 
 def with_documents(assets: DataFrame) -> DataFrame:
-    """Decodes the JSON columns of the catalogue once into typed documents."""
-    return (assets.withColumn("qc_doc", doc.decode(F.col("qc_result"), schemas.QC))
+    """Decodes the JSON columns of the catalogue once into typed documents. An empty QC document is no result."""
+    return (assets.withColumn("qc_doc", F.when(~F.col("qc_result").rlike(r"^\s*\{\s*\}\s*$"), doc.decode(F.col("qc_result"), schemas.QC)))
             .withColumn("md", doc.decode(F.col("metadata_json"), schemas.METADATA)))
 
 
@@ -52,6 +53,41 @@ def stage_inputs(assets: DataFrame, events: DataFrame, listing: DataFrame) -> Da
     return with_files(with_documents(assets).join(slots, "asset_id", "left").join(verdict, "asset_id", "left"), listing)
 
 
+# --- fingerprints ----------------------------------------------------------------------------
+
+def in_force() -> Column:
+    """The attestation of people that applies to the file as it is now (kind, event_id), or null."""
+    attested = _col("attested")
+    lifts = attested["kind"].isin(*fixed.LIFTING_ATTESTATIONS) & (attested["file_hash"] == _col("file_hash"))
+    return F.when(lifts, F.struct(_col("attested_id").alias("event_id"), attested["kind"].alias("kind")))
+
+
+def with_fingerprints(rows: DataFrame, identities: dict[str, dict], prompt_version: str) -> DataFrame:
+    """Adds the current fingerprint of every result, computed from its inputs in ``stage_inputs``.
+
+    ``identities``: provider -> what its answers depend on besides the view; an unknown provider has no fingerprint. A creative result is held
+    against the prompt that it names. Exports have one only where the stored readiness result plans them.
+    """
+    h, md, qc_doc = _col("file_hash"), _col("md"), _col("qc_doc")
+    rows = rows.withColumns({"fp_facts": fp.of(fp.facts(h)), "fp_rep": fp.of(fp.representation(h))}).withColumn("fp_view", fp.of(fp.view(_col("fp_rep"))))
+    provider = F.coalesce(_col("ai_passed.provider"), F.lit(next(iter(identities), None)))
+    prompt = F.coalesce(_col("creative_advised.prompt_version"), F.lit(prompt_version))
+    rows = rows.withColumns({
+        "fp_qc": fp.of(fp.qc(_col("fp_view"))), "fp_enh": fp.of(fp.enhancement(h, _col("fp_view"))),
+        "fp_vision": first_match([(provider == p, fp.of(fp.vision(_col("fp_view"), p, parts))) for p, parts in identities.items()], F.lit(None).cast("string")),
+        "fp_creative": fp.of(fp.creative(h, _col("ai_result"), prompt, _col("fp_view"))),
+        "fp_readiness": fp.readiness(h, _col("normalize_evaluated_id"), _col("source_invalid_id"), F.coalesce(qc_doc["passed"], F.lit(False)), md["state"], md["completeness"],
+                                     F.get_json_object("metadata_json", "$.fields"), md["sources"]["vision"]["event_id"], in_force())})
+    return rows.withColumns({f"fp_export_{p['platform']}": export_fingerprint(p) for p in fixed.EXPORT_PROFILES})
+
+
+def export_fingerprint(profile: dict) -> Column:
+    platform = _col("readiness_evaluated.platforms")[profile["platform"]]
+    plan = platform["export_plan"]
+    planned = (platform["status"] == "ready") & plan.isNotNull()
+    return F.when(planned, fp.of(fp.export(profile, _col("readiness_evaluated.fingerprint"), _col("fp_view"), plan[profile["text_field"]], plan["keywords"])))
+
+
 # --- own status per stage --------------------------------------------------------------------
 
 def _status(name: str, rules: list[tuple[Column, str, Column | str | None]], default: tuple[str, str | None]) -> dict[str, Column]:
@@ -100,31 +136,28 @@ def view_status() -> dict[str, Column]:
 
 def qc_status() -> dict[str, Column]:
     qc = _col("qc_doc")
-    current = F.create_map(F.lit("rules"), F.lit(doc.QC_RULES_DIGEST), F.lit("view"), _col("fp_view"))
     changed = qc["input_fingerprint"].isNotNull() & (qc["input_fingerprint"] != _col("fp_qc"))
     return _status("qc", [
         (qc.isNull(), MISSING, "NOT_CHECKED"),
         (qc["input_fingerprint"].isNull(), STALE, "NO_FINGERPRINT"),
         (changed, STALE, "FINGERPRINT_CHANGED"),
         (~F.coalesce(qc["passed"], F.lit(False)), FAILED, "QC_FAILED"),
-    ], (CURRENT, None)) | {"qc_changed": F.when(changed, doc.changed_keys(qc["inputs"], current))}
+    ], (CURRENT, None)) | {"qc_changed": F.when(changed, fp.changed_members(qc["inputs"], fp.document(fp.qc(_col("fp_view")))))}
 
 
-def vision_status(identities: dict[str, dict[str, str]]) -> dict[str, Column]:
+def vision_status(identities: dict[str, dict]) -> dict[str, Column]:
     """``identities``: provider -> what its answers depend on besides the view; others are unknown."""
     passed, has = _col("ai_passed"), _col("ai_result").isNotNull()
     stored = passed["input_fingerprint"]
     changed = has & stored.isNotNull() & passed["provider"].isin(*identities) & (stored != _col("fp_vision"))
-    current = first_match([(passed["provider"] == p, F.create_map(
-        F.lit("provider"), F.lit(p), F.lit("view"), _col("fp_view"), *[F.lit(x) for kv in parts.items() for x in kv]))
-        for p, parts in identities.items()], F.expr("cast(null as map<string,string>)"))
+    current = first_match([(passed["provider"] == p, fp.document(fp.vision(_col("fp_view"), p, parts))) for p, parts in identities.items()], F.lit(None).cast("string"))
     return _status("vision", [
         (~has & log.newer(_col("ai_failed_id"), _col("ai_passed_id")), FAILED, "VISION_FAILED"),
         (~has, MISSING, "NOT_ANALYZED"),
         (stored.isNull(), STALE, "NO_FINGERPRINT"),
         (~F.coalesce(passed["provider"].isin(*identities), F.lit(False)), STALE, "UNKNOWN_PROVIDER"),
         (stored != _col("fp_vision"), STALE, "FINGERPRINT_CHANGED"),
-    ], (CURRENT, None)) | {"vision_changed": F.when(changed, doc.changed_keys(passed["inputs"], current))}
+    ], (CURRENT, None)) | {"vision_changed": F.when(changed, fp.changed_members(passed["inputs"], current))}
 
 
 def metadata_status() -> dict[str, Column]:
@@ -178,40 +211,37 @@ def creative_status(prompt_version: str) -> dict[str, Column]:
     ], (CURRENT, None))
 
 
-def publication_inputs() -> Column:
-    """What a publication decision depends on, as a map comparable key by key."""
-    advised = _col("creative_review_status") == CURRENT
-    return F.create_map(
-        F.lit("policy_version"), F.lit(fixed.PUBLICATION_POLICY_VERSION), F.lit("source_sha256"), _col("file_hash"),
-        F.lit("readiness_fingerprint"), _col("readiness_evaluated.fingerprint"), F.lit("advice_current"), advised.cast("string"),
-        F.lit("advice_recommendation"), F.when(advised, _col("creative_advised.features.recommendation")))
+def publication_inputs() -> fp.Parts:
+    """What a publication decision depends on."""
+    return fp.publication(_col("file_hash"), _col("readiness_evaluated.fingerprint"), _col("creative_review_status") == CURRENT, _col("creative_advised.features.recommendation"))
 
 
 def publication_status() -> dict[str, Column]:
+    """A decision is stale when its fingerprint differs; which inputs did, at any depth, is reported beside it."""
     done = _col("publication_evaluated")
-    changed = F.filter(doc.changed_keys(done["inputs"], publication_inputs()), lambda k: k != "readiness_event_id")
     applicable = ~((_col("readiness_status").isin(NOT_APPLICABLE, MISSING)) | (
         (_col("readiness_status") == CURRENT) & _col("readiness_reason").eqNullSafe(F.lit("READINESS_BLOCKED"))))
-    stale = applicable & done.isNotNull() & (F.size(changed) > 0)
+    fresh = done["fingerprint"].eqNullSafe(_col("fp_publication"))
+    stale = applicable & done.isNotNull() & ~fresh
     return _status("publication", [
         (_col("readiness_status") == NOT_APPLICABLE, NOT_APPLICABLE, "METADATA_NOT_APPROVED"),
         (_col("readiness_status") == MISSING, NOT_APPLICABLE, "READINESS_NOT_EVALUATED"),
         (~applicable, NOT_APPLICABLE, "READINESS_BLOCKED"),
         (done.isNull(), MISSING, "NOT_EVALUATED"),
-        (F.size(changed) > 0, STALE, "FINGERPRINT_CHANGED"),
+        (~fresh, STALE, "FINGERPRINT_CHANGED"),
     ], (CURRENT, None)) | {
-        "publication_changed": F.when(stale, changed),
-        "approved_for": F.when(applicable & done.isNotNull() & ~stale, or_empty(done["approved_for"])).otherwise(empty_strings())}
+        "publication_changed": F.when(stale, fp.changed_members(done["inputs"], fp.document(publication_inputs()), fp.PUBLICATION_IGNORED)),
+        "approved_for": F.when(applicable & done.isNotNull() & fresh, or_empty(done["approved_for"])).otherwise(empty_strings())}
 
 
-def own_statuses(inputs: DataFrame, identities: dict[str, dict[str, str]], prompt_version: str, verify: bool = False) -> DataFrame:
+def own_statuses(inputs: DataFrame, identities: dict[str, dict], prompt_version: str, verify: bool = False) -> DataFrame:
     """Statuses before inheritance; a bad source makes normalisation stale."""
-    rows = inputs.withColumns(source_status(verify) | normalize_status() | view_status() | qc_status()
+    rows = with_fingerprints(inputs, identities, prompt_version).withColumns(source_status(verify) | normalize_status() | view_status() | qc_status()
                               | vision_status(identities) | metadata_status() | readiness_status() | enhancement_status())
     overridden = (F.col("source_status") != "ok") & (F.col("normalize_status") != MISSING)
     rows = rows.withColumns({"normalize_reason": F.when(overridden, "UPSTREAM_STALE:source").otherwise(F.col("normalize_reason")),
                              "normalize_status": F.when(overridden, STALE).otherwise(F.col("normalize_status"))})
-    return rows.withColumns(creative_status(prompt_version)).withColumns(publication_status())
+    return rows.withColumns(creative_status(prompt_version)).withColumn("fp_publication", fp.of(publication_inputs())).withColumns(publication_status())
 
 
 # --- inheritance, export, state --------------------------------------------------------------
@@ -240,13 +270,14 @@ def propagate(rows: DataFrame) -> DataFrame:
 def export_file_status(platform: str) -> Column:
     """ready_for_export / stale / not_prepared and the reason, for the file of one platform."""
     file = F.col(f"export_{platform}")
-    plan_ready = F.coalesce(F.col("readiness_evaluated.platforms")[platform]["status"] == "ready", F.lit(False))
+    result = F.col("readiness_evaluated.platforms")[platform]
+    plan_ready = F.coalesce((result["status"] == "ready") & result["export_plan"].isNotNull(), F.lit(False))
     usable = (F.col("readiness_status") == CURRENT) & plan_ready & (F.col("publication_status") == CURRENT) \
         & F.array_contains("approved_for", platform)
     reason = first_match([
         (F.col(f"export_{platform}_id").isNull(), "NOT_PREPARED"),
         (~usable, "NOT_READY_OR_NOT_APPROVED"),
-        (~file["inputs_fingerprint"].eqNullSafe(F.col("fp_export")), "FINGERPRINT_CHANGED"),
+        (~file["inputs_fingerprint"].eqNullSafe(F.col(f"fp_export_{platform}")), "FINGERPRINT_CHANGED"),
         (~F.col(f"{platform}_actual_size").eqNullSafe(file["size_bytes"]), "FILE_MISSING_OR_CHANGED"),
     ], F.lit(None).cast("string"))
     status = F.when(reason.isNull(), "ready_for_export").when(reason == "NOT_PREPARED", "not_prepared").otherwise("stale")
@@ -347,7 +378,7 @@ def with_actions(rows: DataFrame) -> DataFrame:
     return rows.withColumn("actions", codes(*rules))
 
 
-def derive(inputs: DataFrame, identities: dict[str, dict[str, str]], prompt_version: str, verify: bool = False) -> DataFrame:
+def derive(inputs: DataFrame, identities: dict[str, dict], prompt_version: str, verify: bool = False) -> DataFrame:
     """Full derived state: statuses, inheritance, export, state, problems, actions."""
     rows = with_export(propagate(own_statuses(inputs, identities, prompt_version, verify)))
     return with_actions(with_problems(with_state(rows)))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from plateworks import fixed
 from plateworks.functions import documents as doc
+from plateworks.functions import fingerprints as fp
 from plateworks.session import materialize
 
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
@@ -40,7 +41,7 @@ def _render(template: str, dialect: str) -> str:
 
 
 def _split_args(text: str) -> list[str]:
-    return [a for a in text.split("|")]
+    return re.split(r"(?<!\|)\|(?!\|)", text)  # one bar; two are the concatenation of SQL
 
 
 # --- the log ---------------------------------------------------------------------------------
@@ -68,31 +69,54 @@ def _pair_case() -> str:
     return "CASE event_type " + " ".join(f"WHEN '{kind}' THEN CASE {a} END" for kind, a in arms.items()) + " END"
 
 
-def _fp(**parts: str) -> str:
-    """SQL twin of ``documents.fingerprint`` for string inputs."""
-    body = "".join(f"{',' if i else ''}\"{k}\":\"' || {parts[k]} || '\"" for i, k in enumerate(sorted(parts)))
-    text = "'{" + body + "}'"
-    return f"('sha256:' || @SHA<{text}>)"
+def _text(expr: str) -> str:
+    """JSON string of a SQL expression without characters to escape; null is null."""
+    return f"coalesce('\"' || {expr} || '\"', 'null')"
+
+
+def _plain(expr: str) -> str:
+    """JSON number, truth value or document of a SQL expression."""
+    return f"coalesce(CAST({expr} AS {{STR}}), 'null')"
 
 
 def _lit(value: str) -> str:
-    return f"'{value}'"
+    return f"'\"{value}\"'"
 
 
-_FP_COLUMNS = (
-    ("fp_facts", _fp(source="file_hash", version=_lit(fixed.FACTS_VERSION))),
-    ("fp_rep", _fp(params=_lit(doc.NORMALIZER_PARAMS_DIGEST), source="file_hash", version=_lit(fixed.NORMALIZER_VERSION))),
-    ("fp_readiness", _fp(file_hash="file_hash", version=_lit(fixed.READINESS_VERSION))),
-    ("fp_creative", _fp(file_hash="file_hash", prompt_version=_lit("creative-v2"))),
-)
-_FP_LATE = (
-    ("fp_view", _fp(normalizer="fp_rep", view=_lit(fixed.VIEW_VERSION))),
-)
-_FP_LAST = (
-    ("fp_qc", _fp(rules=_lit(doc.QC_RULES_DIGEST), view="fp_view")),
-    ("fp_enh", _fp(file_hash="file_hash", rules_version=_lit(fixed.ENHANCEMENT_RULES_VERSION), view="fp_view")),
-    ("fp_vision", _fp(model=_lit("vision-8b"), prompt_version=_lit("vision-v3"), provider=_lit("local"), view="fp_view")),
-    ("fp_export", _fp(file_hash="file_hash", readiness="fp_readiness", version=_lit(fixed.EXPORT_VERSION))),
+def _json(value) -> str:
+    return f"'{fp.constant_text(value)}'"
+
+
+def _fp(**parts: str) -> str:
+    """SQL twin of ``fingerprints.of``: every part is an expression that gives JSON text."""
+    body = " || ".join(f"'{',' if i else ''}\"{k}\":' || {parts[k]}" for i, k in enumerate(sorted(parts)))
+    return f"('sha256:' || @SHA<'{{' || {body} || '}}'>)"
+
+
+#: What the answers of the vision model depend on besides the view.
+IDENTITIES = {"local": {"model": "vision-8b", "prompt_version": "vision-v3", "image": {"variant": "preview", "format": "jpeg", "quality": 90}, "params": {"temperature": None, "max_tokens": None}}}
+_IDENTITY = IDENTITIES["local"]
+_PROFILES = {p["platform"]: p["version"] for p in fixed.PLATFORM_PROFILES}
+_READY_INPUTS = dict(
+    completeness=_text("completeness"), facts_event_id=_plain("facts_event_id"), fields="coalesce(fields, 'null')", file_hash=_text("file_hash"), profiles=_json(sorted(_PROFILES.values())),
+    qc_passed=_plain("coalesce(qc_passed, FALSE)"), readiness_version=_lit(fixed.READINESS_VERSION), source_event_id=_plain("source_event_id"), state=_text("md_state"), vision_event_id=_plain("vision_event_id"))
+# (columns by level: each level reads the one before)
+_PRINTS = (
+    (("fp_facts", _fp(source=_text("file_hash"), version=_lit(fixed.FACTS_VERSION))),
+     ("fp_rep", _fp(params=_lit(doc.NORMALIZER_PARAMS_DIGEST), source=_text("file_hash"), version=_lit(fixed.NORMALIZER_VERSION))),
+     ("attestation", "CASE WHEN attested_k < 92 AND attested_value >= 10 THEN '{\"event_id\":' || attested_id || ',\"kind\":\"' || CASE WHEN attested_k < 90 THEN 'not_identifiable' ELSE 'release_on_file' END || '\"}' END")),
+    (("fp_view", _fp(normalizer=_text("fp_rep"), view=_lit(fixed.VIEW_VERSION))),
+     ("fp_unattested", _fp(**_READY_INPUTS)), ("fp_attested", _fp(people_attestation="attestation", **_READY_INPUTS))),
+    (("fp_qc", _fp(rules=_json(fixed.QC_RULES), view=_text("fp_view"))),
+     ("fp_enh", _fp(file_hash=_text("file_hash"), rules_version=_lit(fixed.ENHANCEMENT_RULES_VERSION), view=_text("fp_view"))),
+     ("fp_vision", _fp(provider=_lit("local"), view=_text("fp_view"), **{k: _json(v) for k, v in _IDENTITY.items()})),
+     *[(name, _fp(file_hash=_text("file_hash"), prompt_version=_lit(prompt), view=_text("fp_view"), vision="coalesce('\"' || replace(ai_result, '\"', chr(92) || '\"') || '\"', 'null')")) for name, prompt in (("fp_creative", "creative-v2"), ("fp_creative1", "creative-v1"))],
+     ("fp_readiness", "CASE WHEN attestation IS NULL THEN fp_unattested ELSE fp_attested END")),
+    (("ready_fp", "CASE WHEN ready_value < 2 THEN NULL WHEN ready_value < 4 THEN 'sha256:older' WHEN ready_value IS NOT NULL THEN fp_readiness END"),),
+    tuple((f"fp_export_{p['platform']}", _fp(
+        export_version=_lit(fixed.EXPORT_VERSION), normalizer_version=_lit(fixed.NORMALIZER_VERSION), profile=_json(p), readiness_fingerprint=_text("ready_fp"), view=_text("fp_view"),
+        snapshot={"title": "'{\"keywords\":[\"frame\",\"take ' || ready_k || '\"],\"title\":\"Frame ' || asset_id || '\"}'",
+                  "description": "'{\"description\":\"Frame ' || asset_id || ' at work\",\"keywords\":[\"frame\",\"take ' || ready_k || '\"]}'"}[p["text_field"]])) for p in fixed.EXPORT_PROFILES),
 )
 
 
@@ -100,9 +124,10 @@ def _cols(columns) -> str:
     return ", ".join(f"{expr} AS {name}" for name, expr in columns)
 
 
-def _with_fingerprints(inner: str) -> str:
-    return (f"SELECT *, {_cols(_FP_LAST)} FROM (SELECT *, {_cols(_FP_LATE)} FROM "
-            f"(SELECT *, {_cols(_FP_COLUMNS)} FROM ({inner})))")
+def _with_prints(inner: str) -> str:
+    for level in _PRINTS:
+        inner = f"SELECT *, {_cols(level)} FROM ({inner})"
+    return inner
 
 
 def _stored(current: str) -> str:
@@ -116,16 +141,19 @@ def _json_fp(current: str) -> str:
 
 
 _PLATFORM = "CASE WHEN value < 35 THEN 'adobe' ELSE 'shutterstock' END"
+_ADOBE, _OLDER = "'adobe'", "'sha256:older'"
+_PARAMS = fp.constant_text(_IDENTITY["params"])
 _READY = ("CASE WHEN k >= 70 THEN '[]' WHEN value < 20 THEN '[\"adobe\"]' WHEN value < 30 THEN '[\"shutterstock\"]' "
           "ELSE '[\"adobe\",\"shutterstock\"]' END")
 
 
 def _platform_json(name: str, version: str) -> str:
     ready = f"(k < 70 AND ({'value < 20 OR value >= 30' if name == 'adobe' else 'value >= 20'}))"
+    plan = "',\"export_plan\":{\"title\":\"Frame ' || asset_id || '\",\"description\":\"Frame ' || asset_id || ' at work\",\"keywords\":[\"frame\",\"take ' || k || '\"]}'"
     return (f"'\"{name}\":{{\"profile\":\"{version}\",\"status\":\"' || CASE WHEN {ready} THEN 'ready' ELSE 'blocked' END || "
             f"'\",\"checks\":[' || CASE WHEN {ready} THEN '{{\"code\":\"TITLE_LONG\",\"level\":\"warning\"}}' "
             f"WHEN k > 70 THEN '{{\"code\":\"MODEL_RELEASE_REQUIRED\",\"level\":\"blocker\"}},{{\"code\":\"EDITORIAL_ONLY\",\"level\":\"blocker\"}}' "
-            f"ELSE '{{\"code\":\"QC_NOT_PASSED\",\"level\":\"blocker\"}}' END || '],\"categories\":[\"Industry\"]}}'")
+            f"ELSE '{{\"code\":\"QC_NOT_PASSED\",\"level\":\"blocker\"}}' END || '],\"categories\":[\"Industry\"]' || CASE WHEN {ready} THEN {plan} ELSE '' END || '}}'")
 
 
 _MESSAGE = f"""
@@ -142,7 +170,7 @@ CASE pair
  WHEN 'ENHANCEMENT/ASSESSED' THEN '{{"k":' || k || {_json_fp('fp_enh')} || ',"decision":' || CASE WHEN k < 60 THEN '"enhancement_not_needed"' WHEN k < 66 THEN '"enhancement_recommended"' WHEN k < 70 THEN '"enhancement_risky"' ELSE 'null' END || ',"disputed":' || CASE WHEN k >= 70 THEN 'true' ELSE 'false' END || ',"reasons":[' || CASE WHEN k < 60 THEN '' WHEN k < 70 THEN '{{"reason":"noise","level":"issue"}}' ELSE '{{"reason":"sharpness","level":"borderline"}},{{"reason":"resolution","level":"borderline"}}' END || '],"notes":[' || CASE WHEN value < 20 THEN '{{"code":"ISOLATED_SUBJECT"}}' ELSE '' END || ']}}'
  WHEN 'ENHANCEMENT/ADVISED' THEN '{{"assessment_event_id":' || id || ',"advice":{{"decision":"' || CASE WHEN k < 86 THEN 'enhancement_not_needed' ELSE 'enhancement_recommended' END || '","reasons":[{{"reason":"sharpness","detail":"soft"}}],"operations":[],"confidence":0.' || @LPAD<CAST(k AS {{STR}})|2> || '}}}}'
  WHEN 'ENHANCEMENT/FAILED' THEN '{{"stage":"' || CASE WHEN k < 96 THEN 'rules' ELSE 'advisor' END || '","error_type":"' || CASE WHEN value < 30 THEN 'TimeoutError' ELSE 'ConnectionError' END || '"' || {_json_fp('fp_enh')} || '}}'
- WHEN 'AI/PASSED' THEN CASE WHEN k < 4 THEN 'Vision analysis saved' ELSE '{{"provider":"' || CASE WHEN k < 47 THEN 'local' ELSE 'remote' END || '","model":"vision-8b","prompt_version":"vision-v3","analyzed_at":"2024-01-01T00:00:00+00:00","duration_s":' || value || CASE WHEN value < 2 THEN '' ELSE ',"input_fingerprint":"' || ({_stored('fp_vision')}) || '"' END || ',"inputs":{{"view":"' || fp_view || '","provider":"local","model":"' || CASE WHEN value < 4 THEN 'vision-4b' ELSE 'vision-8b' END || '","prompt_version":"vision-v3"}}}}' END
+ WHEN 'AI/PASSED' THEN CASE WHEN k < 4 THEN 'Vision analysis saved' ELSE '{{"provider":"' || CASE WHEN k < 47 THEN 'local' ELSE 'remote' END || '","model":"vision-8b","prompt_version":"vision-v3","analyzed_at":"2024-01-01T00:00:00+00:00","duration_s":' || value || CASE WHEN value < 2 THEN '' ELSE ',"input_fingerprint":"' || ({_stored('fp_vision')}) || '"' END || ',"inputs":{{"view":"' || fp_view || '","provider":"local","model":"' || CASE WHEN value < 4 THEN 'vision-4b' ELSE 'vision-8b' END || '","prompt_version":"vision-v3","params":{_PARAMS},"image":{{"variant":"preview","quality":' || CASE WHEN value < 3 THEN 80 ELSE 90 END || ',"format":"jpeg"}}}}}}' END
  WHEN 'AI/FAILED' THEN '{{"provider":"local","duration_s":' || value || CASE WHEN k < 53 THEN '' WHEN k < 57 THEN ',"error_type":"ConnectionError"' ELSE ',"error_type":"AIResponseError"' END || ',"error":"failed at ' || k || '"}}'
  WHEN 'METADATA_AI/PASSED' THEN '{{"provider":"local","model":"text-4b","duration_s":' || value || '}}'
  WHEN 'METADATA_AI/FAILED' THEN '{{"provider":"local"' || CASE WHEN k < 90 THEN ',"error_type":"TimeoutError"' ELSE '' END || ',"error":"no answer"}}'
@@ -151,10 +179,10 @@ CASE pair
  WHEN 'METADATA/ESCALATED' THEN '{{"reason":"second look","state_before":"draft"}}'
  WHEN 'READINESS/EVALUATED' THEN '{{"k":' || k || {_json_fp('fp_readiness')} || ',"ready_for":' || {_READY} || ',"platforms":{{' || {_platform_json('adobe', 'adobe-2026-09')} || ',' || {_platform_json('shutterstock', 'shutterstock-2026-09')} || '}}}}'
  WHEN 'READINESS/FAILED' THEN '{{"error_type":"OSError","error":"read"}}'
- WHEN 'CREATIVE_REVIEW/ADVISED' THEN '{{"k":' || k || {_json_fp('fp_creative')} || ',"profile":{{"name":"' || CASE WHEN k < 36 THEN 'industrial_stock' WHEN k < 38 THEN 'nature_stock' ELSE 'travel_stock' END || '","selection":{{"mode":"' || CASE WHEN k < 20 THEN 'auto' WHEN k < 30 THEN 'explicit' ELSE 'default' END || '"}}}},"prompt_version":"' || CASE WHEN value < 6 THEN 'creative-v1' ELSE 'creative-v2' END || '","features":{{"composition":"' || CASE WHEN value < 30 THEN 'good' WHEN value < 60 THEN 'acceptable' ELSE 'weak' END || '","demand":"' || CASE WHEN k < 20 THEN 'high' WHEN k < 30 THEN 'medium' ELSE 'low' END || '","uniqueness":"' || CASE WHEN k < 18 THEN 'medium' WHEN k < 28 THEN 'high' ELSE 'low' END || '","commercial_use_cases":[' || CASE WHEN value < 20 THEN '' WHEN value < 40 THEN '"manual"' ELSE '"manual","report","web"' END || '],"recommendation":"' || CASE WHEN k < 36 THEN 'proceed' WHEN k < 38 THEN 'attention' ELSE 'skip_suggested' END || '"}}}}'
+ WHEN 'CREATIVE_REVIEW/ADVISED' THEN '{{"k":' || k || {_json_fp('CASE WHEN value < 6 THEN fp_creative1 ELSE fp_creative END')} || ',"profile":{{"name":"' || CASE WHEN k < 36 THEN 'industrial_stock' WHEN k < 38 THEN 'nature_stock' ELSE 'travel_stock' END || '","selection":{{"mode":"' || CASE WHEN k < 20 THEN 'auto' WHEN k < 30 THEN 'explicit' ELSE 'default' END || '"}}}},"prompt_version":"' || CASE WHEN value < 6 THEN 'creative-v1' ELSE 'creative-v2' END || '","features":{{"composition":"' || CASE WHEN value < 30 THEN 'good' WHEN value < 60 THEN 'acceptable' ELSE 'weak' END || '","demand":"' || CASE WHEN k < 20 THEN 'high' WHEN k < 30 THEN 'medium' ELSE 'low' END || '","uniqueness":"' || CASE WHEN k < 18 THEN 'medium' WHEN k < 28 THEN 'high' ELSE 'low' END || '","commercial_use_cases":[' || CASE WHEN value < 20 THEN '' WHEN value < 40 THEN '"manual"' ELSE '"manual","report","web"' END || '],"recommendation":"' || CASE WHEN k < 36 THEN 'proceed' WHEN k < 38 THEN 'attention' ELSE 'skip_suggested' END || '"}}}}'
  WHEN 'CREATIVE_REVIEW/FAILED' THEN '{{"error_type":"TimeoutError"}}'
- WHEN 'PUBLICATION/EVALUATED' THEN '{{"policy_version":"publication-v1","approved_for":' || CASE WHEN k < 78 THEN '[]' WHEN value < 20 THEN '["adobe"]' ELSE '["adobe","shutterstock"]' END || ',"inputs":{{"policy_version":"' || CASE WHEN value < 4 THEN 'publication-v0' ELSE 'publication-v1' END || '","source_sha256":"' || file_hash || '","readiness_fingerprint":"' || fp_readiness || '","advice_current":"' || CASE WHEN k < 96 THEN 'true' ELSE 'false' END || '"' || CASE WHEN k < 96 THEN ',"advice_recommendation":"proceed"' ELSE '' END || '}}}}'
- WHEN 'DERIVATIVE/CREATED' THEN '{{"purpose":"' || CASE WHEN k < 68 THEN 'export' ELSE 'internal' END || '","platform":"' || {_PLATFORM} || '","path":"export/' || {_PLATFORM} || '/' || asset_id || '.jpg","filename":"frame_' || asset_id || '.jpg","text":"frame number ' || k || '","sha256":"' || @SHA<'export-' || asset_id> || '","size_bytes":' || (100 + asset_id) || CASE WHEN value < 2 THEN '' ELSE ',"inputs_fingerprint":"' || ({_stored('fp_export')}) || '"' END || '}}'
+ WHEN 'PUBLICATION/EVALUATED' THEN '{{"policy_version":"publication-v1","approved_for":' || CASE WHEN k < 78 THEN '[]' WHEN value < 20 THEN '["adobe"]' ELSE '["adobe","shutterstock"]' END || ',"fingerprint":"sha256:' || @SHA<pub_head || pub_tail> || '","inputs":' || pub_head || ',"readiness_event_id":' || id || pub_tail || '}}'
+ WHEN 'DERIVATIVE/CREATED' THEN '{{"purpose":"' || CASE WHEN k < 68 THEN 'export' ELSE 'internal' END || '","platform":"' || {_PLATFORM} || '","path":"export/' || {_PLATFORM} || '/' || asset_id || '.jpg","filename":"frame_' || asset_id || '.jpg","text":"frame number ' || k || '","sha256":"' || @SHA<'export-' || asset_id> || '","size_bytes":' || (100 + asset_id) || CASE WHEN value < 2 THEN '' ELSE ',"inputs_fingerprint":"' || ({_stored(f'CASE WHEN {_PLATFORM} = {_ADOBE} THEN coalesce(fp_export_adobe, {_OLDER}) ELSE coalesce(fp_export_shutterstock, {_OLDER}) END')}) || '"' END || '}}'
  WHEN 'EXPORT/FAILED' THEN '{{"platform":"' || {_PLATFORM} || '","code":"' || CASE WHEN k < 74 THEN 'NOT_READY' ELSE 'STALE' END || '","error":"refused"}}'
  WHEN 'OUTBOX/COLLECTED' THEN '{{"platform":"' || {_PLATFORM} || '","batch":' || (k - 77) || ',"folder":"publish/' || {_PLATFORM} || '/' || @LPAD<CAST(k - 77 AS {{STR}})|3> || '_2024-02-01","filename":"frame_' || asset_id || '.jpg","sha256":"' || CASE WHEN value < 50 THEN @SHA<'export-' || asset_id> ELSE 'other' END || '"}}'
  WHEN 'HUMAN/PEOPLE_ATTESTED' THEN '{{"kind":"' || CASE WHEN k < 90 THEN 'not_identifiable' WHEN k < 92 THEN 'release_on_file' ELSE 'none' END || '","note":"n","file_hash":"' || CASE WHEN value < 10 THEN 'other' ELSE file_hash END || '"}}'
@@ -164,12 +192,16 @@ CASE pair
 END
 """
 
+# what publication decisions name as their inputs: some an older policy, some an older profile
+_PUB_HEAD = """'{"advice":{"current":' || CASE WHEN k < 96 THEN 'true,"recommendation":"proceed"' ELSE 'false,"recommendation":null' END || '},"policy_version":"' || CASE WHEN value < 4 THEN 'publication-v0' ELSE 'publication-v1' END
+ || '","profiles":{"adobe":"' || CASE WHEN value >= 4 AND value < 8 THEN 'adobe-2026-03' ELSE 'adobe-2026-09' END || '","shutterstock":"shutterstock-2026-09"}'"""
+_PUB_TAIL = """',"readiness_fingerprint":' || coalesce('"' || ready_fp || '"', 'null') || ',"source_sha256":"' || file_hash || '"}'"""
+
+_RAW_EVENTS = f"""SELECT *, {_pair_case()} AS pair FROM (SELECT event_id AS id, user_id AS asset_id, ts AS created_at, event_type, value, CAST(@JSON<props|$.k> AS INT) AS k FROM events)"""
+
 _EVENTS = f"""
 SELECT id, asset_id, split_part(pair, '/', 1) AS stage, split_part(pair, '/', 2) AS status, {_MESSAGE} AS message, created_at, value, k
-FROM ({_with_fingerprints(f'''
-  SELECT *, {_pair_case()} AS pair, @SHA<'asset-' || asset_id> AS file_hash
-  FROM (SELECT event_id AS id, user_id AS asset_id, ts AS created_at, event_type, value,
-               CAST(@JSON<props|$.k> AS INT) AS k FROM events)''')})
+FROM (SELECT *, {_PUB_HEAD} AS pub_head, {_PUB_TAIL} AS pub_tail FROM ({_RAW_EVENTS}) JOIN b_prints USING (asset_id))
 """
 
 # --- catalogue, files ------------------------------------------------------------------------
@@ -177,20 +209,39 @@ FROM ({_with_fingerprints(f'''
 _MD_STATE = ("CASE WHEN toxic = 1 THEN 'human_review' WHEN quality = 0 THEN 'rejected' WHEN quality = 1 THEN 'approved' "
              "WHEN lang = 'en' THEN 'auto_approved' WHEN lang = 'de' THEN 'draft' WHEN lang = 'fr' THEN 'human_review' END")
 
+_MD_FIELDS = "CASE WHEN md_state IS NOT NULL THEN '{\"title\":\"' || filename || '\"}' END"
+_ASSETS = f"""
+  SELECT *, CASE WHEN md_state IS NOT NULL THEN CASE WHEN source = 'src2' THEN 'partial' ELSE 'full' END END AS completeness, {_MD_FIELDS} AS fields,
+    NOT (lang = 'es' AND n_chars < 2000) AND NOT (lang = 'de' AND source = 'src7') AND n_chars >= 150 AS qc_passed,
+    CASE WHEN n_chars BETWEEN 300 AND 400 THEN NULL ELSE '{{"analysis_version":"1.0","confidence":0.5}}' END AS ai_result
+  FROM (SELECT doc_id AS asset_id, source || '/' || doc_id || '.jpg' AS filename, n_chars AS file_size, lang, source, n_chars, {_MD_STATE} AS md_state FROM documents LEFT JOIN labels USING (doc_id))"""
+
+# What the services knew of an asset when they wrote their results: newest events, metadata, and the fingerprints of these.
+_CONTEXT = f"""
+SELECT asset_id, max(CASE WHEN pair = 'NORMALIZE/EVALUATED' THEN id END) AS facts_event_id, max(CASE WHEN pair = 'SOURCE/INVALID' THEN id END) AS source_event_id, max(CASE WHEN pair = 'AI/PASSED' THEN id END) AS ai_event_id,
+  max(CASE WHEN pair = 'HUMAN/PEOPLE_ATTESTED' THEN id END) AS attested_id, max_by(k, CASE WHEN pair = 'HUMAN/PEOPLE_ATTESTED' THEN id END) AS attested_k, max_by(value, CASE WHEN pair = 'HUMAN/PEOPLE_ATTESTED' THEN id END) AS attested_value,
+  max_by(k, CASE WHEN pair = 'READINESS/EVALUATED' THEN id END) AS ready_k, max_by(value, CASE WHEN pair = 'READINESS/EVALUATED' THEN id END) AS ready_value
+FROM ({_RAW_EVENTS}) GROUP BY asset_id
+"""
+_PRINTS_VIEW = _with_prints(f"""
+  SELECT asset_id, @SHA<'asset-' || asset_id> AS file_hash, facts_event_id, source_event_id, attested_id, attested_k, attested_value, ready_k, ready_value, md_state, completeness, fields, qc_passed, ai_result,
+    CASE WHEN md_state IS NULL THEN NULL WHEN source = 'src14' THEN ai_event_id - 1 ELSE ai_event_id END AS vision_event_id
+  FROM ({_ASSETS}) FULL JOIN b_context USING (asset_id)""")
+
 _CATALOG = f"""
-SELECT asset_id, file_hash, filename, source_path, file_size, fp_facts, fp_rep, fp_view, fp_qc, fp_enh, fp_vision,
-       fp_readiness, fp_creative, fp_export, source, lang,
-  CASE WHEN lang = 'es' AND n_chars < 2000 THEN NULL ELSE
+SELECT asset_id, file_hash, filename, 'incoming/' || filename AS source_path, file_size, fp_facts, fp_rep, fp_view, fp_qc, fp_enh, fp_vision,
+       fp_readiness, fp_creative, fp_creative1, fp_export_adobe, fp_export_shutterstock, source, lang,
+  CASE WHEN lang = 'es' AND n_chars < 2000 THEN NULL WHEN lang = 'de' AND source = 'src7' THEN '{{}}' ELSE
     '{{"passed":' || CASE WHEN n_chars < 150 THEN 'false' ELSE 'true' END ||
     ',"errors":[' || CASE WHEN n_chars < 150 THEN '"FILE_TOO_SMALL","VIEW_UNAVAILABLE: DECODE_ERROR"' ELSE '' END ||
     '],"warnings":[' || CASE WHEN source = 'src9' THEN '"EDGE_BORDER"' WHEN n_chars < 1000 THEN '"RESOLUTION_BELOW_RECOMMENDED"' ELSE '' END || ']' ||
     CASE WHEN source = 'src9' THEN ',"edge_border":[{{"side":"top","width":11}},{{"side":"left","width":4}}]' ELSE '' END ||
-    CASE WHEN source = 'src3' THEN '' WHEN source = 'src5' THEN ',"input_fingerprint":"sha256:older"' ELSE ',"input_fingerprint":"' || fp_qc || '"' END ||
-    ',"inputs":{{"view":"' || CASE WHEN lang = 'en' THEN fp_view ELSE 'sha256:older' END || '","rules":"{doc.QC_RULES_DIGEST}"}}}}' END AS qc_result,
-  CASE WHEN n_chars BETWEEN 300 AND 400 THEN NULL ELSE '{{"analysis_version":"1.0","confidence":0.5}}' END AS ai_result,
+    CASE WHEN source = 'src3' THEN '' WHEN source IN ('src5', 'src6') THEN ',"input_fingerprint":"sha256:older"' ELSE ',"input_fingerprint":"' || fp_qc || '"' END ||
+    ',"inputs":{{"view":"' || CASE WHEN lang = 'en' THEN fp_view ELSE 'sha256:older' END || '","rules":' || CASE WHEN source = 'src6' THEN replace({_json(fixed.QC_RULES)}, '"edge_dark":25', '"edge_dark":20') ELSE {_json(fixed.QC_RULES)} END || '}}}}' END AS qc_result,
+  ai_result,
   CASE WHEN md_state IS NULL THEN NULL ELSE
     '{{"state":"' || md_state || '","completeness":"' || CASE WHEN source = 'src2' THEN 'partial' ELSE 'full' END ||
-    '","fields":{{"title":"' || filename || '"}},"edited_fields":[' || CASE WHEN source = 'src13' THEN '"title"' ELSE '' END ||
+    '","fields":' || fields || ',"edited_fields":[' || CASE WHEN source = 'src13' THEN '"title"' ELSE '' END ||
     '],"review":{{"reason":' || CASE WHEN md_state = 'rejected' THEN '"duplicate of a better frame","decided_at":"2024-01-15T10:00:00+00:00"' ELSE 'null' END ||
     '}},"sources":{{"builder_version":"' || CASE WHEN source = 'src11' THEN 'metadata-v0' ELSE 'metadata-v1' END ||
     '"}},"grounding":{{"specific_claims":[{{"term":"Alpha","confirmed":true}}' || CASE WHEN lang = 'fr' THEN ',{{"term":"Beta","confirmed":false}}' ELSE '' END ||
@@ -202,11 +253,7 @@ SELECT asset_id, file_hash, filename, source_path, file_size, fp_facts, fp_rep,
     '],"notes":[' || CASE WHEN lang = 'en' THEN '{{"code":"TEXT_DESCRIPTIVE"}}' ELSE '' END || ']' ||
     CASE WHEN source = 'src10' THEN ',"escalation":{{"reason":"second look"}}' WHEN source = 'src9' AND lang = 'de' THEN ',"escalation":{{"reason":"EDGE_BORDER: earlier"}}' ELSE '' END ||
     '}}}}' END AS metadata_json
-FROM (""" + _with_fingerprints(f"""
-  SELECT doc_id AS asset_id, @SHA<'asset-' || doc_id> AS file_hash, source || '/' || doc_id || '.jpg' AS filename,
-         'incoming/' || source || '/' || doc_id || '.jpg' AS source_path, n_chars AS file_size, lang, source, n_chars,
-         {_MD_STATE} AS md_state
-  FROM documents LEFT JOIN labels USING (doc_id)""") + ")"
+FROM ({_ASSETS}) JOIN (SELECT asset_id, file_hash, fp_facts, fp_rep, fp_view, fp_qc, fp_enh, fp_vision, fp_readiness, fp_creative, fp_creative1, fp_export_adobe, fp_export_shutterstock FROM b_prints) USING (asset_id)"""
 
 _LISTING = """
 SELECT CASE WHEN lang = 'de' AND n_chars > 5000 THEN 'moved/' ELSE 'incoming/' END || source || '/' || doc_id || '.jpg' AS path,
@@ -305,7 +352,7 @@ FROM orders JOIN lineitem ON o_orderkey = l_orderkey
 """
 
 VIEWS = {
-    "b_events": _EVENTS, "b_catalog": _CATALOG, "b_files": _LISTING, "b_registry": _REGISTRY, "b_arrivals": _ARRIVALS,
+    "b_context": _CONTEXT, "b_prints": _PRINTS_VIEW, "b_events": _EVENTS, "b_catalog": _CATALOG, "b_files": _LISTING, "b_registry": _REGISTRY, "b_arrivals": _ARRIVALS,
     "b_vision": _VISION, "b_metadata": _METADATA, "b_facts": _FACTS, "b_batches": _BATCHES,
 }
 # further views that exist only on the SQL side (results of earlier operators, written by query modules)
@@ -368,11 +415,19 @@ class Tables:
         """Newest change and size of the files below a view; another value means that a stored copy is stale."""
         body = VIEWS.get(name)
         if body is None:
-            found = self.table(name).select("_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_size").distinct()
-            return tuple(found.agg(F.max("file_modification_time"), F.sum("file_size"), F.count("file_path")).first())
+            return self._files(f"{self.folder}/{name}.parquet")
         below = [n for n in (*DRIVER_TABLES, *VIEWS) if n != name and re.search(rf"(FROM|JOIN)\s+{n}\b", body)]
         return tuple(self.version(n) for n in below)
 
+    def _files(self, path: str) -> tuple:
+        """Newest change, size and number of the files below a path, as the file system lists them: no job, no read."""
+        top = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        found, newest, size, count = top.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).listFiles(top, True), 0, 0, 0
+        while found.hasNext():
+            status = found.next()
+            newest, size, count = max(newest, status.getModificationTime()), size + status.getLen(), count + 1
+        return newest, size, count
+
     def view(self, name: str) -> DataFrame:
         """A binding view; the log and the catalogue are written once per application, folder and version of its files, the
         log partitioned by stage, because a catalogue keeps them as tables that every report reads."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plateworks.functions import fingerprints
 from plateworks.functions.arrays import joined
 from plateworks.operators import log
 from plateworks.plans.bindings import Tables, sql_view
@@ -39,7 +40,7 @@ def evt_last_match(t: Tables):
 
 def catalog_slots(t: Tables, *names: str):
     """Catalogue rows with the newest event of the given slots."""
-    return t.b_catalog.join(log.latest_slots(t.b_events, names, names), "asset_id", "left")
+    return t.b_catalog.withColumns(fingerprints.of_file(F.col("file_hash"))).join(log.latest_slots(t.b_events, names, names), "asset_id", "left")
 
 
 @query("evt_vision_provenance", f"""
@@ -236,7 +237,7 @@ def evt_idempotent_write(t: Tables):
     names = ("enhancement_assessed", "enhancement_advised", "enhancement_failed")
     slots = log.latest_slots(t.b_events, names, names)
     last = slots.withColumn("last_fingerprint", F.col("enhancement_assessed.fingerprint"))
-    rows = log.write_if_changed(t.b_catalog.select("asset_id", F.col("fp_enh").alias("fingerprint")), last)
+    rows = log.write_if_changed(t.b_catalog.select("asset_id", fingerprints.of_file(F.col("file_hash"))["fp_enh"].alias("fingerprint")), last)
     repeated = log.repeated_failure(F.lit("rules"), F.lit("TimeoutError"), F.col("fingerprint"), F.col("enhancement_failed"),
                                     F.col("enhancement_failed_id"), [F.col("enhancement_assessed_id"), F.col("enhancement_advised_id")])
     return rows.select("asset_id", "outcome", repeated.alias("failure_repeated"))

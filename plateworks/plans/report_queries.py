@@ -30,7 +30,7 @@ def _flat(t: Tables):
 @query("agg_stats_states", """
 SELECT dimension, key, count(*) AS n FROM (
  SELECT unnest(['qc', 'enhancement', 'decided_by', 'vision', 'metadata_state', 'completeness']) AS dimension,
-  unnest([CASE WHEN qc_result IS NULL THEN 'pending' WHEN json_extract_string(qc_result, '$.passed') = 'true' THEN 'passed' ELSE 'failed' END, coalesce(e.decision, 'not_assessed'), e.decided_by, l.vision, l.metadata_state, l.completeness]) AS key
+  unnest([CASE WHEN coalesce(qc_result, '{}') = '{}' THEN 'pending' WHEN json_extract_string(qc_result, '$.passed') = 'true' THEN 'passed' ELSE 'failed' END, coalesce(e.decision, 'not_assessed'), e.decided_by, l.vision, l.metadata_state, l.completeness]) AS key
  FROM b_catalog c JOIN b_enhancement e USING (asset_id) JOIN b_list l USING (asset_id)) WHERE key IS NOT NULL GROUP BY ALL""")
 def agg_stats_states(t: Tables):
     return statistics.state_statistics(_flat(t))

@@ -12,7 +12,7 @@ from plateworks.plans import sqltext as st
 from plateworks.plans.bindings import Tables, sql_view
 from plateworks.plans.registry import query
 from plateworks.plans.source_queries import exports
-from plateworks.plans.stage_queries import inputs, state_table
+from plateworks.plans.stage_queries import IDENTITIES, PROMPT, inputs, state_table
 from plateworks.plans.text_queries import fields, vision
 
 _J = "json_extract_string"
@@ -204,7 +204,7 @@ def pub_refuse(t: Tables):
 @query("rdy_current", " UNION ALL ".join(f"""SELECT asset_id, '{p}' AS platform, CASE WHEN readiness_evaluated_id IS NULL THEN 'not_evaluated' WHEN {_J}(readiness_evaluated_text, '$.fingerprint') IS DISTINCT FROM fp_readiness THEN 'stale'
  ELSE {_J}(readiness_evaluated_text, '$.platforms.{p}.status') END AS status FROM b_inputs""" for p in fixed.PLATFORMS))
 def rdy_current(t: Tables):
-    rows = t.b_catalog.join(log.latest_slots(t.b_events, ("readiness_evaluated",), ("readiness_evaluated",)), "asset_id", "left")
+    rows = stages.with_fingerprints(inputs(t), IDENTITIES, PROMPT)
     return rows.select("asset_id", F.inline_outer(F.array(*[F.struct(F.lit(p).alias("platform"), readiness.current_status(F.col("readiness_evaluated"), F.col("fp_readiness"), p).alias("status")) for p in fixed.PLATFORMS])))
 
 

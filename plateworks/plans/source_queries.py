@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plateworks import fixed
 from plateworks.functions import documents as doc
+from plateworks.functions import fingerprints as fp
 from plateworks.functions.arrays import joined
 from plateworks.operators import documents, ingest, integrity, log
 from plateworks.plans import bindings
@@ -158,13 +159,17 @@ def jsn_path_filter(t: Tables):
     return rows.select("id", "asset_id", doc.field(m, "$.kind").alias("kind"), doc.field(m, "$.key").alias("key"))
 
 
+_DECISION = {"advice": {"current": True, "recommendation": "proceed"}, "policy_version": fixed.PUBLICATION_POLICY_VERSION, "profiles": {p["platform"]: p["version"] for p in fixed.PLATFORM_PROFILES}}
+
+
 @query("jsn_changed_keys", f"""
-SELECT id, array_to_string(list_filter(['advice_current', 'advice_recommendation', 'policy_version', 'readiness_fingerprint', 'source_sha256'], lambda k: json_extract_string(message, '$.inputs.' || k)
- IS DISTINCT FROM CASE k WHEN 'advice_current' THEN 'true' WHEN 'advice_recommendation' THEN 'proceed' WHEN 'policy_version' THEN 'publication-v1' END), ',') AS changed FROM b_events WHERE stage = 'PUBLICATION'""")
+SELECT id, array_to_string(list_filter(['advice', 'policy_version', 'profiles', 'readiness_fingerprint', 'source_sha256'], lambda k: nullif(CAST(json_extract(message, '$.inputs.' || k) AS VARCHAR), 'null')
+ IS DISTINCT FROM CASE k {" ".join(f"WHEN '{k}' THEN '{fp.constant_text(v)}'" for k, v in _DECISION.items())} END), ',') AS changed FROM b_events WHERE stage = 'PUBLICATION'""")
 def jsn_changed_keys(t: Tables):
-    stored = doc.decode(F.col("message"), "inputs MAP<STRING, STRING>")["inputs"]
-    current = F.create_map(*[F.lit(x) for x in ("advice_current", "true", "advice_recommendation", "proceed", "policy_version", fixed.PUBLICATION_POLICY_VERSION)])
-    return t.b_events.filter("stage = 'PUBLICATION'").select("id", joined(doc.changed_keys(stored, current)).alias("changed"))
+    """Inputs of stored decisions that differ, at any depth, from one set of inputs; the event id is ignored."""
+    stored = F.get_json_object("message", "$.inputs")
+    changed = fp.changed_members(stored, F.lit(fp.constant_text(_DECISION)), fp.PUBLICATION_IGNORED)
+    return t.b_events.filter("stage = 'PUBLICATION'").select("id", joined(changed).alias("changed"))
 
 
 # a model answer per part: some are cut off, some break a type or a range
@@ -193,15 +198,6 @@ def jsn_advice_consistency(t: Tables):
     return t.part.select(F.col("p_partkey").alias("asset_id"), documents.advice_violation(advice).alias("violation"))
 
 
-@query("jsn_fingerprint", f"""
-SELECT *, 'sha256:' || sha256('{{"rules":"{doc.QC_RULES_DIGEST}","view":"' || view_fp || '"}}') AS qc_fp FROM (
-SELECT *, 'sha256:' || sha256('{{"normalizer":"' || rep_fp || '","view":"{fixed.VIEW_VERSION}"}}') AS view_fp FROM (
-SELECT id, 'sha256:' || sha256('{{"params":"{doc.NORMALIZER_PARAMS_DIGEST}","source":"' || file_hash || '","version":"{fixed.NORMALIZER_VERSION}"}}') AS rep_fp FROM b_registry))""")
-def jsn_fingerprint(t: Tables):
-    h = F.col("file_hash")
-    return t.b_registry.select("id", doc.representation_fingerprint(h).alias("rep_fp"), doc.view_fingerprint(h).alias("view_fp"), doc.qc_fingerprint(doc.view_fingerprint(h)).alias("qc_fp"))
-
-
 @query("jsn_redact_recursive")
 def jsn_redact_recursive(t: Tables):
     flagged = t.b_vision.filter(F.col("subject").contains("passport")).select("asset_id", F.concat("text_visible", F.array(F.lit("text-4b"), F.lit("Enhancement_Not"))).alias("texts"))

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plateworks import fixed
+from plateworks.functions import fingerprints as fp
 from plateworks.functions.arrays import joined, n
 from plateworks.operators import log, recompute, stages
-from plateworks.plans.bindings import Tables, sql_view
+from plateworks.plans.bindings import IDENTITIES, Tables, sql_view
 from plateworks.plans.registry import query
 from plateworks.session import materialize
 
-IDENTITIES = {"local": {"model": "vision-8b", "prompt_version": "vision-v3"}}
 PROMPT = "creative-v2"
 _J = "json_extract_string"
 
@@ -78,6 +78,24 @@ def _cases(name: str, rules: list[tuple[str, str, str | None]], default: tuple[s
     return status + ", " + reason
 
 
+def _quoted(text: str) -> str:
+    return f"'{text}'"
+
+
+def _member(expr: str) -> str:
+    """JSON string of a SQL expression, null for null."""
+    return f"'\"' || {expr} || '\"'"
+
+
+def _diff(document: str, current: dict[str, str]) -> str:
+    """Sorted members whose JSON text differs; a null member is a missing one. The binding writes nested members sorted but for the image."""
+    names = "[" + ", ".join(f"'{k}'" for k in sorted(current)) + "]"
+    values = " ".join(f"WHEN '{k}' THEN {v}" for k, v in current.items())
+    stored = f"nullif(CAST(json_extract({document}, '$.inputs.' || k) AS VARCHAR), 'null')"
+    image = "regexp_replace(%s, '^\\{\"variant\":\"(\\w+)\",\"quality\":(\\d+),\"format\":\"(\\w+)\"\\}$', '{\"format\":\"\\3\",\"quality\":\\2,\"variant\":\"\\1\"}')" % stored
+    return f"list_filter({names}, lambda k: {image} IS DISTINCT FROM CASE k {values} END)"
+
+
 def _own_sql(verify: bool) -> str:
     proof = "source_actual_hash IS DISTINCT FROM file_hash" if verify else "coalesce(log_changed, FALSE)"
     nf, np, ne = "normalize_failed_text", "normalize_passed_text", "normalize_evaluated_text"
@@ -96,7 +114,7 @@ def _own_sql(verify: bool) -> str:
             (f"{_J}({np}, '$.fingerprint') IS DISTINCT FROM fp_rep OR {_J}({ne}, '$.fingerprint') IS DISTINCT FROM fp_facts", "stale", "FINGERPRINT_CHANGED")], ("current", None)),
         _cases("view", [(_newer("view_failed_id", "normalize_passed_id"), "failed", f"('VIEW_FAILED:' || {_J}(view_failed_text, '$.error_type'))"),
                         ("normalize_passed_id IS NULL", "missing", "NOT_NORMALIZED")], ("current", None)),
-        _cases("qc", [("qc_result IS NULL", "missing", "NOT_CHECKED"), (f"{_J}(qc_result, '$.input_fingerprint') IS NULL", "stale", "NO_FINGERPRINT"),
+        _cases("qc", [("(qc_result IS NULL OR qc_result = '{}')", "missing", "NOT_CHECKED"), (f"{_J}(qc_result, '$.input_fingerprint') IS NULL", "stale", "NO_FINGERPRINT"),
                       (f"{_J}(qc_result, '$.input_fingerprint') <> fp_qc", "stale", "FINGERPRINT_CHANGED"), (f"{_J}(qc_result, '$.passed') <> 'true'", "failed", "QC_FAILED")], ("current", None)),
         _cases("vision", [(f"ai_result IS NULL AND {_newer('ai_failed_id', 'ai_passed_id')}", "failed", "VISION_FAILED"), ("ai_result IS NULL", "missing", "NOT_ANALYZED"),
                           (f"{_J}(ai_doc, '$.input_fingerprint') IS NULL", "stale", "NO_FINGERPRINT"), (f"{_J}(ai_doc, '$.provider') IS DISTINCT FROM 'local'", "stale", "UNKNOWN_PROVIDER"),
@@ -114,25 +132,28 @@ def _own_sql(verify: bool) -> str:
         f"CASE WHEN {approved} AND {_J}(readiness_evaluated_text, '$.fingerprint') = fp_readiness THEN list_sort(list_distinct(list_transform(list_filter(list_concat("
         "coalesce(CAST(json_extract(readiness_evaluated_text, '$.platforms.adobe.checks') AS JSON[]), []), coalesce(CAST(json_extract(readiness_evaluated_text, '$.platforms.shutterstock.checks') AS JSON[]), [])), "
         "lambda c: json_extract_string(c, '$.level') = 'blocker'), lambda c: json_extract_string(c, '$.code')))) ELSE [] END AS blockers",
-        f"list_sort(list_filter(['rules', 'view'], lambda k: json_extract_string(qc_result, '$.inputs.' || k) IS DISTINCT FROM CASE k WHEN 'view' THEN fp_view ELSE '{stages.doc.QC_RULES_DIGEST}' END)) AS qc_diff",
-        "list_sort(list_filter(['model', 'prompt_version', 'provider', 'view'], lambda k: json_extract_string(ai_doc, '$.inputs.' || k) IS DISTINCT FROM "
-        "CASE k WHEN 'view' THEN fp_view WHEN 'model' THEN 'vision-8b' WHEN 'prompt_version' THEN 'vision-v3' ELSE 'local' END)) AS vision_diff",
+        f"{_diff('qc_result', dict(rules=_quoted(fp.constant_text(fixed.QC_RULES)), view=_member('fp_view')))} AS qc_diff",
+        f"{_diff('ai_doc', dict(provider=_quoted('\"local\"'), view=_member('fp_view'), **{k: _quoted(fp.constant_text(v)) for k, v in IDENTITIES['local'].items()}))} AS vision_diff",
     ])
     profile = f"coalesce({_J}(creative_advised_text, '$.profile.name'), 'industrial_stock')"
     not_sold = [("readiness_status = 'not_applicable'", "not_applicable", "METADATA_NOT_APPROVED"), ("readiness_status = 'missing'", "not_applicable", "READINESS_NOT_EVALUATED"),
                 ("readiness_status = 'current' AND readiness_reason = 'READINESS_BLOCKED'", "not_applicable", "READINESS_BLOCKED")]
     creative = _cases("creative_review", [*not_sold, ("creative_advised_id IS NULL", "missing", "NOT_REVIEWED"),
         (f"{profile} NOT IN ('industrial_stock', 'architecture_stock', 'nature_stock')", "stale", "UNKNOWN_PROFILE"),
-        (f"{_J}(creative_advised_text, '$.fingerprint') IS DISTINCT FROM fp_creative", "stale", "FINGERPRINT_CHANGED"),
+        (f"{_J}(creative_advised_text, '$.fingerprint') IS DISTINCT FROM CASE {_J}(creative_advised_text, '$.prompt_version') WHEN 'creative-v1' THEN fp_creative1 ELSE fp_creative END", "stale", "FINGERPRINT_CHANGED"),
         (f"{_J}(creative_advised_text, '$.prompt_version') IS DISTINCT FROM '{PROMPT}'", "stale", "PROMPT_CHANGED")], ("current", None))
-    diff = ("list_filter(['advice_current', 'advice_recommendation', 'policy_version', 'readiness_fingerprint', 'source_sha256'], lambda k: json_extract_string(publication_evaluated_text, '$.inputs.' || k) "
-            "IS DISTINCT FROM CASE k WHEN 'policy_version' THEN 'publication-v1' WHEN 'source_sha256' THEN file_hash WHEN 'readiness_fingerprint' THEN json_extract_string(readiness_evaluated_text, '$.fingerprint') "
-            "WHEN 'advice_current' THEN CAST(creative_review_status = 'current' AS VARCHAR) ELSE CASE WHEN creative_review_status = 'current' THEN json_extract_string(creative_advised_text, '$.features.recommendation') END END)")
-    publication = _cases("publication", [*not_sold, ("publication_evaluated_id IS NULL", "missing", "NOT_EVALUATED"), ("len(pub_diff) > 0", "stale", "FINGERPRINT_CHANGED")], ("current", None))
+    profiles = fp.constant_text({p["platform"]: p["version"] for p in fixed.PLATFORM_PROFILES})
+    advice = ("'{\"current\":' || CASE WHEN creative_review_status = 'current' THEN 'true' ELSE 'false' END || ',\"recommendation\":' || coalesce(CASE WHEN creative_review_status = 'current' "
+              "THEN '\"' || json_extract_string(creative_advised_text, '$.features.recommendation') || '\"' END, 'null') || '}'")
+    ready = _member("json_extract_string(readiness_evaluated_text, '$.fingerprint')")
+    diff = _diff("publication_evaluated_text", {"advice": advice, "policy_version": _quoted('"publication-v1"'), "profiles": _quoted(profiles), "readiness_fingerprint": ready, "source_sha256": _member("file_hash")})
+    text = f"""'{{"advice":' || {advice} || ',"policy_version":"publication-v1","profiles":{profiles},"readiness_fingerprint":' || coalesce({ready}, 'null') || ',"source_sha256":"' || file_hash || '"}}'"""
+    fresh = f"({_J}(publication_evaluated_text, '$.fingerprint') IS NOT DISTINCT FROM fp_publication)"
+    publication = _cases("publication", [*not_sold, ("publication_evaluated_id IS NULL", "missing", "NOT_EVALUATED"), (f"NOT {fresh}", "stale", "FINGERPRINT_CHANGED")], ("current", None))
     return f"""
 SELECT *, {publication}, CASE WHEN readiness_status NOT IN ('not_applicable', 'missing') AND NOT (readiness_status = 'current' AND coalesce(readiness_reason, '') = 'READINESS_BLOCKED')
-   AND publication_evaluated_id IS NOT NULL AND len(pub_diff) = 0 THEN {_list('publication_evaluated_text', '$.approved_for')} ELSE [] END AS approved_for
-FROM (SELECT *, {diff} AS pub_diff FROM (SELECT *, {creative} FROM (
+   AND publication_evaluated_id IS NOT NULL AND {fresh} THEN {_list('publication_evaluated_text', '$.approved_for')} ELSE [] END AS approved_for
+FROM (SELECT *, {diff} AS pub_diff, 'sha256:' || sha256({text}) AS fp_publication FROM (SELECT *, {creative} FROM (
   SELECT * REPLACE (CASE WHEN source_status <> 'ok' AND normalize_status <> 'missing' THEN 'stale' ELSE normalize_status END AS normalize_status,
     CASE WHEN source_status <> 'ok' AND normalize_status <> 'missing' THEN 'UPSTREAM_STALE:source' ELSE normalize_reason END AS normalize_reason)
   FROM (SELECT *, {first} FROM b_inputs))))"""
@@ -156,7 +177,7 @@ def _file_sql(p: str) -> str:
     usable = (f"readiness_status = 'current' AND coalesce({_J}(readiness_evaluated_text, '$.platforms.{p}.status') = 'ready', FALSE) AND publication_status = 'current' "
               f"AND list_contains(approved_for, '{p}')")
     return (f"CASE WHEN export_{p}_id IS NULL THEN 'NOT_PREPARED' WHEN NOT ({usable}) THEN 'NOT_READY_OR_NOT_APPROVED' "
-            f"WHEN {_J}(export_{p}_text, '$.inputs_fingerprint') IS DISTINCT FROM fp_export THEN 'FINGERPRINT_CHANGED' "
+            f"WHEN {_J}(export_{p}_text, '$.inputs_fingerprint') IS DISTINCT FROM fp_export_{p} THEN 'FINGERPRINT_CHANGED' "
             f"WHEN {p}_actual_size IS DISTINCT FROM CAST({_J}(export_{p}_text, '$.size_bytes') AS BIGINT) THEN 'FILE_MISSING_OR_CHANGED' END AS {p}_file_reason")
 
 
@@ -230,7 +251,6 @@ _own_query("normalize")
 _own_query("view")
 _own_query("metadata")
 _own_query("readiness", ("ready_for", "ready_for"), ("blockers", "blockers"))
-_own_query("publication", ("approved_for", "approved_for"))
 
 
 @query("stg_qc", "SELECT asset_id, qc_status AS status, qc_reason AS reason, CASE WHEN qc_reason = 'FINGERPRINT_CHANGED' THEN array_to_string(qc_diff, ',') END AS changed FROM b_own")
@@ -238,6 +258,20 @@ def stg_qc(t: Tables):
     return own(t).select("asset_id", F.col("qc_status").alias("status"), F.col("qc_reason").alias("reason"), joined(F.col("qc_changed")).alias("changed"))
 
 
+@query("stg_publication", "SELECT asset_id, publication_status AS status, publication_reason AS reason, array_to_string(approved_for, ',') AS approved_for, CASE WHEN publication_reason = 'FINGERPRINT_CHANGED' THEN array_to_string(pub_diff, ',') END AS changed FROM b_own")
+def stg_publication(t: Tables):
+    return own(t).select("asset_id", F.col("publication_status").alias("status"), F.col("publication_reason").alias("reason"), joined(F.col("approved_for")).alias("approved_for"), joined(F.col("publication_changed")).alias("changed"))
+
+
+@query("jsn_fingerprint", f"""
+SELECT asset_id, fp_facts, fp_rep, fp_view, fp_qc, fp_enh, CASE WHEN coalesce({_J}(ai_doc, '$.provider'), 'local') = 'local' THEN fp_vision END AS fp_vision, CASE {_J}(creative_advised_text, '$.prompt_version') WHEN 'creative-v1' THEN fp_creative1 ELSE fp_creative END AS fp_creative, fp_readiness, fp_publication,
+ {", ".join(f"CASE WHEN {_J}(readiness_evaluated_text, '$.platforms.{p}.status') = 'ready' THEN fp_export_{p} END AS fp_export_{p}" for p in fixed.PLATFORMS)} FROM b_own""")
+def jsn_fingerprint(t: Tables):
+    """The current fingerprint of every result of every asset."""
+    names = ("facts", "rep", "view", "qc", "enh", "vision", "creative", "readiness", "publication", *(f"export_{p}" for p in fixed.PLATFORMS))
+    return own(t).select("asset_id", *[f"fp_{n}" for n in names])
+
+
 @query("stg_vision", "SELECT asset_id, vision_status AS status, vision_reason AS reason, CASE WHEN vision_reason = 'FINGERPRINT_CHANGED' THEN array_to_string(vision_diff, ',') END AS changed FROM b_own")
 def stg_vision(t: Tables):
     return own(t).select("asset_id", F.col("vision_status").alias("status"), F.col("vision_reason").alias("reason"), joined(F.col("vision_changed")).alias("changed"))
@@ -303,7 +337,7 @@ def stg_actions(t: Tables):
 
 
 sql_view("b_pipeline", f"""
-SELECT s.asset_id, s.filename, s.state, s.reasons, s.problems, s.source_status, CASE WHEN qc_result IS NULL THEN 'pending' WHEN {_J}(qc_result, '$.passed') = 'true' THEN 'passed' ELSE 'failed' END AS qc,
+SELECT s.asset_id, s.filename, s.state, s.reasons, s.problems, s.source_status, CASE WHEN coalesce(qc_result, '{{}}') = '{{}}' THEN 'pending' WHEN {_J}(qc_result, '$.passed') = 'true' THEN 'passed' ELSE 'failed' END AS qc,
  CASE WHEN ai_result IS NOT NULL THEN 'done' WHEN {_newer('ai_failed_id', 'ai_passed_id')} THEN 'failed' ELSE 'pending' END AS vision,
  coalesce(md_state, 'none') AS metadata_state, md_completeness AS completeness, coalesce(md_state IN ('auto_approved', 'approved'), FALSE) AS metadata_approved,
  CASE WHEN md_state = 'human_review' THEN {_codes('metadata_json', '$.review_gate.reasons')} ELSE [] END AS review_reasons, metadata_json, ready_for, approved_for, export_ready,
@@ -333,7 +367,7 @@ SELECT asset_id, '{s}' AS stage, {s}_status = 'current' AS is_current, CASE WHEN
     for s, d in (("readiness", f"{_J}(readiness_evaluated_text, '$.fingerprint')"), ("creative_review", f"{_J}(creative_advised_text, '$.features.recommendation')"),
                  ("publication", f"{_J}(publication_evaluated_text, '$.inputs.policy_version')"))))
 def stg_current_or_last(t: Tables):
-    rows = state_table(t).withColumn("policy", F.col("publication_evaluated.inputs")["policy_version"])
+    rows = state_table(t).withColumn("policy", F.get_json_object("publication_evaluated.inputs", "$.policy_version"))
     shown = None
     for stage, document in (("readiness", "readiness_evaluated.fingerprint"), ("creative_review", "creative_advised.features.recommendation"), ("publication", "policy")):
         part = stages.current_or_last(rows, stage, document).withColumn("stage", F.lit(stage))

@@ -12,7 +12,7 @@ VISION = ("analysis_version STRING, description STRING, title STRING, keywords A
 ADVICE = ("decision STRING, reasons ARRAY<STRUCT<reason STRING, detail STRING>>, operations ARRAY<STRING>, confidence DOUBLE")
 CREATIVE = ("composition STRING, demand STRING, uniqueness STRING, commercial_use_cases ARRAY<STRING>, recommendation STRING")
 QC = ("passed BOOLEAN, errors ARRAY<STRING>, warnings ARRAY<STRING>, edge_border ARRAY<STRUCT<side STRING, width INT>>, "
-      "input_fingerprint STRING, inputs MAP<STRING, STRING>")
+      "input_fingerprint STRING, inputs STRING")
 METADATA = ("state STRING, completeness STRING, fields STRUCT<title STRING, description STRING, keywords ARRAY<STRING>>, "
             "edited_fields ARRAY<STRING>, review STRUCT<decided_at STRING, reason STRING, allow_partial BOOLEAN>, "
             "sources STRUCT<vision STRUCT<event_id BIGINT>, builder_version STRING>, "
@@ -29,16 +29,16 @@ MESSAGES = {
     "normalize_failed": "stage STRING, error_type STRING, fingerprint STRING",
     "view_failed": "error_type STRING",
     "ai_passed": ("provider STRING, model STRING, prompt_version STRING, analyzed_at STRING, input_fingerprint STRING, "
-                  "inputs MAP<STRING, STRING>"),
+                  "inputs STRING"),
     "enhancement_assessed": ("fingerprint STRING, decision STRING, disputed BOOLEAN, reasons ARRAY<STRUCT<reason STRING>>, "
                              "notes ARRAY<STRUCT<code STRING>>"),
     "enhancement_advised": f"assessment_event_id BIGINT, advice STRUCT<{ADVICE}>",
     "enhancement_failed": "stage STRING, error_type STRING, fingerprint STRING",
     "readiness_evaluated": ("fingerprint STRING, ready_for ARRAY<STRING>, "
-                            f"platforms MAP<STRING, STRUCT<profile STRING, status STRING, checks {CHECKS}, categories ARRAY<STRING>>>"),
+                            f"platforms MAP<STRING, STRUCT<profile STRING, status STRING, checks {CHECKS}, categories ARRAY<STRING>, export_plan STRUCT<title STRING, description STRING, keywords ARRAY<STRING>>>>"),
     "creative_advised": ("fingerprint STRING, profile STRUCT<name STRING, selection STRUCT<mode STRING>>, "
                          f"prompt_version STRING, features STRUCT<{CREATIVE}>"),
-    "publication_evaluated": "approved_for ARRAY<STRING>, inputs MAP<STRING, STRING>",
+    "publication_evaluated": "fingerprint STRING, approved_for ARRAY<STRING>, inputs STRING",
     **{f"export_{p}": ("path STRING, filename STRING, text STRING, sha256 STRING, size_bytes BIGINT, inputs_fingerprint STRING")
        for p in ("adobe", "shutterstock")},
     **{f"export_failed_{p}": "code STRING, error STRING" for p in ("adobe", "shutterstock")},
