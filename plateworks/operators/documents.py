@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from plateworks import fixed
+from plateworks.functions import documents as doc
+from plateworks.functions import jsontext
 from plateworks.functions import text as tx
 from plateworks.functions.arrays import first_match
 from plateworks.sources import schemas
@@ -49,39 +47,47 @@ def advice_violation(advice: Column) -> Column:
         ((F.size(operations) > 0) & (advice["decision"] != "enhancement_recommended"), "OPERATIONS_NOT_ALLOWED")], F.lit(None).cast("string"))
 
 
-@F.pandas_udf(T.StructType([T.StructField("json", T.StringType()), T.StructField("hits", T.IntegerType())]))
-def _redact(documents: pd.Series, texts: pd.Series) -> pd.DataFrame:
-    """Replaces every string, at any depth, that holds one of the texts (the only recursive step)."""
-    def walk(value, needles):
-        if isinstance(value, str):
-            folded = value.casefold()
-            return (fixed.REDACTED, 1) if any(n in folded for n in needles) else (value, 0)
-        if isinstance(value, list):
-            done = [walk(v, needles) for v in value]
-            return [v for v, _ in done], sum(h for _, h in done)
-        if isinstance(value, dict):
-            done = {k: walk(v, needles) for k, v in value.items()}
-            return {k: v for k, (v, _) in done.items()}, sum(h for _, h in done.values())
-        return value, 0
-
-    out = []
-    for document, needles in zip(documents, texts):
-        try:
-            value, hits = walk(json.loads(document), list(needles))
-            out.append((json.dumps(value, ensure_ascii=False) if hits else document, hits))
-        except (TypeError, ValueError):
-            out.append((document, 0))
-    return pd.DataFrame(out, columns=["json", "hits"])
-
-
-def redact(events: DataFrame, flagged: DataFrame, salts: int = 16) -> DataFrame:
-    """events(asset_id, id, message), flagged(asset_id, texts) -> events whose message holds a recognised text.
-
-    The few flagged rows are repeated per salt and the events spread over the salts, so the history of one
-    asset is redacted by many tasks.
+# --- redaction of personal documents ---------------------------------------------------------
+
+def _needles(texts: Column) -> Column:
+    return F.filter(F.array_distinct(tx.fold_items(texts)), lambda x: F.length(x) >= fixed.REDACT_MIN_LENGTH)
+
+
+def _redacted(text: Column, needles: Column) -> Column:
+    return jsontext.strings_replaced(text, tx.fold, lambda v: jsontext.any_contained(v, needles), fixed.REDACTED)
+
+
+def flagged(assets: DataFrame) -> DataFrame:
+    """assets(asset_id, terms, text_visible, vision_json, metadata_json) -> those with document terms and recognised texts, with ``needles``."""
+    items = F.from_json(F.get_json_object("metadata_json", "$.review_gate.text_items"), "array<struct<text:string>>")
+    rows = assets.withColumn("item_texts", F.coalesce(F.transform(items, lambda i: i["text"]), F.array().cast("array<string>")))
+    rows = rows.filter((F.size("terms") > 0) & ((F.size("text_visible") > 0) | (F.size("item_texts") > 0)))
+    return rows.withColumn("needles", _needles(F.concat("text_visible", "item_texts")))
+
+
+def redact_events(events: DataFrame, found: DataFrame, salts: int = 16) -> DataFrame:
+    """The events of flagged assets whose JSON message holds a recognised text, with the text replaced: asset_id, id, message, hits.
+
+    The few flagged rows are repeated per salt and the events spread over the salts, so the history of one asset is redacted by many tasks.
     """
-    texts = F.filter(F.array_distinct(tx.fold_items(F.col("texts"))), lambda x: F.length(x) >= fixed.REDACT_MIN_LENGTH)
-    spread = flagged.select("asset_id", texts.alias("texts"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    spread = found.select("asset_id", "needles", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     rows = events.filter(F.col("message").startswith("{")).withColumn("salt", F.pmod("id", F.lit(salts)).cast("int")).join(spread, ["asset_id", "salt"])
-    done = rows.select("asset_id", "id", _redact("message", "texts").alias("r"))
+    done = rows.filter(doc.is_json(F.col("message"))).select("asset_id", "id", _redacted(F.col("message"), F.col("needles")).alias("r"))
     return done.filter(F.col("r.hits") > 0).select("asset_id", "id", F.col("r.json").alias("message"), F.col("r.hits").alias("hits"))
+
+
+def redact_documents(found: DataFrame) -> DataFrame:
+    """The vision answers without visible texts and the metadata documents with their strings replaced and no text items: asset_id, vision_json, metadata_json, hits."""
+    done = found.withColumn("r", F.when(doc.is_json_object(F.col("metadata_json")), _redacted(F.col("metadata_json"), F.col("needles"))))
+    emptied = jsontext.member_replaced(F.col("r.json"), ("review_gate", "text_items"), "[]")
+    return done.select("asset_id", jsontext.member_replaced(F.col("vision_json"), ("text_visible",), "[]").alias("vision_json"), emptied.alias("metadata_json"), F.coalesce("r.hits", F.lit(0)).alias("hits"))
+
+
+def redaction_events(found: DataFrame, documents: DataFrame, events: DataFrame) -> DataFrame:
+    """The PRIVACY/REDACTED event of every flagged asset (asset_id, stage, status, message): what was removed and which events changed."""
+    changed = events.groupBy("asset_id").agg(F.array_sort(F.collect_list("id")).alias("events_updated"), F.sum("hits").alias("event_strings_redacted"))
+    rows = found.join(documents.select("asset_id", "hits"), "asset_id").join(changed, "asset_id", "left")
+    message = F.to_json(F.struct(
+        F.lit("PERSONAL_DOCUMENT").alias("reason"), "terms", F.size("text_visible").alias("text_visible_removed"), F.size("item_texts").alias("text_items_removed"), F.col("hits").alias("metadata_strings_redacted"),
+        F.coalesce("events_updated", F.array().cast("array<bigint>")).alias("events_updated"), F.coalesce("event_strings_redacted", F.lit(0)).alias("event_strings_redacted")))
+    return rows.select("asset_id", F.lit("PRIVACY").alias("stage"), F.lit("REDACTED").alias("status"), message.alias("message"))

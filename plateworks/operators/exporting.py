@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from plateworks import fixed
 from plateworks.functions import text as tx
 from plateworks.functions.arrays import codes, first_match, let
+from plateworks.operators import integrity, log, statistics
+from plateworks.operators.eventstore import EventStore
+from plateworks.session import materialize
 
 FILENAME_MAX = fixed.EXPORT_PROFILES[0]["filename_max"]
 
@@ -104,39 +107,57 @@ def collect(pending: DataFrame, next_batch: DataFrame, day: str) -> DataFrame:
     batch = F.coalesce("next_batch", F.lit(1)).cast("bigint")
     folder = F.concat(F.lit("publish/"), "platform", F.lit("/"), padded(batch), F.lit(f"_{day}"))
     return numbered.select("platform", batch.alias("batch"), folder.alias("folder"), "asset_id", "filename", "text",
-                           F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")).cast("bigint").alias("words"), "sha256")
+                           F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")).cast("bigint").alias("words"), "sha256", "export_event_id")
 
 
-def collection(pending: DataFrame, next_batch: DataFrame, day: str) -> DataFrame:
-    """What a collection did, per platform: its files with the message of their OUTBOX/COLLECTED event, the skipped with the
-    reason, and NOTHING_TO_COLLECT where no file was due."""
-    taken = collect(pending, next_batch, day)
+def collected_events(taken: DataFrame) -> DataFrame:
+    """The OUTBOX/COLLECTED event of every file of a batch: platform, asset_id, stage, status, message."""
     profile = F.create_map(*[F.lit(x) for p in fixed.PLATFORM_PROFILES for x in (p["platform"], p["version"])])[F.col("platform")]
-    message = F.to_json(F.struct("platform", profile.alias("profile"), "batch", "folder", "filename", "sha256"))
-    empty = {c: F.lit(None).cast("string") for c in ("message", "reason")}
-    files = taken.select("platform", F.lit("COLLECTED").alias("outcome"), "asset_id", "batch", "folder", message.alias("message"), empty["reason"].alias("reason"))
-    none = [F.lit(None).cast("bigint").alias("batch"), F.lit(None).cast("string").alias("folder"), empty["message"].alias("message")]
-    skipped = pending.filter(F.col("outcome").startswith("skipped: ")).select("platform", F.lit("SKIPPED").alias("outcome"), "asset_id", *none, F.substring("outcome", 10, 1000).alias("reason"))
+    message = F.to_json(F.struct("platform", profile.alias("profile"), "batch", "folder", "filename", "sha256", "export_event_id"))
+    return taken.select("platform", "asset_id", F.lit("OUTBOX").alias("stage"), F.lit("COLLECTED").alias("status"), message.alias("message"))
+
+
+def outcomes(taken: DataFrame, pending: DataFrame) -> DataFrame:
+    """What a collection did, per platform: its files, the skipped with the reason, and NOTHING_TO_COLLECT where no file was due."""
+    text = F.lit(None).cast("string")
+    none = [F.lit(None).cast("bigint").alias("batch"), text.alias("folder")]
+    files = taken.select("platform", F.lit("COLLECTED").alias("outcome"), "asset_id", "batch", "folder", text.alias("reason"))
+    skipped = pending.filter(F.col("outcome").startswith("skipped: ")).select("platform", F.lit("SKIPPED").alias("outcome"), "asset_id", *none, F.expr("substr(outcome, 10)").alias("reason"))
     platforms = pending.sparkSession.createDataFrame([(p,) for p in fixed.PLATFORMS], "platform string")
     idle = platforms.join(taken.select("platform").distinct(), "platform", "left_anti").select(
-        "platform", F.lit("NOTHING_TO_COLLECT").alias("outcome"), F.lit(None).cast("bigint").alias("asset_id"), *none, empty["reason"].alias("reason"))
+        "platform", F.lit("NOTHING_TO_COLLECT").alias("outcome"), F.lit(None).cast("bigint").alias("asset_id"), *none, text.alias("reason"))
     return files.unionByName(skipped).unionByName(idle)
 
 
-def collected_events(done: DataFrame) -> DataFrame:
-    """The log rows of a collection: asset_id, stage, status, message."""
-    return done.filter(F.col("outcome") == "COLLECTED").select("asset_id", F.lit("OUTBOX").alias("stage"), F.lit("COLLECTED").alias("status"), "message")
+def collect_into(store: EventStore, key: str, exports: DataFrame, listing: DataFrame, day: str) -> None:
+    """Collects what the log of ``store`` does not name yet: one commit of the events, the table ``manifest`` and the table ``outcomes``.
+
+    Batch numbers follow the log. The same key again changes nothing; another key finds only what is new.
+    """
+    if store.committed(key):
+        return
+    collected = log.collected(store.events())
+    pending = materialize(integrity.batch_pending(exports, collected, listing), "pending")
+    batches = statistics.next_batch(collected, collected.select("platform", F.element_at(F.split("folder", "/"), -1).alias("folder")))
+    taken = materialize(collect(pending, batches, day), "taken")
+    store.append(key, collected_events(taken), ("platform", "asset_id"), {"manifest": taken, "outcomes": outcomes(taken, pending)})
 
 
-def collect_all(states: DataFrame, pending: DataFrame, next_batch: DataFrame, day: str) -> DataFrame:
-    """Per platform: approved assets without a current file to prepare or refuse, then the new batch."""
+def to_prepare(states: DataFrame) -> DataFrame:
+    """Approved assets without a current file, per platform: prepare, or refused with the reason (platform, asset_id, action, detail)."""
     todo = None
     for platform in fixed.PLATFORMS:
         refusal = input_refusal(platform)
         part = states.filter(F.col("state").isin("publication_approved", "ready_for_export") & F.array_contains("approved_for", platform) & (F.col(f"{platform}_file.status") != "ready_for_export")) \
             .select(F.lit(platform).alias("platform"), "asset_id", F.when(refusal.isNull(), "prepare").otherwise("refused").alias("action"), refusal.alias("detail"))
         todo = part if todo is None else todo.unionByName(part)
-    collected = collect(pending, next_batch, day).select("platform", "asset_id", F.lit("collect").alias("action"), F.col("folder").alias("detail"))
-    return todo.unionByName(collected)
+    return todo
 
 
+def collect_all(store: EventStore, key: str, states: DataFrame, exports: DataFrame, listing: DataFrame, day: str) -> DataFrame:
+    """Per platform: approved assets without a current file to prepare or refuse, then the new batch, then the outcome of the platform."""
+    collect_into(store, key, exports, listing, day)
+    done = store.result(key, "outcomes")
+    collected = done.filter("outcome = 'COLLECTED'").select("platform", "asset_id", F.lit("collect").alias("action"), F.col("folder").alias("detail"))
+    outcome = done.filter("outcome <> 'SKIPPED'").select("platform", F.lit(None).cast("bigint").alias("asset_id"), F.lit("outcome").alias("action"), F.col("outcome").alias("detail")).distinct()
+    return to_prepare(states).unionByName(collected).unionByName(outcome)

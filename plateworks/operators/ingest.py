@@ -1,12 +1,15 @@
-"""Registration of files: hashing, deduplication, classification, path and event writing."""
+"""Registration of files: hashing, deduplication, classification, paths, the actor of an event."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plateworks import fixed
 from plateworks.functions import documents as doc
+from plateworks.functions import jsontext
 from plateworks.functions.arrays import first_match
 from plateworks.operators.ranking import with_position
 
@@ -117,23 +120,9 @@ def user_set(registry: DataFrame, files: DataFrame) -> DataFrame:
     return assets.unionByName(orphans)
 
 
-def append_events(new: DataFrame, events: DataFrame, *order: str) -> DataFrame:
-    """Assigns ids after the newest one of the log; ``df.write.mode('append')`` adds the result to it."""
-    last = events.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last_id"))
-    return with_position(new, *order).join(F.broadcast(last)).withColumn("id", F.col("position") + F.col("last_id")).drop("position", "last_id")
-
-
 def stamp_actor(message: Column, actor: str) -> Column:
-    """Adds (or overrides) the top-level actor of a JSON object; any other text stays as it is.
+    """Sets the top-level actor of a JSON object, whatever it held: in its place, or at the end. Any other text stays as it is.
 
-    Where other objects inside the message name actors too, the object is put together anew from its members.
+    Members of other objects that are called actor are not touched, and all other bytes stay. An object with a key twice is no JSON object here.
     """
-    body = F.regexp_replace(message, r"\}\s*$", "")
-    empty = body.rlike(r"^\s*\{\s*$")
-    added = F.concat(body, F.when(empty, "").otherwise(","), F.lit(f'"actor":"{actor}"}}'))
-    overridden = F.regexp_replace(message, r'"actor"\s*:\s*(?:"(?:[^"\\]|\\.)*"|null)', f'"actor":"{actor}"')
-    members = F.map_filter(F.from_json(message, "map<string,variant>"), lambda k, v: k != "actor")
-    rebuilt = F.to_json(F.map_concat(members, F.create_map(F.lit("actor"), F.parse_json(F.lit(f'"{actor}"')))))
-    has = message.contains('"actor"') & F.try_variant_get(F.try_parse_json(message), "$.actor", "string").isNotNull()
-    once = F.regexp_count(message, F.lit(r'"actor"\s*:')) == 1
-    return F.when(doc.is_json_object(message), F.when(has & once, overridden).when(has, rebuilt).otherwise(added)).otherwise(message)
+    return F.when(doc.is_json_object(message), jsontext.with_member(message, "actor", json.dumps(actor, ensure_ascii=False))).otherwise(message)

@@ -63,7 +63,7 @@ def orphan_files(events: DataFrame, listing: DataFrame) -> DataFrame:
 
 
 def batch_pending(exports: DataFrame, collected: DataFrame, listing: DataFrame) -> DataFrame:
-    """exports(asset_id, state, platform, status, sha256, path, filename, text, has_file) -> outcome per asset and platform."""
+    """exports(asset_id, state, platform, status, sha256, path, filename, text, has_file, export_event_id) -> outcome per asset and platform."""
     held = collected.select("asset_id", "platform", "sha256", F.lit(True).alias("held"))
     rows = exports.filter("has_file").join(held, ["asset_id", "platform", "sha256"], "left").join(
         listing.select("path", F.col("sha256").alias("found")), "path", "left")

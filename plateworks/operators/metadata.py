@@ -181,14 +181,68 @@ def build_policy(rows: DataFrame) -> DataFrame:
     return rows.withColumn("outcome", outcome).withColumn("replaced", F.col("outcome").startswith("DRAFTED"))
 
 
-def event_rows(rows: DataFrame) -> DataFrame:
-    """Event payloads of derived documents with their gate result, in writing order per asset."""
-    drafted = F.to_json(F.struct("completeness", F.size("errors").alias("errors"), F.size("f_keywords").alias("keywords"), F.size("warnings").alias("warnings")))
-    gated = F.to_json(F.struct("decision", F.transform("gate_reasons", lambda r: F.substring_index(r, ":", 1)).alias("reasons")))
-    def entry(step: int, status: str, message: Column) -> Column:
-        return F.struct(F.lit(step).alias("step"), F.lit(status).alias("status"), message.alias("message"))
-    events = F.array(entry(1, "DRAFTED", drafted), entry(2, "GATED", gated))
-    return rows.select("asset_id", F.lit("METADATA").alias("stage"), F.inline(events))
+# --- events of the commands, with their messages ---------------------------------------------
+
+def _codes_of(items: Column) -> Column:
+    return F.transform(items, lambda r: F.substring_index(r, ":", 1))
+
+
+def _entry(step: int, status: str, message: Column) -> Column:
+    return F.struct(F.lit(step).alias("step"), F.lit(status).alias("status"), message.alias("message"))
+
+
+def _message(**members: Column) -> Column:
+    """A JSON object with its members in the given order; null members stay."""
+    return F.to_json(F.struct(*[c.alias(n) for n, c in members.items()]), {"ignoreNullFields": "false"})
+
+
+def drafted_event(trigger: str, step: int = 1) -> Column:
+    return _entry(step, "DRAFTED", _message(builder_version=F.lit(fixed.BUILDER_VERSION), completeness=F.col("completeness"), trigger=F.lit(trigger), errors=F.size("errors"), warnings=F.size("warnings"), keywords=F.size("f_keywords")))
+
+
+def gated_event(trigger: str, step: int, decision: Column | None = None, reasons: Column | None = None) -> Column:
+    return _entry(step, "GATED", _message(policy_version=F.lit(fixed.GATE_POLICY_VERSION), decision=F.col("decision") if decision is None else decision, reasons=_codes_of(F.col("gate_reasons")) if reasons is None else reasons,
+                                          notes=_codes_of(F.col("gate_notes")), state_before=F.col("state"), trigger=F.lit(trigger)))
+
+
+def event_rows(rows: DataFrame, trigger: str = "build") -> DataFrame:
+    """DRAFTED and GATED of derived documents with their gate result: asset_id, step, stage, status, message."""
+    return rows.select("asset_id", F.lit("METADATA").alias("stage"), F.inline(F.array(drafted_event(trigger), gated_event(trigger, 2))))
+
+
+def edit_events(rows: DataFrame) -> DataFrame:
+    """One EDITED per changed field of edited documents (``edit`` on rows with old_title, old_description, old_keywords), in the order of the fields."""
+    def value(prefix: str, field: str) -> Column:
+        return F.to_json(F.struct(F.col(f"{prefix}_{field}").alias("v")), {"ignoreNullFields": "false"})
+
+    def message(field: str) -> Column:
+        # texts and keyword lists take their JSON form, so that all fields share one shape
+        inner = lambda prefix: F.expr(f"substring({prefix}, 6, length({prefix}) - 6)")  # noqa: E731  what stands between {"v": and }
+        return F.concat(F.lit(f'{{"field":"{field}","old":'), inner(f"o_{field}"), F.lit(',"new":'), inner(f"n_{field}"), F.lit(',"state_before":'), F.to_json(F.array("state")).substr(F.lit(2), F.length(F.to_json(F.array("state"))) - 2), F.lit("}"))
+
+    rows = rows.filter("outcome = 'EDITED'").withColumns({f"o_{f}": value("old", f) for f in fixed.EDITABLE_FIELDS} | {f"n_{f}": value("f", f) for f in fixed.EDITABLE_FIELDS})
+    changes = F.array(*[F.struct(F.lit(i + 1).alias("step"), F.lit("EDITED").alias("status"), F.when(F.array_contains("applied", f), message(f)).alias("message")) for i, f in enumerate(fixed.EDITABLE_FIELDS)])
+    return rows.select("asset_id", F.lit("METADATA").alias("stage"), F.inline(F.filter(changes, lambda c: c["message"].isNotNull())))
+
+
+def approve_events(rows: DataFrame, allow_partial: Column, confirm_claims: Column) -> DataFrame:
+    """APPROVED of the documents that an approval accepts, with the claims that it confirmed."""
+    open_claims = F.transform(F.filter("claims", lambda c: ~c["confirmed"]), lambda c: c["term"])
+    message = _message(builder_version=F.lit(fixed.BUILDER_VERSION), completeness=F.col("completeness"), allow_partial=allow_partial, confirmed_claims=F.when(confirm_claims, open_claims).otherwise(F.array().cast("array<string>")))
+    accepted = rows.filter(approve(allow_partial, confirm_claims) == "APPROVED")
+    return accepted.select("asset_id", F.lit("METADATA").alias("stage"), F.inline(F.array(_entry(1, "APPROVED", message))))
+
+
+def reject_events(rows: DataFrame, reason: Column) -> DataFrame:
+    message = _message(reason=tx.normalize_text(reason), state_before=F.col("state"))
+    return rows.filter(reject(reason) == "REJECTED").select("asset_id", F.lit("METADATA").alias("stage"), F.inline(F.array(_entry(1, "REJECTED", message))))
+
+
+def escalate_events(rows: DataFrame, reason: Column, accepted: Column) -> DataFrame:
+    """ESCALATED and the GATED that follows: whatever the gate said, a person decides, and the escalation is a reason."""
+    message = _message(reason=tx.normalize_text(reason), state_before=F.col("state"))
+    reasons = F.array_union(_codes_of(F.col("gate_reasons")), F.array(F.lit("MANUAL_ESCALATION")))
+    return rows.filter(accepted).select("asset_id", F.lit("METADATA").alias("stage"), F.inline(F.array(_entry(1, "ESCALATED", message), gated_event("escalate", 2, F.lit("human_review"), reasons))))
 
 
 def authorize(commands: DataFrame) -> DataFrame:

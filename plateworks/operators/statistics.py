@@ -147,7 +147,7 @@ def facts_profile(rows: DataFrame) -> DataFrame:
 
 def next_batch(collected: DataFrame, folders: DataFrame) -> DataFrame:
     """Next batch number per platform, over events and folder names (temporary ones too); 1 when there is none."""
-    number = F.try_to_number(F.nullif(F.regexp_extract(F.regexp_replace("folder", r"^\.|\.tmp$", ""), fixed.BATCH_FOLDER_PATTERN, 1), F.lit("")), F.lit("9999999999")).cast("bigint")
+    number = F.regexp_extract(F.regexp_replace("folder", r"^\.|\.tmp$", ""), fixed.BATCH_FOLDER_PATTERN, 1).try_cast("bigint")
     known = collected.select("platform", F.col("batch").cast("bigint").alias("batch")).unionByName(folders.select("platform", number.alias("batch")))
     return known.groupBy("platform").agg((F.coalesce(F.max("batch"), F.lit(0)) + 1).alias("next_batch"))
 

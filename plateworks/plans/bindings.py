@@ -250,7 +250,7 @@ SELECT asset_id, file_hash, filename, 'incoming/' || filename AS source_path, fi
     ']}},"review_gate":{{"policy_version":"' || CASE WHEN source = 'src12' THEN 'gate-v1.2' ELSE 'gate-v1.3' END || '","reasons":[' ||
     CASE WHEN md_state = 'human_review' AND lang = 'fr' THEN '{{"code":"PEOPLE_RECOGNIZABLE","detail":"face"}},{{"code":"EDITORIAL_RISK","detail":"news"}}'
          WHEN md_state = 'human_review' AND lang = 'en' THEN '{{"code":"TRADEMARK","detail":"x"}}' ELSE '' END ||
-    '],"notes":[' || CASE WHEN lang = 'en' THEN '{{"code":"TEXT_DESCRIPTIVE"}}' ELSE '' END || ']' ||
+    '],"notes":[' || CASE WHEN lang = 'en' THEN '{{"code":"TEXT_DESCRIPTIVE"}}' ELSE '' END || ']' || CASE WHEN source = 'src6' THEN ',"text_items":[{{"text":"text-4b"}},{{"text":"Enhancement_Not"}},{{"text":"SRC6"}}]' ELSE '' END ||
     CASE WHEN source = 'src10' THEN ',"escalation":{{"reason":"second look"}}' WHEN source = 'src9' AND lang = 'de' THEN ',"escalation":{{"reason":"EDGE_BORDER: earlier"}}' ELSE '' END ||
     '}}}}' END AS metadata_json
 FROM ({_ASSETS}) JOIN (SELECT asset_id, file_hash, fp_facts, fp_rep, fp_view, fp_qc, fp_enh, fp_vision, fp_readiness, fp_creative, fp_creative1, fp_export_adobe, fp_export_shutterstock FROM b_prints) USING (asset_id)"""

@@ -8,10 +8,11 @@ from plateworks import fixed
 from plateworks.functions import text as tx
 from plateworks.functions.arrays import joined
 from plateworks.operators import creative, exporting, gate, ingest, integrity, log, readiness, stages, statistics
+from plateworks.operators.eventstore import EventStore
 from plateworks.plans import sqltext as st
 from plateworks.plans.bindings import Tables, sql_view
 from plateworks.plans.registry import query
-from plateworks.plans.source_queries import exports
+from plateworks.plans.source_queries import exports, store_folder
 from plateworks.plans.stage_queries import IDENTITIES, PROMPT, inputs, state_table
 from plateworks.plans.text_queries import fields, vision
 
@@ -286,38 +287,47 @@ def exp_status(t: Tables):
     return state_table(t).select("asset_id", F.inline_outer(F.array(*[F.struct(F.lit(p).alias("platform"), F.col(f"{p}_file.status").alias("status"), F.col(f"{p}_file.reason").alias("reason"), exporting.last_failure(p).alias("last_failure")) for p in fixed.PLATFORMS])))
 
 
-def _pending(t: Tables):
-    return integrity.batch_pending(exports(t), log.collected(t.b_events), t.b_files)
+_FOLDER = "'publish/' || platform || '/' || lpad(CAST(batch AS VARCHAR), CAST(greatest(3, length(CAST(batch AS VARCHAR))) AS INT), '0') || '_2024-03-01'"
+_PROFILES = "CASE platform " + " ".join(f"WHEN '{p['platform']}' THEN '{p['version']}'" for p in fixed.PLATFORM_PROFILES) + " END"
+sql_view("b_taken", f"""
+SELECT platform, batch, {_FOLDER} AS folder, asset_id, filename, text, sha256, export_event_id, row_number() OVER (ORDER BY platform, asset_id) + (SELECT max(id) FROM b_events) AS event_id
+FROM (SELECT p.*, coalesce(n.batch, 1) AS batch FROM b_pending p LEFT JOIN (SELECT platform, max(batch) + 1 AS batch FROM b_collected GROUP BY platform) n USING (platform) WHERE outcome = 'collect')""")
+_DAY = "2024-03-01"
 
 
-def _next(t: Tables):
-    collected = log.collected(t.b_events)
-    return statistics.next_batch(collected, collected.select("platform", F.element_at(F.split("folder", "/"), -1).alias("folder")))
+def _collected(t: Tables) -> EventStore:
+    """A store that continues the log of the binding, with one collection in it; the same key a second time changes nothing."""
+    store = EventStore(t.spark, store_folder(t), t.b_events)
+    for _ in range(2):
+        exporting.collect_into(store, f"collect {_DAY}", exports(t), t.b_files, _DAY)
+    return store
 
 
-@query("exp_collect", f"""
-SELECT platform, batch, 'publish/' || platform || '/' || lpad(CAST(batch AS VARCHAR), CAST(greatest(3, length(CAST(batch AS VARCHAR))) AS INT), '0') || '_2024-03-01' AS folder, asset_id, filename, text, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS words, sha256
-FROM (SELECT p.*, coalesce(n.batch, 1) AS batch FROM b_pending p LEFT JOIN (SELECT platform, max(batch) + 1 AS batch FROM b_collected GROUP BY platform) n USING (platform) WHERE outcome = 'collect')""")
+@query("exp_collect", "SELECT platform, batch, folder, asset_id, filename, text, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS words, sha256, export_event_id FROM b_taken")
 def exp_collect(t: Tables):
-    return exporting.collect(_pending(t), _next(t), "2024-03-01")
-
-
-_FOLDER = "'publish/' || platform || '/' || lpad(CAST(batch AS VARCHAR), CAST(greatest(3, length(CAST(batch AS VARCHAR))) AS INT), '0') || '_2024-03-01'"
-_PROFILES = "CASE platform " + " ".join(f"WHEN '{p['platform']}' THEN '{p['version']}'" for p in fixed.PLATFORM_PROFILES) + " END"
+    """The manifest rows of the commit."""
+    return _collected(t).result(f"collect {_DAY}", "manifest")
 
 
 @query("exp_collect_outcome", f"""
-WITH n AS (SELECT platform, max(batch) + 1 AS batch FROM b_collected GROUP BY platform), c AS (SELECT p.platform, p.asset_id, p.filename, p.sha256, coalesce(n.batch, 1) AS batch FROM b_pending p LEFT JOIN n USING (platform) WHERE outcome = 'collect')
-SELECT platform, 'COLLECTED' AS outcome, asset_id, batch, {_FOLDER} AS folder, '{{"platform":"' || platform || '","profile":"' || {_PROFILES} || '","batch":' || batch || ',"folder":"' || {_FOLDER} || '","filename":"' || filename || '","sha256":"' || sha256 || '"}}' AS message, CAST(NULL AS VARCHAR) AS reason FROM c
-UNION ALL SELECT platform, 'SKIPPED', asset_id, NULL, NULL, NULL, outcome[10:] FROM b_pending WHERE outcome LIKE 'skipped: %'
-UNION ALL SELECT platform, 'NOTHING_TO_COLLECT', NULL, NULL, NULL, NULL, NULL FROM (VALUES {', '.join(f"('{p}')" for p in fixed.PLATFORMS)}) v(platform) WHERE platform NOT IN (SELECT platform FROM c)""")
+SELECT platform, 'COLLECTED' AS outcome, asset_id, event_id, batch, folder, '{{"platform":"' || platform || '","profile":"' || {_PROFILES} || '","batch":' || batch || ',"folder":"' || folder || '","filename":"' || filename || '","sha256":"' || sha256 || '","export_event_id":' || export_event_id || '}}' AS message, CAST(NULL AS VARCHAR) AS reason FROM b_taken
+UNION ALL SELECT platform, 'SKIPPED', asset_id, NULL, NULL, NULL, NULL, outcome[10:] FROM b_pending WHERE outcome LIKE 'skipped: %'
+UNION ALL SELECT platform, 'NOTHING_TO_COLLECT', NULL, NULL, NULL, NULL, NULL, NULL FROM (VALUES {', '.join(f"('{p}')" for p in fixed.PLATFORMS)}) v(platform) WHERE platform NOT IN (SELECT platform FROM b_taken)""")
 def exp_collect_outcome(t: Tables):
-    return exporting.collection(_pending(t), _next(t), "2024-03-01")
+    """Outcomes of the commit, with the events that it appended to the log."""
+    store = _collected(t)
+    events = store.appended().select(F.get_json_object("message", "$.platform").alias("platform"), "asset_id", F.col("id").alias("event_id"), "message")
+    return store.result(f"collect {_DAY}", "outcomes").join(events, ["platform", "asset_id"], "left").select("platform", "outcome", "asset_id", "event_id", "batch", "folder", "message", "reason")
 
 
-@query("exp_collect_all")
+@query("exp_collect_all", " UNION ALL ".join(f"""
+SELECT '{p}' AS platform, asset_id, CASE WHEN refusal IS NULL THEN 'prepare' ELSE 'refused' END AS action, refusal AS detail FROM (SELECT *, {_refusal_sql(p)} AS refusal FROM b_state)
+ WHERE state IN ('publication_approved', 'ready_for_export') AND list_contains(approved_for, '{p}') AND {p}_file_status <> 'ready_for_export'""" for p in fixed.PLATFORMS) + f"""
+UNION ALL SELECT platform, asset_id, 'collect', folder FROM b_taken
+UNION ALL SELECT platform, NULL, 'outcome', CASE WHEN platform IN (SELECT platform FROM b_taken) THEN 'COLLECTED' ELSE 'NOTHING_TO_COLLECT' END FROM (VALUES {', '.join(f"('{p}')" for p in fixed.PLATFORMS)}) v(platform)""")
 def exp_collect_all(t: Tables):
-    return exporting.collect_all(state_table(t), _pending(t), _next(t), "2024-03-01")
+    store = EventStore(t.spark, store_folder(t), t.b_events)
+    return exporting.collect_all(store, f"collect {_DAY}", state_table(t), exports(t), t.b_files, _DAY)
 
 
 # --- creative, attestation -------------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from plateworks import fixed
@@ -9,11 +11,12 @@ from plateworks.functions import documents as doc
 from plateworks.functions import fingerprints as fp
 from plateworks.functions.arrays import joined
 from plateworks.operators import documents, ingest, integrity, log
+from plateworks.operators.eventstore import EventStore
 from plateworks.plans import bindings
 from plateworks.plans.bindings import Tables
 from plateworks.plans.registry import query
 from plateworks.plans.stage_queries import state_table
-from plateworks.session import materialize
+from plateworks.session import materialize, shared_checkpoint_dir
 from plateworks.sources import sinks
 
 _J = "json_extract_string"
@@ -30,6 +33,10 @@ def src_content_hash(t: Tables):
     return ingest.content_hash(t.pages, "html").select("page_id", "url", "sha256")
 
 
+def store_folder(t: Tables) -> str:
+    return f"{shared_checkpoint_dir(t.spark)}/plateworks/store-{uuid.uuid4().hex}"
+
+
 def _arrivals(t: Tables):
     return t.b_arrivals.withColumn("decodable", F.col("file_size") >= 100)
 
@@ -104,8 +111,12 @@ def src_user_set(t: Tables):
 SELECT row_number() OVER (ORDER BY r.id) + (SELECT max(id) FROM b_events) AS id, r.id AS asset_id, 'SOURCE' AS stage, 'NORMALIZED' AS status, replace(source_path, '\\', '/') AS new_path
 FROM b_registry r WHERE contains(source_path, '\\')""")
 def src_event_append(t: Tables):
-    new = ingest.path_changes(t.b_registry).select(F.col("id").alias("asset_id"), F.lit("SOURCE").alias("stage"), F.lit("NORMALIZED").alias("status"), F.col("new").alias("new_path"))
-    return ingest.append_events(new, t.b_events, "asset_id").select("id", "asset_id", "stage", "status", "new_path")
+    """The events of the normalised paths, appended in one commit; the second append of the same key adds nothing."""
+    new = ingest.path_changes(t.b_registry).select(F.col("id").alias("asset_id"), F.lit("SOURCE").alias("stage"), F.lit("NORMALIZED").alias("status"), "message")
+    store = EventStore(t.spark, store_folder(t), t.b_events)
+    for _ in range(2):
+        store.append("paths", new, ("asset_id",))
+    return store.appended().select("id", "asset_id", "stage", "status", F.get_json_object("message", "$.new").alias("new_path"))
 
 
 @query("src_actor_stamp", r"""
@@ -198,12 +209,6 @@ def jsn_advice_consistency(t: Tables):
     return t.part.select(F.col("p_partkey").alias("asset_id"), documents.advice_violation(advice).alias("violation"))
 
 
-@query("jsn_redact_recursive")
-def jsn_redact_recursive(t: Tables):
-    flagged = t.b_vision.filter(F.col("subject").contains("passport")).select("asset_id", F.concat("text_visible", F.array(F.lit("text-4b"), F.lit("Enhancement_Not"))).alias("texts"))
-    return documents.redact(t.b_events, flagged)
-
-
 # --- integrity -------------------------------------------------------------------------------
 
 @query("jn_result_without_event", """
@@ -249,7 +254,7 @@ def jn_orphan_files(t: Tables):
 
 
 bindings.sql_view("b_pending", f"""
-SELECT e.asset_id, e.platform, e.sha256, e.filename, e.text, CASE WHEN e.status <> 'ready_for_export' AND state = 'rejected' THEN NULL WHEN e.status <> 'ready_for_export' THEN 'skipped: export ' || e.status
+SELECT e.asset_id, e.platform, e.sha256, e.filename, e.text, e.export_event_id, CASE WHEN e.status <> 'ready_for_export' AND state = 'rejected' THEN NULL WHEN e.status <> 'ready_for_export' THEN 'skipped: export ' || e.status
  WHEN c.asset_id IS NOT NULL THEN 'already collected' WHEN f.sha256 IS NULL OR f.sha256 <> e.sha256 THEN 'skipped: export file missing or changed' ELSE 'collect' END AS outcome
 FROM b_exports e LEFT JOIN b_collected c ON c.asset_id = e.asset_id AND c.platform = e.platform AND c.sha256 = e.sha256 LEFT JOIN b_files f ON f.path = 'export/' || e.platform || '/' || e.asset_id || '.jpg' WHERE has_file""")
 
@@ -257,7 +262,7 @@ FROM b_exports e LEFT JOIN b_collected c ON c.asset_id = e.asset_id AND c.platfo
 def exports(t: Tables):
     """Export files of every asset and platform in long form, from the state table."""
     files = F.array(*[F.struct(F.lit(p).alias("platform"), F.col(f"{p}_file.status").alias("status"), F.col(f"export_{p}.sha256").alias("sha256"), F.col(f"export_{p}.path").alias("path"),
-                               F.col(f"export_{p}.filename").alias("filename"), F.col(f"export_{p}.text").alias("text"), F.col(f"export_{p}").isNotNull().alias("has_file")) for p in fixed.PLATFORMS])
+                               F.col(f"export_{p}.filename").alias("filename"), F.col(f"export_{p}.text").alias("text"), F.col(f"export_{p}").isNotNull().alias("has_file"), F.col(f"export_{p}_id").alias("export_event_id")) for p in fixed.PLATFORMS])
     return state_table(t).select("asset_id", "state", F.inline(files))
 
 

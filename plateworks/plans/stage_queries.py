@@ -342,7 +342,7 @@ SELECT s.asset_id, s.filename, s.state, s.reasons, s.problems, s.source_status,
  coalesce(md_state, 'none') AS metadata_state, md_completeness AS completeness, coalesce(md_state IN ('auto_approved', 'approved'), FALSE) AS metadata_approved,
  CASE WHEN md_state = 'human_review' THEN {_codes('metadata_json', '$.review_gate.reasons')} ELSE [] END AS review_reasons, metadata_json, ready_for, approved_for, export_ready,
  adobe_file_status, shutterstock_file_status, export_adobe_text, export_shutterstock_text, readiness_status, publication_status, creative_review_status, fp_readiness,
- readiness_evaluated_text, creative_advised_text, publication_evaluated_text
+ readiness_evaluated_text, creative_advised_text, publication_evaluated_text, export_adobe_id, export_shutterstock_id
 FROM b_state s""")
 
 
@@ -384,7 +384,7 @@ def stg_attention_view(t: Tables):
 
 sql_view("b_exports", " UNION ALL ".join(f"""
 SELECT asset_id, state, '{p}' AS platform, {p}_file_status AS status, {_J}(export_{p}_text, '$.sha256') AS sha256, {_J}(export_{p}_text, '$.filename') AS filename, {_J}(export_{p}_text, '$.text') AS text,
- list_contains(approved_for, '{p}') AND publication_status = 'current' AS approved, export_{p}_text IS NOT NULL AS has_file FROM b_pipeline""" for p in fixed.PLATFORMS))
+ list_contains(approved_for, '{p}') AND publication_status = 'current' AS approved, export_{p}_text IS NOT NULL AS has_file, export_{p}_id AS export_event_id FROM b_pipeline""" for p in fixed.PLATFORMS))
 
 
 @query("stg_state_lists", f"""

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from plateworks import fixed
 from plateworks.functions import text as tx
 from plateworks.functions.arrays import joined, n
-from plateworks.operators import exporting, gate, ingest, metadata, stages
+from plateworks.operators import documents, exporting, gate, ingest, metadata, stages
 from plateworks.plans import sqltext as st
 from plateworks.plans.bindings import Tables, sql_view
 from plateworks.plans.registry import query
+from plateworks.session import materialize
 
 _J = "json_extract_string"
 
@@ -436,11 +437,57 @@ def gate_apply(t: Tables):
     return gated(t).select("asset_id", F.col("state").alias("state_before"), gate.apply(F.col("state"), F.col("decision")).alias("state_after"))
 
 
-@query("met_event_rows", """
-SELECT asset_id, 'METADATA' AS stage, 'DRAFTED' AS status, '{"completeness":"' || completeness || '","errors":' || len(errors) || ',"keywords":' || len(f_keywords) || ',"warnings":' || len(warnings) || '}' AS message FROM b_gate
-UNION ALL SELECT asset_id, 'METADATA', 'GATED', '{"decision":"' || decision || '","reasons":[' || array_to_string(list_transform(reasons, lambda r: '"' || split_part(r, ':', 1) || '"'), ',') || ']}' FROM b_gate""")
+def _json_list(items: str) -> str:
+    return f"'[' || array_to_string(list_transform({items}, lambda r: '\"' || split_part(r, ':', 1) || '\"'), ',') || ']'"
+
+
+def _gated_sql(decision: str, reasons: str, trigger: str) -> str:
+    return f"""'{{"policy_version":"{fixed.GATE_POLICY_VERSION}","decision":"' || {decision} || '","reasons":' || {_json_list(reasons)} || ',"notes":' || {_json_list("notes")} || ',"state_before":"' || state || '","trigger":"{trigger}"}}'"""
+
+
+_MANUAL = "CASE WHEN len(list_filter(reasons, lambda r: split_part(r, ':', 1) = 'MANUAL_ESCALATION')) > 0 THEN list_distinct_codes ELSE list_concat(list_distinct_codes, ['MANUAL_ESCALATION']) END"
+_FIRST_CODES = "list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform(reasons, lambda r: [split_part(r, ':', 1)])), lambda a, b: CASE WHEN list_contains(a, b[1]) THEN a ELSE list_concat(a, b) END)"
+
+
+def _edited_sql(field: str, new: str, old: str) -> str:
+    return f"""SELECT asset_id, {fixed.EDITABLE_FIELDS.index(field) + 1} AS step, 'EDITED' AS status, '{{"field":"{field}","old":' || to_json({old}) || ',"new":' || to_json({new}) || ',"state_before":"' || state || '"}}' AS message
+ FROM b_edits WHERE {new} IS NOT NULL AND len({new}) > 0 AND {new} <> {old}"""
+
+
+sql_view("b_edits", f"""SELECT f.asset_id, f.state, f.f_title, f.f_description, f.f_keywords, CASE f.lang WHEN 'en' THEN rtrim(regexp_replace({st.norm("f.title || '..'")}, '\\.+$', '')) END AS new_title,
+  CASE f.lang WHEN 'fr' THEN {st.norm('f.subject')} END AS new_description, CASE f.lang WHEN 'de' THEN nk.keywords END AS new_keywords FROM b_fields f JOIN b_new_keywords nk USING (asset_id)""")
+
+
+def _commands(t: Tables):
+    """Rows for the commands of the binding: same title, new description, new keyword list, unknown field, by language."""
+    lang = F.col("lang")
+    rows = fields(t).withColumns({"edited_fields": F.array().cast("array<string>"), "unknown_field": lang == "es", "new_title": F.when(lang == "en", F.concat("title", F.lit(".."))),
+                                  "new_description": F.when(lang == "fr", F.col("subject")), "new_keywords": F.when(lang == "de", F.split("subject", " "))})
+    return rows.withColumns({f"old_{f}": F.col(f"f_{f}") for f in fixed.EDITABLE_FIELDS})
+
+
+@query("met_event_rows", f"""
+SELECT asset_id, 'METADATA' AS stage, step::INTEGER AS step, status, message FROM (
+SELECT asset_id, 1 AS step, 'DRAFTED' AS status, '{{"builder_version":"metadata-v1","completeness":"' || completeness || '","trigger":"build","errors":' || len(errors) || ',"warnings":' || len(warnings) || ',"keywords":' || len(f_keywords) || '}}' AS message FROM b_gate
+UNION ALL SELECT asset_id, 2, 'GATED', {_gated_sql("decision", "reasons", "build")} FROM b_gate
+UNION ALL {_edited_sql("title", "new_title", "f_title")} UNION ALL {_edited_sql("description", "new_description", "f_description")} UNION ALL {_edited_sql("keywords", "new_keywords", "f_keywords")}
+UNION ALL SELECT asset_id, 1, 'APPROVED', '{{"builder_version":"metadata-v1","completeness":"' || completeness || '","allow_partial":' || CASE WHEN lang = 'fr' THEN 'true' ELSE 'false' END || ',"confirmed_claims":' ||
+  CASE WHEN lang = 'en' THEN to_json(list_transform(list_filter(claims, lambda c: NOT c.confirmed), lambda c: c.term)) ELSE '[]' END || '}}'
+ FROM (SELECT *, CASE WHEN lang = 'en' THEN list_filter(errors, lambda e: NOT starts_with(e, 'UNCONFIRMED_CLAIM')) ELSE errors END AS remaining FROM b_valid)
+ WHERE state IN ('draft', 'auto_approved', 'human_review') AND NOT (completeness = 'partial' AND lang <> 'fr') AND len(remaining) = 0
+UNION ALL SELECT asset_id, 1, 'REJECTED', '{{"reason":' || to_json({st.norm("description")}) || ',"state_before":"' || state || '"}}' FROM b_metadata WHERE state IN ('draft', 'auto_approved', 'human_review', 'approved') AND lang <> 'fr' AND {st.norm("description")} <> ''
+UNION ALL SELECT asset_id, 1, 'ESCALATED', '{{"reason":' || to_json({st.norm("description")}) || ',"state_before":"' || state || '"}}' FROM b_metadata WHERE state IN ('draft', 'auto_approved', 'human_review') AND lang <> 'fr' AND {st.norm("description")} <> ''
+UNION ALL SELECT asset_id, 2, 'GATED', {_gated_sql("'human_review'", _MANUAL, "escalate")} FROM (SELECT g.*, {_FIRST_CODES} AS list_distinct_codes, m.description AS why FROM b_gate g JOIN b_metadata m USING (asset_id))
+ WHERE state IN ('draft', 'auto_approved', 'human_review') AND lang <> 'fr' AND {st.norm("why")} <> '')""")
 def met_event_rows(t: Tables):
-    return metadata.event_rows(gated(t)).select("asset_id", "stage", "status", "message")
+    """Events of all commands over the binding: build with its gate, edit, approve, reject, escalate."""
+    done, why = gated(t), F.when(F.col("lang") != "fr", F.col("text"))
+    parts = [metadata.event_rows(done), metadata.edit_events(metadata.edit(_commands(t))), metadata.approve_events(valid(t), F.col("lang") == "fr", F.col("lang") == "en"),
+             metadata.reject_events(fields(t), why), metadata.escalate_events(done, why, gate.escalate(F.col("state"), why) == "ESCALATED")]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    return rows.select("asset_id", "stage", "step", "status", "message")
 
 
 @query("gate_escalate", "SELECT asset_id, CASE WHEN state NOT IN ('draft', 'auto_approved', 'human_review') THEN 'INVALID_STATE:' || state WHEN lang = 'fr' THEN 'REASON_REQUIRED' ELSE 'ESCALATED' END AS outcome FROM b_metadata")
@@ -487,3 +534,47 @@ def met_authorize(t: Tables):
     commands = t.b_events.select("id", "asset_id", F.coalesce(actor, F.lit("Robot!")).alias("actor"), operation.alias("operation"), (F.col("value") < 20).alias("force"))
     commands = ingest.looked_up(commands, states, "asset_id", "id")
     return metadata.authorize(commands).select("id", "actor", "operation", "verdict")
+
+
+# --- redaction -------------------------------------------------------------------------------
+
+_SPLIT = """'"(?:[^"\\\\]|\\\\.)*"(?:\\s*:)?|[^"]+'"""
+
+
+def _redact_sql(text: str) -> tuple[str, str]:
+    """Spelling of the redaction in SQL: the new text and the number of hits."""
+    quoted = "(starts_with(x, '\"') AND ends_with(x, '\"'))"
+    value = f"json_extract_string(CASE WHEN {quoted} THEN '{{\"v\":' || x || '}}' END, '$.v')"
+    hit = f"({quoted} AND len(list_filter(needles, lambda n: contains({st.fold(value)}, n))) > 0)"
+    tokens = f"regexp_extract_all({text}, {_SPLIT})"
+    return f"array_to_string(list_transform({tokens}, lambda x: CASE WHEN {hit} THEN '\"[redacted]\"' ELSE x END), '')", f"len(list_filter({tokens}, lambda x: {hit}))"
+
+
+_M, _E = _redact_sql("metadata_json"), _redact_sql("message")
+
+
+@query("jsn_redact_recursive", f"""
+WITH f AS MATERIALIZED (SELECT v.asset_id, d.terms, v.text_visible, c.metadata_json, coalesce(list_transform(CAST(json_extract(c.metadata_json, '$.review_gate.text_items') AS JSON[]), lambda i: json_extract_string(i, '$.text')), []) AS items
+  FROM b_vision v JOIN b_documents d USING (asset_id) JOIN b_catalog c USING (asset_id)),
+g AS MATERIALIZED (SELECT *, list_filter(list_distinct(list_transform(list_concat(text_visible, items), lambda x: {st.fold('x')})), lambda x: length(x) >= {fixed.REDACT_MIN_LENGTH}) AS needles FROM f WHERE len(terms) > 0 AND len(text_visible) + len(items) > 0),
+m AS MATERIALIZED (SELECT asset_id, terms, len(text_visible) AS n_visible, len(items) AS n_items, CASE WHEN metadata_json IS NOT NULL THEN regexp_replace({_M[0]}, '"text_items":\\[(?:[^\\]"]|"[^"]*")*\\]', '"text_items":[]') END AS body, coalesce({_M[1]}, 0) AS hits FROM g),
+e AS MATERIALIZED (SELECT asset_id, id, body, hits FROM (SELECT e.asset_id, e.id, {_E[0]} AS body, {_E[1]} AS hits FROM b_events e JOIN g USING (asset_id) WHERE starts_with(message, '{{') AND json_valid(message)) WHERE hits > 0),
+s AS (SELECT asset_id, list(id ORDER BY id) AS ids, sum(hits) AS hits FROM e GROUP BY asset_id)
+SELECT asset_id, 'event' AS kind, id, body, hits::INTEGER AS hits FROM e
+UNION ALL SELECT asset_id, 'metadata', NULL, body, hits::INTEGER FROM m
+UNION ALL SELECT asset_id, 'vision', NULL, '{{"text_visible":[],"subject":"' || v.subject || '"}}', NULL FROM m JOIN b_vision v USING (asset_id)
+UNION ALL SELECT m.asset_id, 'summary', NULL, '{{"reason":"PERSONAL_DOCUMENT","terms":' || to_json(terms) || ',"text_visible_removed":' || n_visible || ',"text_items_removed":' || n_items || ',"metadata_strings_redacted":' || m.hits ||
+ ',"events_updated":' || coalesce(to_json(ids)::VARCHAR, '[]') || ',"event_strings_redacted":' || coalesce(s.hits, 0)::BIGINT || '}}', NULL FROM m LEFT JOIN s USING (asset_id)""")
+def jsn_redact_recursive(t: Tables):
+    """Personal documents: events and metadata without recognised texts, vision answers without visible texts, and the summary events."""
+    answers = tx.stabilize(t.b_vision, "subject", "title", "description", keywords=("text_visible", "keywords")).select(
+        "asset_id", gate.document_terms().alias("terms"), "text_visible", F.to_json(F.struct("text_visible", "subject")).alias("vision_json"))
+    found = materialize(documents.flagged(answers.join(t.b_catalog.select("asset_id", "metadata_json"), "asset_id")), "flagged")
+    events = documents.redact_events(t.b_events, found)
+    docs = documents.redact_documents(found)
+    none, text = F.lit(None).cast("bigint").alias("id"), lambda c: F.col(c).alias("body")
+    no_hits = F.lit(None).cast("int").alias("hits")
+    return (events.select("asset_id", F.lit("event").alias("kind"), "id", text("message"), "hits")
+            .unionByName(docs.select("asset_id", F.lit("metadata").alias("kind"), none, text("metadata_json"), "hits"))
+            .unionByName(docs.select("asset_id", F.lit("vision").alias("kind"), none, text("vision_json"), no_hits))
+            .unionByName(documents.redaction_events(found, docs, events).select("asset_id", F.lit("summary").alias("kind"), none, text("message"), no_hits)))
