@@ -42,8 +42,8 @@ def pair(a: Column, b: Column, f) -> Column:
 
 
 def inner(px: Column, shift: int = 0) -> Column:
-    """Line without its first and last pixel, shifted by -1, 0 or 1."""
-    return F.slice(px, F.lit(2 + shift), F.size(px) - 2)
+    """Line without its first and last pixel, shifted by -1, 0 or 1; empty where the line has one or two."""
+    return F.slice(px, F.lit(2 + shift), F.greatest(F.size(px) - 2, F.lit(0)))
 
 
 def moments(values: Column) -> Column:
