@@ -96,7 +96,7 @@ def path_changes(registry: DataFrame) -> DataFrame:
 
 
 def unreadable(rows: DataFrame) -> DataFrame:
-    """rows(asset_id, file_hash, actual_hash, container, decodable) -> failure code, null when readable."""
+    """rows(asset_id, file_hash, actual_hash, container, decodable) -> failure code, null when readable. Without facts (nulls) a file is of no known format."""
     code = first_match([
         (F.col("actual_hash").isNull(), "SOURCE_MISSING"), (F.col("actual_hash") != F.col("file_hash"), "SOURCE_CHANGED"),
         (F.col("decodable"), F.lit(None).cast("string")), (F.col("container") == "HEIF", "MISSING_CODEC"),

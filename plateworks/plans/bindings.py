@@ -286,7 +286,7 @@ FROM documents
 """
 
 # --- documents of the rules ------------------------------------------------------------------
-# What a vision model would say, by source and language; whole text lines stand for visible text.
+# What a vision model would say, by source and language: the whole text as description, its lines as visible text.
 _SUBJECTS = (
     "industrial control panel with cables", "worker with gloves near machinery", "portrait of an engineer",
     "children on a playground", "facade of a residential building", "forest landscape with trees",
@@ -298,7 +298,7 @@ _SUBJECTS = (
 _SUBJECT_CASE = "CASE source " + " ".join(f"WHEN 'src{i}' THEN '{s}'" for i, s in enumerate(_SUBJECTS)) + " ELSE source END"
 
 _VISION = f"""
-SELECT asset_id, subject, title, 'view of ' || subject AS description, 'use in ' || lang AS commercial_context,
+SELECT asset_id, subject, title, text AS description, 'use in ' || lang AS commercial_context,
        @ARR<source> AS technical_subjects, @WORDS<subject> AS keywords,
        CASE WHEN lang = 'en' THEN @ARR<'Industrial'> WHEN lang = 'fr' THEN @ARR<'Nature'|'Parks'> ELSE @NOARR END AS categories,
        COALESCE(toxic, 0) = 1 AS people_present, CAST(COALESCE(quality, 0) AS INT) AS people_count,

@@ -22,11 +22,13 @@ _ATTEST = "CASE WHEN lang = 'en' THEN 'not_identifiable' WHEN lang = 'fr' THEN '
 
 
 def subjects(t: Tables):
-    """Assets with vision answer, document fields, file facts and attestation (parts lend the file facts)."""
+    """Assets with vision answer, document fields, file facts and attestation. Parts lend the file facts; an asset without a part has none
+    (its size counts as 0, as for a file that was never measured)."""
     lines = vision(t).select("asset_id", F.col("text_visible").alias("lines"))
     rows = fields(t).join(lines, "asset_id").withColumn("text_visible", F.col("lines")).drop("lines")
     facts = t.b_facts.select("asset_id", "width", "height", "file_size", "format", "color_kind", "color_declared", "qc_passed", "source_status")
-    return rows.join(facts, "asset_id").withColumn("attestation", F.expr(_ATTEST))
+    measured = {c: F.coalesce(c, F.lit(0)) for c in ("width", "height", "file_size")} | {"qc_passed": F.coalesce("qc_passed", F.lit(True)), "source_status": F.coalesce("source_status", F.lit("ok"))}
+    return rows.join(facts, "asset_id", "left").withColumns(measured).withColumn("attestation", F.expr(_ATTEST))
 
 
 # --- brands, categories ----------------------------------------------------------------------
@@ -120,9 +122,9 @@ def _codes(*rules) -> str:
 def _file_sql(p: dict) -> str:
     mp = "width * height / 1000000.0"
     formats = ", ".join(f"'{x}'" for x in p["formats"])
-    return _codes(("source_status <> 'ok'", "SOURCE_NOT_OK", "blocker"), ("NOT qc_passed", "QC_NOT_PASSED", "blocker"), (f"{mp} < {p['min_mp']}", "RESOLUTION_TOO_LOW", "blocker"),
-                  (f"{mp} > {p['max_mp']}" if p["max_mp"] else "FALSE", "RESOLUTION_TOO_HIGH", "derivative"), (f"format NOT IN ({formats})", "FORMAT_CONVERSION", "derivative"),
-                  ("NOT color_declared", "COLOR_SPACE_UNDECLARED", "blocker"), ("color_declared AND color_kind <> 'srgb'", "COLOR_PROFILE_CONVERSION", "derivative"), (f"file_size > {p['max_file_size']}", "FILE_TOO_LARGE", "derivative"))
+    return _codes(("source_status IS DISTINCT FROM 'ok'", "SOURCE_NOT_OK", "blocker"), ("NOT coalesce(qc_passed, FALSE)", "QC_NOT_PASSED", "blocker"), (f"{mp} < {p['min_mp']}", "RESOLUTION_TOO_LOW", "blocker"),
+                  (f"{mp} > {p['max_mp']}" if p["max_mp"] else "FALSE", "RESOLUTION_TOO_HIGH", "derivative"), (f"format IS NULL OR format NOT IN ({formats})", "FORMAT_CONVERSION", "derivative"),
+                  ("color_kind IS NULL", "SOURCE_FACTS_MISSING", "blocker"), ("color_kind IS NOT NULL AND NOT coalesce(color_declared, FALSE)", "COLOR_SPACE_UNDECLARED", "blocker"), ("color_declared AND color_kind <> 'srgb'", "COLOR_PROFILE_CONVERSION", "derivative"), (f"file_size > {p['max_file_size']}", "FILE_TOO_LARGE", "derivative"))
 
 
 def _checks(checks):
@@ -157,9 +159,9 @@ _RIGHTS = _codes(("level = 'recognizable' AND attested", "PEOPLE_ATTESTED", "inf
                  ("n_dominant > 0", "DOMINANT_BRAND", "blocker"), ("n_component > 0", "COMPONENT_BRAND", "warning"), ("n_incidental > 0", "INCIDENTAL_MARKING", "info"), ("len(terms) > 0", "PERSONAL_DOCUMENT", "blocker"),
                  ("len(editorial_risk) > 0", "EDITORIAL_ONLY", "blocker"), ("ai_generated", "AI_GENERATED", "blocker"))
 sql_view("b_subjects", f"""
-SELECT f.*, x.width, x.height, x.file_size, x.format, x.color_kind, x.color_declared, x.qc_passed, x.source_status, h.hits, m.adobe AS adobe_cat, m.shutterstock AS shutter_cat, p.level, d.terms,
+SELECT f.*, coalesce(x.width, 0) AS width, coalesce(x.height, 0) AS height, coalesce(x.file_size, 0) AS file_size, x.format, x.color_kind, x.color_declared, coalesce(x.qc_passed, TRUE) AS qc_passed, coalesce(x.source_status, 'ok') AS source_status, h.hits, m.adobe AS adobe_cat, m.shutterstock AS shutter_cat, p.level, d.terms,
  coalesce({_ATTEST} IN ('not_identifiable', 'release_on_file'), FALSE) AND NOT coalesce(starts_with(p.markers[1], 'child:'), FALSE) AS attested, coalesce(b.n_dominant, 0) AS n_dominant, coalesce(b.n_component, 0) AS n_component, coalesce(b.n_incidental, 0) AS n_incidental
-FROM b_fields f JOIN b_facts x USING (asset_id) LEFT JOIN b_brand_hits h USING (asset_id) LEFT JOIN b_category_map m USING (asset_id) JOIN b_people p USING (asset_id) JOIN b_documents d USING (asset_id)
+FROM b_fields f LEFT JOIN b_facts x USING (asset_id) LEFT JOIN b_brand_hits h USING (asset_id) LEFT JOIN b_category_map m USING (asset_id) JOIN b_people p USING (asset_id) JOIN b_documents d USING (asset_id)
 LEFT JOIN (SELECT asset_id, count(*) FILTER (WHERE prominence = 'dominant') AS n_dominant, count(*) FILTER (WHERE prominence = 'component_brand') AS n_component, count(*) FILTER (WHERE prominence = 'incidental_marking') AS n_incidental FROM b_brand_list GROUP BY 1) b USING (asset_id)""")
 
 

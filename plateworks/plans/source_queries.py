@@ -87,11 +87,11 @@ def src_extension_mismatch(t: Tables):
 
 @query("src_unreadable_class", """
 SELECT c.asset_id, CASE WHEN f.sha256 IS NULL THEN 'SOURCE_MISSING' WHEN f.sha256 <> c.file_hash THEN 'SOURCE_CHANGED' WHEN x.jpeg_quality IS NOT NULL THEN NULL WHEN x.container = 'HEIF' THEN 'MISSING_CODEC'
- WHEN x.container <> 'GIF' THEN 'DECODE_ERROR' ELSE 'UNSUPPORTED_FORMAT' END AS code FROM b_catalog c JOIN b_facts x USING (asset_id) LEFT JOIN b_files f ON f.path = c.source_path""")
+ WHEN x.container <> 'GIF' THEN 'DECODE_ERROR' ELSE 'UNSUPPORTED_FORMAT' END AS code FROM b_catalog c LEFT JOIN b_facts x USING (asset_id) LEFT JOIN b_files f ON f.path = c.source_path""")
 def src_unreadable_class(t: Tables):
     facts = t.b_facts.select("asset_id", F.nullif("container", F.lit("GIF")).alias("container"), F.col("jpeg_quality").isNotNull().alias("decodable"))
     files = t.b_files.select(F.col("path").alias("source_path"), F.col("sha256").alias("actual_hash"))
-    rows = t.b_catalog.select("asset_id", "file_hash", "source_path").join(facts, "asset_id").join(files, "source_path", "left")
+    rows = t.b_catalog.select("asset_id", "file_hash", "source_path").join(facts, "asset_id", "left").join(files, "source_path", "left")
     return ingest.unreadable(rows).select("asset_id", "code")
 
 
