@@ -352,14 +352,18 @@ def stg_pipeline_view(t: Tables):
     return rows.select("asset_id", F.col("source_status").alias("source"), "qc", "vision", "metadata_state", "completeness", "metadata_approved", joined(F.col("review_reasons")).alias("review_reasons"))
 
 
-@query("stg_asset_view")
+@query("stg_asset_view", f"""
+SELECT s.asset_id, filename, source_path, file_hash, file_size, state, array_to_string(reasons, ',') AS reasons, reprocess_from, array_to_string(ready_for, ',') AS ready_for, array_to_string(problems, ',') AS problems,
+ {", ".join(f"{name}_status" for name in stages.STAGES)}, qc, vision, metadata_state, completeness, metadata_approved, array_to_string(review_reasons, ',') AS review_reasons, ai_passed_id AS vision_event_id,
+ {_J}(ai_doc, '$.provider') AS provider, {_J}(ai_doc, '$.model') AS model, {_J}(ai_doc, '$.prompt_version') AS prompt_version, {_J}(metadata_json, '$.fields.title') AS title, array_to_string(acts, ',') AS actions
+FROM (SELECT *, list_filter([{", ".join(f"CASE WHEN {c} THEN {a} END" for c, a in _ACTIONS)}], lambda x: x IS NOT NULL) AS acts FROM b_state) s
+JOIN (SELECT asset_id, qc, vision, metadata_state, completeness, metadata_approved, review_reasons FROM b_pipeline) p USING (asset_id)""")
 def stg_asset_view(t: Tables):
-    rows = state_table(t)
-    return rows.select("asset_id", "filename", "source_path", "file_hash", "file_size",
-                       F.struct("state", "reasons", "reprocess_from", "ready_for", "problems", *[f"{s}_status" for s in stages.STAGES]).alias("state"),
-                       F.struct("qc", "vision", "metadata_state", "completeness", "metadata_approved", "review_reasons").alias("summary"),
-                       F.struct(F.col("ai_passed_id").alias("event_id"), "ai_passed.provider", "ai_passed.model", "ai_passed.prompt_version").alias("provenance"),
-                       F.col("md").alias("metadata"), "actions")
+    """Everything about one asset in one row: file, state with its reasons, all statuses, summary, provenance, title, actions."""
+    lists = {c: joined(F.col(c)).alias(c) for c in ("reasons", "ready_for", "problems", "review_reasons", "actions")}
+    provenance = [F.col("ai_passed_id").alias("vision_event_id"), *[F.col(f"ai_passed.{c}").alias(c) for c in ("provider", "model", "prompt_version")]]
+    return state_table(t).select("asset_id", "filename", "source_path", "file_hash", "file_size", "state", lists["reasons"], "reprocess_from", lists["ready_for"], lists["problems"], *[f"{s}_status" for s in stages.STAGES],
+                                 "qc", "vision", "metadata_state", "completeness", "metadata_approved", lists["review_reasons"], *provenance, F.col("md.fields.title").alias("title"), lists["actions"])
 
 
 @query("stg_current_or_last", " UNION ALL ".join(f"""
