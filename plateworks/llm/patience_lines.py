@@ -250,6 +250,10 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def filtered(docs: DataFrame) -> DataFrame:
-    """The rows and columns of ``docs`` after deletion; a document that lost lines and has no word left goes."""
-    found = deduplicated(docs, runs=True)
-    return found.where((F.col("n_removed") == 0) | F.col("text").rlike("[^ \\t-\\r]")).select(*docs.columns)
+    """The rows and columns of ``docs`` after deletion; a document that lost lines and has no word left goes.
+
+    Columns named like a measurement stay as they are. Null texts lose nothing; an empty table gives none.
+    """
+    found = deduplicated(docs.select("doc_id", "text", F.struct("*").alias("row")), runs=True)
+    left = found.where((F.col("n_removed") == 0) | F.col("text").rlike("[^ \\t-\\r]"))
+    return left.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -156,5 +156,9 @@ def verdicts(docs: DataFrame, policy: Policy = STRICT) -> DataFrame:
 
 
 def filtered(docs: DataFrame, policy: Policy = STRICT) -> DataFrame:
-    """The rows and columns of ``docs`` that pass the base rules and ``policy``."""
-    return ledger(docs).where(passes(BASE) & passes(policy)).select(*docs.columns)
+    """The rows and columns of ``docs`` that pass the base rules and ``policy``; columns named like a measurement stay as they are.
+
+    Null and empty texts have no words and fail; very long ones are measured whole; repeated rows are judged alike; an empty table gives none.
+    """
+    book = ledger(docs.select(F.struct("*").alias("row"), "text"))
+    return book.where(passes(BASE) & passes(policy)).select("row.*")

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -9,19 +10,26 @@ from tests.llm.fixtures import rows, table
 
 
 def brute(data, words=5):
-    """Smallest doc_id of every group, by comparing all pairs."""
-    sets = {}
-    for d, t, *_ in data:
-        w = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").encode().split()
-        if d is not None:
-            sets.setdefault(d, []).append({tuple(w[i:i + words]) for i in range(len(w) - words + 1)} or ({tuple(w)} if w else set()))
-    near = lambda a, b: a == b or 100 * len(a & b) >= 80 * len(a | b)
-    root = {d: d for d in sets}
-    links = [(a, b) for a in sets for b in sets if a < b and any(near(x, y) for x in sets[a] for y in sets[b])]
-    for _ in sets:
-        for a, b in links:
-            root[a] = root[b] = min(root[a], root[b])
-    return {d for d in sets if root[d] == d}
+    """The rows that stay, as (doc_id, text), by comparing all pairs of rows."""
+    rows = sorted({(d, t or "") for d, t, *_ in data if d is not None})
+    sets = []
+    for _, t in rows:
+        w = "".join(c.lower() if "A" <= c <= "Z" else c for c in t).encode().split()
+        sets.append({tuple(w[i:i + words]) for i in range(len(w) - words + 1)} or ({tuple(w)} if w else set()))
+    root = list(range(len(rows)))
+    links = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a == b or 100 * len(a & b) >= 80 * len(a | b)]
+    changed = True
+    while changed:
+        changed = False
+        for i, j in links:
+            least = min(root[i], root[j])
+            changed |= root[i] != root[j]
+            root[i] = root[j] = least
+    return {row for row, r in zip(rows, root) if row[0] == rows[r][0]}
+
+
+def got(df):
+    return {(r.doc_id, r.text or "") for r in df.collect() if r.doc_id is not None}
 
 
 def edited(seed, n, low, high, size=120):
@@ -38,9 +46,7 @@ def edited(seed, n, low, high, size=120):
 
 
 @pytest.mark.parametrize("crowd", [1, 3, 64])
-def test_equals_brute_force(spark, monkeypatch, crowd):
-    monkeypatch.setattr(S, "CROWD", crowd)
-    monkeypatch.setattr(S.links, "__defaults__", (S.WORDS, S.SIMILARITY, crowd))
+def test_equals_brute_force(spark, crowd):
     rnd = random.Random(3)
     base = edited(8, 1, 0, 0, 200)[0].split()
     texts = edited(7, 60, 0.0, 0.07)
@@ -48,7 +54,7 @@ def test_equals_brute_force(spark, monkeypatch, crowd):
         texts.append(" ".join("x%d" % rnd.randrange(999) if rnd.random() < 0.012 else w for w in base))
     data = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
     rnd.shuffle(data)
-    kept = {r.doc_id for r in S.one_of_each(table(spark, data)).collect()}
+    kept = got(S.one_of_each(table(spark, data), crowd=crowd))
     assert kept == brute(data)
     assert 0 < len(kept) < len(data) - 40
 
@@ -58,7 +64,7 @@ def test_stage_drops_near_copies_that_simhash_at_two_bits_keeps(spark):
     df = table(spark, data)
     want = brute(data)
     assert len(want) <= 45
-    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()} == want
+    assert got(corpus_pipeline.near_dedup(spark, df, "")) == want
     assert simhash.one_of_each(df).count() > len(want) + 10
 
 
@@ -67,5 +73,37 @@ def test_awkward_rows(spark):
     kept = S.one_of_each(df)
     assert kept.columns == df.columns
     assert kept.where("doc_id is null").count() == df.where("doc_id is null").count()
-    assert {r.doc_id for r in kept.where("doc_id is not null").collect()} == brute(rows())
+    assert got(kept) == brute(rows())
     assert S.one_of_each(table(spark, [])).count() == 0
+
+
+def test_rows_of_one_doc_id_are_judged_by_their_own_text(spark):
+    a, near, other = edited(5, 1, 0.005, 0.005)[0], None, edited(6, 1, 0, 0)[0]
+    near = " ".join(["changed", *a.split()[1:]])
+    data = [(3, a, "en", "s", 0), (5, near, "en", "s", 0), (5, other, "en", "s", 0), (5, other, "en", "s", 0), (8, None, "en", "s", 0), (9, "", "en", "s", 0)]
+    kept = S.one_of_each(table(spark, data, node=1, gone="x", keys=2, least=3))
+    assert sorted((r.doc_id, r.text, r.node, r.gone, r["keys"], r.least) for r in kept.collect()) == sorted(
+        [(3, a, 1, "x", 2, 3), (5, other, 1, "x", 2, 3), (5, other, 1, "x", 2, 3), (8, None, 1, "x", 2, 3)], key=str)
+
+
+def test_bands_miss_no_more_than_stated():
+    """Pairs of similarity 0.8 and more that share no band: about ``MISS`` of them."""
+    rnd = np.random.default_rng(1)
+    missed = 0
+    for _ in range(2000):
+        n = int(rnd.integers(20, 400))
+        common = -(-8 * n // 9)  # least number of common hashes for 0.8
+        both = rnd.integers(-(1 << 63), (1 << 63) - 1, 2 * n - common)
+        a, b = np.sort(both[:n]), np.sort(np.r_[both[:common], both[n:]])
+        missed += not set(S.band_keys(a, S.bands())) & set(S.band_keys(b, S.bands()))
+    assert missed == 0
+
+
+def test_a_very_long_text_is_read_in_pieces():
+    found = np.arange(3 * S.PIECE + 17, dtype=np.int64) * 0x9E3779B97F4A7C1 % (1 << 61)
+    whole, piece = S.band_keys(found, 4), S.PIECE
+    try:
+        S.PIECE = 100
+        assert (S.band_keys(found, 4) == whole).all()
+    finally:
+        S.PIECE = piece
