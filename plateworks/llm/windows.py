@@ -154,23 +154,31 @@ def _copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _anchored(docs: DataFrame, symbols: Symbols) -> DataFrame:
-    """(hash, doc_id, n): each anchor hash of a text once; n is 2 where repeats within the text count and it has several runs."""
+    """(hash, doc_id, tag, start, count, n): every run of a text with its anchor hash; n adds up to 1 per text and anchor, or to 2 where
+    repeats within the text count and it has several runs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, ids, counts = [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(2)):
-                h, n = np.unique(symbols.runs(symbols.of(text.as_py()))[0], return_counts=True)
+            hashes, starts, counts, ns, lengths = [], [], [], [], []
+            for text in batch.column(2):
+                h, start, count = symbols.runs(symbols.of(text.as_py()))
+                _, first, several = np.unique(h, return_index=True, return_counts=True)
+                n = np.zeros(len(h), np.int32)
+                n[first] = np.minimum(several, 2 if symbols.within else 1)
                 hashes.append(h.view(np.int64))
-                counts.append(np.minimum(n, 2 if symbols.within else 1))
-                ids.append(np.full(len(h), doc, np.int64))
-            if hashes:
-                yield pa.RecordBatch.from_arrays([np.concatenate(hashes), np.concatenate(ids), np.concatenate(counts).astype(np.int32)], ["hash", "doc_id", "n"])
+                starts.append(start)
+                counts.append(count)
+                ns.append(n)
+                lengths.append(len(h))
+            if lengths:
+                owner = pa.array(np.repeat(np.arange(len(lengths)), lengths))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), batch.column(0).take(owner), batch.column(1).take(owner), pa.array(np.concatenate(starts).astype(np.int32)),
+                                                  pa.array(np.concatenate(counts).astype(np.int32)), pa.array(np.concatenate(ns))], ["hash", "doc_id", "tag", "start", "count", "n"])
 
-    return _ids(docs).mapInArrow(run, "hash long, doc_id long, n int")
+    return _ids(docs).mapInArrow(run, "hash long, doc_id long, tag long, start int, count int, n int")
 
 
 def _cut(texts: DataFrame, symbols: Symbols) -> DataFrame:
-    """The runs of ``texts`` (doc_id, tag, packed, cold, hot) whose anchors are in ``cold``, and the windows of those in ``hot``."""
+    """The strings of the runs of ``texts`` (doc_id, tag, packed, runs), and the windows of those that are marked as hot."""
     schema = "hash long, doc_id long, tag long, starts array<long>, run binary, w1 long, w2 long"
     names = ["hash", "doc_id", "tag", "starts", "run", "w1", "w2"]
 
@@ -201,19 +209,23 @@ def _cut(texts: DataFrame, symbols: Symbols) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             part, size = [], 0
-            for doc, tag, blob, cold, hot in zip(*(batch.column(k) for k in range(5))):
+            lists = batch.column(3)
+            ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            every = [x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten()]
+            for k, (doc, tag, blob) in enumerate(zip(*(batch.column(c) for c in range(3)))):
                 doc, tag = doc.as_py(), tag.as_py()
                 s = symbols.of(unpack(blob.as_py()))
-                hashes, starts, counts = symbols.runs(s)
-                hashes = hashes.view(np.int64)
-                mine = np.isin(hashes, cold.values.to_numpy())
+                hashes, starts, counts, hot = (x[ends[k]:ends[k + 1]] for x in every)
+                once = np.unique(starts, return_index=True)[1]  # a repeated row brings its runs twice
+                hashes, starts, counts, hot = hashes[once], starts[once].astype(np.int64), counts[once].astype(np.int64), hot[once]
+                mine = ~hot
                 if mine.any():
                     part.append((doc, tag, s, *distinct(s, hashes[mine], starts[mine], counts[mine])))
                     size += int((part[-1][5] + symbols.L - 1).sum()) * s.itemsize
                 if size > 2 << 20:
                     yield cut(part)
                     part, size = [], 0
-                mine = np.flatnonzero(np.isin(hashes, hot.values.to_numpy()))
+                mine = np.flatnonzero(hot)
                 if len(mine):
                     at = np.concatenate([np.arange(a, a + c) for a, c in zip(starts[mine], counts[mine])])
                     both = [symbols.windows(s, int(a), int(c)) for a, c in zip(starts[mine], counts[mine])] if len(s) > PIECE else None
@@ -300,12 +312,11 @@ def solve(anchor: np.ndarray, doc: np.ndarray, tag: np.ndarray, starts: list[np.
 def repeated(docs: DataFrame, symbols: Symbols, index: Index) -> DataFrame:
     """(doc_id, tag, starts, ends): per text what is covered by removed windows; copies have the interval from 0 to the end of time."""
     own, copies = _copies(docs)
-    counts = _anchored(docs, symbols).groupBy("hash").agg(F.sum("n").alias("total")).where("total > 1")
-    shared = stage(counts, "anchors")
-    hit = _anchored(docs, symbols).select("hash", "doc_id").join(shared, "hash")
-    cold = F.collect_list(F.when(F.col("total") <= HOT, F.col("hash")))
-    matched = hit.groupBy("doc_id").agg(cold.alias("cold"), F.collect_list(F.when(F.col("total") > HOT, F.col("hash"))).alias("hot"))
-    texts = _packed(docs).join(matched.join(own, "doc_id"), ["doc_id", "tag"]).select("doc_id", "tag", "packed", "cold", "hot")
+    anchored = stage(_anchored(docs, symbols), "anchored")
+    shared = stage(anchored.groupBy("hash").agg(F.sum("n").alias("total")).where("total > 1"), "anchors")
+    hit = anchored.drop("n").join(shared, "hash").select("doc_id", "tag", F.struct("hash", "start", "count", (F.col("total") > HOT).alias("hot")).alias("run"))
+    matched = hit.groupBy("doc_id", "tag").agg(F.collect_list("run").alias("runs"))
+    texts = _packed(docs).join(matched.join(own, ["doc_id", "tag"]), ["doc_id", "tag"]).select("doc_id", "tag", "packed", "runs")
     runs = stage(_cut(texts, symbols), "runs")
     whole = runs.where("run is not null")
     total = whole.agg(F.sum(F.octet_length("run"))).first()[0] or 0
