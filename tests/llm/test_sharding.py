@@ -35,3 +35,14 @@ def test_written_shards_hold_whole_records(spark, tmp_path):
     sharding.write_shards(df, str(tmp_path / "out"), shards=3)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(map(repr, map(tuple, back.select(*df.columns).collect()))) == sorted(map(repr, map(tuple, df.collect())))
+
+
+def test_many_buckets_and_empty_tables_are_written(spark, tmp_path):
+    df = table(spark, rows() * 3, SIZE=1, __bytes="clash")
+    back = sharding.write_shards(df, str(tmp_path / "out"), shards=5, bucket_bytes=300)
+    assert sorted(map(repr, map(tuple, back.select(*df.columns).collect()))) == sorted(map(repr, map(tuple, df.collect())))
+    slots = defaultdict(list)
+    for r in back.collect():
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and len(slots) == 5
+    assert sharding.assignments(table(spark, [])).count() == 0
