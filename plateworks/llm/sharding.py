@@ -23,6 +23,8 @@ from plateworks.llm.storage import shared_folder, stage
 
 #: Bytes of records per bucket; a bucket is permuted in one task's memory.
 BUCKET_BYTES = 32 << 20
+#: Compression of the scattered records and of the shards: both hold all texts.
+CODEC = "zstd"
 
 
 def weight() -> Column:
@@ -44,7 +46,7 @@ def external_shuffle(records: DataFrame, size: str | Column = "size", shards: in
     records = records.drop("shard", "slot")
     fields = records.columns
     drawn = F.xxhash64(F.lit(seed), F.monotonically_increasing_id())
-    scattered = stage(records.select(F.struct(*fields).alias("__record"), (F.col(size) if isinstance(size, str) else size).alias("__size"), drawn.alias("__draw")), "scattered")
+    scattered = stage(records.select(F.struct(*fields).alias("__record"), (F.col(size) if isinstance(size, str) else size).alias("__size"), drawn.alias("__draw")), "scattered", CODEC)
     total = scattered.agg(F.sum("__size")).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
     placed = scattered.withColumn("__bucket", F.pmod("__draw", F.lit(buckets)))
@@ -64,7 +66,7 @@ def write_shards(docs: DataFrame, path: str, shards: int = 16, seed: int = 42, b
     A file holds what one bucket, or a few, gave to the shard, in the order of the slots.
     """
     dealt = external_shuffle(docs, weight(), shards, seed, bucket_bytes)
-    dealt.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    dealt.sortWithinPartitions("shard", "slot").write.option("compression", CODEC).partitionBy("shard").parquet(path)
     fields = [f for f in dealt.schema if f.name != "shard"]
     return docs.sparkSession.read.schema(T.StructType([*fields, T.StructField("shard", T.IntegerType())])).parquet(path)
 

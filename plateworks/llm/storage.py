@@ -18,10 +18,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: lineage ends here, and a lost executor costs no recomputation."""
+def stage(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back: lineage ends here, and a lost executor costs no recomputation.
+
+    ``codec`` names the compression of the files; unnamed, the session's setting holds."""
     path = f"{shared_folder(df.sparkSession)}/llm/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
