@@ -1,7 +1,7 @@
 """Text expressions: normalisation, folding, term containment, tokens, claims, file-name slugs.
 
 Text columns are made NFKC-stable once, on entry (``stabilize``); only strings that hold characters
-outside ``_NFKC_STABLE`` are sent to Python for it. After that every rule is a built-in expression.
+outside ASCII and ``_NFKC_STABLE`` are sent to Python for it. After that every rule is a built-in expression.
 """
 
 from __future__ import annotations
@@ -19,13 +19,14 @@ from pyspark.sql import types as T
 from plateworks import fixed
 from plateworks.functions.arrays import compact, flag, let, strings
 
-# Characters NFKC maps to themselves and that cannot start or join a composition: ASCII, Latin-1
+# Characters beside ASCII that NFKC maps to themselves and that cannot start or join a composition: Latin-1
 # and Latin Extended-A letters without compatibility forms, Cyrillic, common typography.
 _NFKC_STABLE = (
-    "\\x00-\\x7F\\u00A1-\\u00A7\\u00A9\\u00AB-\\u00AE\\u00B0\\u00B1\\u00B6\\u00B7\\u00BB\\u00BF-\\u012F\\u0131\\u0134-\\u013E"
-    "\\u0141-\\u0148\\u014A-\\u017E\\u0401\\u0410-\\u044F\\u0451\\u2010-\\u2015\\u2018-\\u201F\\u2032\\u2212"
+    "\\u00A1-\\u00A7\\u00A9\\u00AB-\\u00AE\\u00B0\\u00B1\\u00B6\\u00B7\\u00BB\\u00BF-\\u012F\\u0131\\u0134-\\u013E"
+    "\\u0141-\\u0148\\u014A-\\u017E\\u0401\\u0410-\\u044F\\u0451\\u2010\\u2012-\\u2015\\u2018-\\u201F\\u2032\\u2212"
 )
-_UNSTABLE = f"[^{_NFKC_STABLE}]"
+# one range rejects most characters; the long class is asked about the others only
+_UNSTABLE = rf"[^\x00-\x7F](?<![{_NFKC_STABLE}])"
 
 # Typographic quotes and dashes become ASCII, invisible characters vanish (fixed values).
 _QUOTES_SINGLE = "‘’‚‛′"
@@ -163,10 +164,9 @@ def contains_term(text: Column, term: Column) -> Column:
 
 
 def without_phrases(text: Column, phrases: Iterable[str]) -> Column:
-    """Each listed phrase, one after the other, becomes a space."""
-    for phrase in phrases:
-        text = F.regexp_replace(text, rf"(?<![{WORD_CHAR}]){re.escape(phrase)}(?![{WORD_CHAR}])", " ")
-    return text
+    """Each listed phrase, one after the other, becomes a space; a pattern runs only where its phrase occurs at all."""
+    pairs = F.array(*[F.struct(F.lit(p).alias("phrase"), F.lit(rf"(?<![{WORD_CHAR}]){re.escape(p)}(?![{WORD_CHAR}])").alias("pattern")) for p in phrases])
+    return F.aggregate(pairs, text, lambda t, p: F.when(t.contains(p["phrase"]), F.regexp_replace(t, p["pattern"], F.lit(" "))).otherwise(t))
 
 
 # --- tokens and grounding --------------------------------------------------------------------

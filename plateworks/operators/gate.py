@@ -84,16 +84,18 @@ def text_items() -> Column:
 
 
 def with_people(rows: DataFrame) -> DataFrame:
-    """people_level and people_markers."""
+    """people_level and people_markers; a later rule's texts are made only where no earlier rule holds."""
     subject = tx.fold(F.col("subject"))
     child_text = tx.fold(F.concat_ws(" . ", "subject", "title", "description"))
     full = tx.fold(F.concat_ws(" ", "title", "description", "subject", "commercial_context", "technical_subjects", "keywords"))
-    rows = rows.withColumns({"child_markers": tx.found_terms(child_text, fixed.CHILD_WORDS, "child:"), "people_text": tx.without_phrases(full, fixed.NON_HUMAN_PHRASES),
-                             "people_subject": tx.without_phrases(subject, fixed.NON_HUMAN_PHRASES)})
+    nobody = ~F.col("people_present") & (F.col("people_count") == 0)
+    rows = rows.withColumn("child_markers", F.when(nobody, empty_strings()).otherwise(tx.found_terms(child_text, fixed.CHILD_WORDS, "child:")))
+    settled = nobody | (F.size("child_markers") > 0)
+    rows = rows.withColumns({"people_text": F.when(settled, "").otherwise(tx.without_phrases(full, fixed.NON_HUMAN_PHRASES)),
+                             "people_subject": F.when(settled, "").otherwise(tx.without_phrases(subject, fixed.NON_HUMAN_PHRASES))})
     rows = rows.withColumns({"face_markers": tx.found_terms(tx.without_phrases(F.col("people_text"), fixed.FACE_NEGATIONS), fixed.RECOGNIZABLE_MARKERS),
                              "part_markers": tx.found_terms(F.col("people_text"), fixed.PARTIAL_MARKERS),
                              "who_markers": tx.found_terms(F.col("people_subject"), fixed.PERSON_SUBJECT_WORDS, "subject:")})
-    nobody = ~F.col("people_present") & (F.col("people_count") == 0)
     rules = [(nobody, "none", empty_strings()), (F.size("child_markers") > 0, "recognizable", F.col("child_markers")), (F.size("face_markers") > 0, "recognizable", F.col("face_markers")),
              (F.size("part_markers") > 0, "partial", F.col("part_markers")), (F.size("who_markers") > 0, "recognizable", F.col("who_markers"))]
     return rows.withColumns({"people_level": first_match([(c, lv) for c, lv, _ in rules], "unclear"), "people_markers": first_match([(c, m) for c, _, m in rules], empty_strings())}) \

@@ -1,3 +1,5 @@
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from plateworks.functions import text as tx
@@ -54,3 +56,15 @@ def test_file_names(spark):
         "staryy_shchit_12.jpg", "untitled_12.jpg", "elevator_control_panel_12.jpg", "groer_zahler_12.jpg"]
     problems = column(spark, ["ok_12.jpg", "img_7_12.jpg", "name.jpg"], lambda c: exporting.filename_problems(c, F.lit(12)))
     assert problems == [[], ["FORBIDDEN_TOKENS"], ["SUFFIX_MISSING"]]
+
+
+def test_characters_that_nfkc_changes_are_never_held_for_stable(spark):
+    values = ["a" + chr(c) + "b" for c in [*range(0x20, 0xd800), *range(0xe000, 0x10000), 0x1d400, 0x1f600]]
+    held = {r.v for r in spark.createDataFrame([(v,) for v in values], "v string").where(~tx._unstable(F.col("v"))).collect()}
+    assert [v for v in held if unicodedata.normalize("NFKC", v) != v] == [] and {"aéb", "a b", "aяb", "a—b"} <= held
+
+
+def test_phrases_go_one_after_the_other(spark):
+    texts = ["robot arm and robot armed", "the robot arm robot arm", "", None, "a.b axb"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(tx.without_phrases(F.col("t"), ["robot arm", "a.b"])).collect()]
+    assert got == ["  and robot armed", "the    ", "", None, "  axb"]
